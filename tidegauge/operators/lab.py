@@ -96,11 +96,13 @@ def check_cutoffs(events: DataFrame, run_at: Column, lookback_years: int = LOOKB
 def cohort_gate(
     events: DataFrame, minimum_primary: int = MINIMUM_PRIMARY, minimum_probe: int = MINIMUM_PROBE
 ) -> DataFrame:
-    """One row: cohort counts, status and stop reasons."""
+    """One row: cohort counts, contract breaches when checked, status and stop reasons."""
+    breaches = F.count_if(F.size("issue_codes") > 0) if "issue_codes" in events.columns else F.lit(0)
     return events.agg(
         F.count_if(F.col("cohort") == "PRIMARY").alias("primary_count"),
         F.count_if(F.col("cohort") == "PROBE").alias("probe_count"),
         F.count("*").alias("total_count"),
+        breaches.alias("breach_count"),
     ).withColumn(
         "reasons",
         R.code_array(
@@ -110,28 +112,45 @@ def cohort_gate(
     ).withColumn("status", F.when(F.size("reasons") > 0, "STOP_TRAINING").otherwise("READY_TO_SPLIT"))
 
 
-def temporal_split(events: DataFrame) -> DataFrame:
-    """60/20/20 by time inside each cohort, boundaries floored, ties by event id.
+def split_boundaries(events: DataFrame) -> list:
+    """Per cohort the last training and last validation key: ``(cohort, size, train, validation)``.
 
     Cohorts may hold any share of the events, so positions come from a global
-    range sort, not from a window over the cohort.
+    range sort of the three key columns; the nested rows are never shuffled.
     """
-    placed = positions(events, ["prediction_at", "event_id"], ["cohort"], "position")
-    sizes = placed.groupBy("cohort").agg(F.count("*").alias("cohort_size"))
-    train_end = F.floor(F.col("cohort_size") * F.lit(0.60))
-    validation_end = F.floor(F.col("cohort_size") * F.lit(0.80))
+    placed = positions(
+        events.select("cohort", "prediction_at", "event_id"), ["prediction_at", "event_id"], ["cohort"]
+    )
+    sizes = placed.groupBy("cohort").agg(F.count("*").alias("size"))
+    key = F.struct("prediction_at", "event_id")
+    at = [F.max(F.when(F.col("position") == F.floor(F.col("size") * F.lit(share)), key)) for share in (0.60, 0.80)]
+    # At most one row per governed cohort.
     return (
-        placed.join(F.broadcast(sizes), "cohort")  # at most one row per governed cohort
-        .withColumn(
-            "split",
-            F.when(F.col("position") <= train_end, "TRAINING")
-            .when(F.col("position") <= validation_end, "VALIDATION")
-            .otherwise("HOLDOUT"),
-        )
-        .drop("cohort_size")
+        placed.join(F.broadcast(sizes), "cohort")
+        .groupBy("cohort")
+        .agg(F.first("size").alias("size"), at[0].alias("train"), at[1].alias("validation"))
+        .collect()
     )
 
 
+def temporal_split(events: DataFrame) -> DataFrame:
+    """60/20/20 by time inside each cohort, boundaries floored, ties by event id."""
+    key = F.struct("prediction_at", "event_id")
+    split = F.lit("HOLDOUT")
+    for row in split_boundaries(events):
+        for name in ("validation", "train"):
+            edge = row[name]
+            if edge is None:
+                continue
+            last = F.struct(
+                F.lit(edge["prediction_at"]).cast("timestamp").alias("prediction_at"),
+                F.lit(edge["event_id"]).alias("event_id"),
+            )
+            label = "TRAINING" if name == "train" else "VALIDATION"
+            split = F.when((F.col("cohort") == row["cohort"]) & (key <= last), label).otherwise(split)
+    return events.withColumn("split", split)
+
+
 def split_problems(split: DataFrame) -> DataFrame:
     """Cohorts whose training, validation or holdout part is empty, and repeated event ids."""
     parts = split.groupBy("cohort").agg(
@@ -298,14 +317,15 @@ def denominator_mismatch(predictions: DataFrame, vault: DataFrame) -> DataFrame:
 
 def run_nightly(events: DataFrame, run_id: str, run_at: Column, **gate) -> dict[str, DataFrame]:
     """The whole laboratory; stops at the gate or at any contract breach."""
+    events = materialise(events)
     checked = check_cutoffs(events, run_at)
     problems = R.issues(checked, "nightly_cutoffs", "event_id")
-    prepared = cohort_gate(events, **gate)
+    prepared = cohort_gate(checked, **gate)
     first = prepared.first()
     result = {"gate": prepared, "issues": problems}
-    if first["status"] == "STOP_TRAINING" or problems.limit(1).count():
+    if first["status"] == "STOP_TRAINING" or first["breach_count"]:
         return result
-    split = materialise(temporal_split(events))
+    split = temporal_split(events)
     problems = split_problems(split)
     if problems.limit(1).count():
         return {**result, "issues": problems}

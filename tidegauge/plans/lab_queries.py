@@ -46,7 +46,7 @@ def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("n"),
         F.min("prediction_at").cast("string").alias("first_at"),
         F.max("prediction_at").cast("string").alias("last_at"),
-        F.sum(F.col("event_id").cast("bigint") * F.col("position")).alias("position_checksum"),
+        F.sum(F.col("event_id").cast("bigint")).alias("id_checksum"),
     )
 
 
@@ -90,7 +90,7 @@ ORACLE = {
     "nightly_split_sizes": with_views(LAB[:2], """
         SELECT cohort, split, count(*) AS n, strftime(min(prediction_at), '%Y-%m-%d %H:%M:%S') AS first_at,
                strftime(max(prediction_at), '%Y-%m-%d %H:%M:%S') AS last_at,
-               CAST(sum(CAST(event_id AS BIGINT) * rn) AS BIGINT) AS position_checksum
+               CAST(sum(CAST(event_id AS BIGINT)) AS BIGINT) AS id_checksum
         FROM lab_split GROUP BY 1, 2"""),
     "nightly_sealed_predictions": with_views(LAB, """
         SELECT event_id, horizon, cohort, round(score, 8) AS score,

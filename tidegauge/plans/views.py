@@ -173,3 +173,71 @@ SQL["lab_pred"] = """
       ON c.horizon = l.horizon AND c.factor_id = 'QUANTITY'
     WHERE split = 'HOLDOUT'"""
 LAB = ["lab_base", "lab_split", "lab_long", "lab_raw", "lab_scale", "lab_pred"]
+
+
+# --- calendar, identity and status --------------------------------------------------
+
+def span(spark: SparkSession, sf_dir: str):
+    """First order day and last ship day: the collection window of the data."""
+    lo = table(spark, sf_dir, "orders").agg(F.to_date(F.min("o_orderdate")).alias("d")).first()["d"]
+    hi = table(spark, sf_dir, "lineitem").agg(F.to_date(F.max("l_shipdate")).alias("d")).first()["d"]
+    return lo, hi
+
+
+def quarter_ends(spark: SparkSession, lo, hi) -> DataFrame:
+    days = spark.range(1).select(F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("trade_date"))
+    return days.where(
+        (F.col("trade_date") == F.last_day("trade_date")) & (F.month("trade_date") % 3 == 0)
+    ).withColumn("holiday_name", F.lit("QUARTER_END"))
+
+
+def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.operators.pit import build_calendar
+
+    lo, hi = span(spark, sf_dir)
+    return build_calendar(spark, lo, hi, quarter_ends(spark, lo, hi))
+
+
+def identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Successive identity and status intervals per customer, one per order day."""
+    from pyspark.sql import Window
+
+    days = table(spark, sf_dir, "orders").groupBy(
+        F.col("o_custkey").alias("code"), F.to_date("o_orderdate").alias("valid_from")
+    ).agg(
+        F.min("o_orderkey").alias("security_id"), F.min_by("o_orderstatus", "o_orderkey").alias("s"),
+    )
+    # One row per code and civil day, so the window is bounded by the calendar.
+    following = F.lead("valid_from").over(Window.partitionBy("code").orderBy("valid_from"))
+    return days.withColumn("valid_to", F.date_sub(following, 1)).select(
+        "code", "security_id", F.lit("cash").alias("board"), "valid_from", "valid_to",
+        F.lit("ACTIVE").alias("listing_status"),
+        F.when(F.col("s") == "O", "TRADING").when(F.col("s") == "P", "SUSPENDED").otherwise("DELISTED").alias("status"),
+        (F.col("valid_from").cast("timestamp") + F.expr("INTERVAL 36 HOURS")).alias("known_from"),
+        (F.col("valid_to").cast("timestamp") + F.expr("INTERVAL 400 DAYS")).alias("known_to"),
+        (F.col("s") != "F").alias("tradable"),
+        F.lit("MAIN").alias("segment"),
+    )
+
+
+def status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identity(spark, sf_dir).select(
+        "code", "board", "status", F.col("valid_from").alias("effective_from"), F.col("valid_to").alias("effective_to")
+    )
+
+
+SQL["cal"] = """
+    SELECT d AS trade_date, h IS NULL AND dayofweek(d) NOT IN (5, 6) AS is_trading_day,
+           CASE WHEN h IS NOT NULL THEN 'OFFICIAL_HOLIDAY' WHEN dayofweek(d) IN (5, 6) THEN 'WEEKEND' END AS closed_reason
+    FROM (SELECT CAST(g AS DATE) AS d,
+                 CASE WHEN CAST(g AS DATE) = last_day(CAST(g AS DATE)) AND month(g) % 3 = 0 THEN 1 END AS h
+          FROM (SELECT unnest(generate_series((SELECT min(o_orderdate) FROM orders),
+                                              (SELECT max(l_shipdate) FROM lineitem), INTERVAL 1 DAY)) AS g))"""
+SQL["ident"] = """
+    SELECT *, CAST(valid_from AS TIMESTAMP) + INTERVAL 36 HOURS AS known_from,
+           CAST(valid_to AS TIMESTAMP) + INTERVAL 400 DAYS AS known_to,
+           CASE s WHEN 'O' THEN 'TRADING' WHEN 'P' THEN 'SUSPENDED' ELSE 'DELISTED' END AS status
+    FROM (SELECT code, valid_from, security_id, s,
+                 CAST(lead(valid_from) OVER (PARTITION BY code ORDER BY valid_from) - INTERVAL 1 DAY AS DATE) AS valid_to
+          FROM (SELECT o_custkey AS code, CAST(o_orderdate AS DATE) AS valid_from, min(o_orderkey) AS security_id,
+                       arg_min(o_orderstatus, o_orderkey) AS s FROM orders GROUP BY 1, 2))"""
