@@ -58,11 +58,26 @@ def interval_join(
         lo, hi = F.lit(span["lo"]), F.lit(span["hi"])
     first = F.greatest(F.to_date(start), lo)
     last = F.least(F.coalesce(F.to_date(end), hi), hi)
-    spread = intervals.where(first <= last).withColumn(
-        "_bucket", F.explode(F.sequence(_bucket(first, bucket_days), _bucket(last, bucket_days)))
+    return _bucketed(
+        probes, intervals.where(first <= last), keys, at, start, end, how,
+        _bucket(F.to_date(at), bucket_days), _bucket(first, bucket_days), _bucket(last, bucket_days),
     )
-    placed = probes.withColumn("_bucket", _bucket(F.to_date(at), bucket_days))
-    p, i = placed.alias("p"), spread.alias("i")
+
+
+def range_join(
+    probes: DataFrame, ranges: DataFrame, keys: Sequence[str], at: str, start: str, end: str,
+    how: str = "inner", bucket: int = 64,
+) -> DataFrame:
+    """``interval_join`` for whole numbers; both range ends must be known."""
+    return _bucketed(
+        probes, ranges.where(F.col(start) <= F.col(end)), keys, at, start, end, how,
+        *[F.floor(F.col(c) / F.lit(bucket)) for c in (at, start, end)],
+    )
+
+
+def _bucketed(probes, intervals, keys, at, start, end, how, of_probe, from_bucket, to_bucket):
+    spread = intervals.withColumn("_bucket", F.explode(F.sequence(from_bucket, to_bucket)))
+    p, i = probes.withColumn("_bucket", of_probe).alias("p"), spread.alias("i")
     condition = F.col("p._bucket") == F.col("i._bucket")
     for k in keys:
         condition = condition & (F.col(f"p.{k}") == F.col(f"i.{k}"))
@@ -71,6 +86,40 @@ def interval_join(
     return p.join(i, condition, how).select(*[F.col(f"p.{c}") for c in probes.columns], *kept)
 
 
+def steps(intervals: DataFrame, keys: Sequence[str], start: str, end: str, measures: dict[str, Column]) -> DataFrame:
+    """Interval ends as signed steps ``(keys, day, measures)``; an open end takes no closing step."""
+    names = list(measures)
+    opened = [measures[n].cast("int").alias(n) for n in names]
+    closed = [(-measures[n].cast("int")).alias(n) for n in names]
+    moves = intervals.select(
+        *keys,
+        F.explode(
+            F.array(
+                F.struct(F.col(start).alias("day"), *opened),
+                F.struct(F.date_add(end, 1).alias("day"), *closed),
+            )
+        ).alias("m"),
+    )
+    return moves.where("m.day IS NOT NULL").select(*keys, "m.day", *[f"m.{n}" for n in names])
+
+
+def segments(moves: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """Disjoint day ranges per key with the running level of every measure.
+
+    Steps are summed per (key, day) before the window, so a window holds at most
+    one row per civil day whatever the number of intervals.
+    """
+    by_day = moves.groupBy(*keys, "day").agg(*[F.sum(m).alias(m) for m in measures])
+    ordered = Window.partitionBy(*keys).orderBy("day")
+    run = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    return by_day.select(
+        *keys,
+        F.col("day").alias("segment_from"),
+        F.date_sub(F.lead("day").over(ordered), 1).alias("segment_to"),
+        *[F.sum(m).over(run).alias(m) for m in measures],
+    )
+
+
 def members_on(
     identity: DataFrame, as_of: Column, known_at: Column, segment: str | None = "MAIN"
 ) -> DataFrame:
@@ -119,39 +168,44 @@ def resolve_identity(
     )
 
 
-def interval_days(intervals: DataFrame, start: str, end: str, lo: Column, hi: Column, name: str = "trade_date") -> DataFrame:
-    """One row per civil day an interval covers inside ``[lo, hi]``."""
-    first = F.greatest(F.col(start), lo)
-    last = F.least(F.coalesce(F.col(end), hi), hi)
-    return intervals.where(first <= last).withColumn(name, F.explode(F.sequence(first, last)))
+def eligible_segments(identity: DataFrame, status: DataFrame) -> DataFrame:
+    """Day ranges with a listed identity and exactly one active, session-eligible status."""
+    listed = identity.where(R.in_set("listing_status", LISTED_STATUSES))
+    flags = {s: F.col("status") == s for s in SESSION_STATUSES}
+    zero = F.lit(0)
+    moves = steps(
+        listed, ["code", "board"], "valid_from", "valid_to",
+        {"identities": F.lit(1), "statuses": zero, **{s: zero for s in SESSION_STATUSES}},
+    ).unionByName(
+        steps(
+            status, ["code", "board"], "effective_from", "effective_to",
+            {"identities": zero, "statuses": F.lit(1), **flags},
+        )
+    )
+    level = segments(moves, ["code", "board"], ["identities", "statuses", *SESSION_STATUSES])
+    state = F.coalesce(*[F.when(F.col(s) == 1, F.lit(s)) for s in SESSION_STATUSES])
+    return level.where("identities >= 1 AND statuses = 1").select(
+        "code", "board", "segment_from", "segment_to", state.alias("status")
+    ).where("status IS NOT NULL")
 
 
 def eligible_denominator(calendar: DataFrame, identity: DataFrame, status: DataFrame) -> DataFrame:
-    """(trade_date, code) with a listed identity and exactly one active session status.
+    """(trade_date, code, board, status) for every eligible security and trading day.
 
-    Both interval tables become (code, day) keys and meet in one equi-join; the
-    calendar is broadcast because a civil calendar is small, and its size is
-    checked.
+    All joining happens on intervals; days are generated last, so the large
+    output is never shuffled. The calendar broadcast is size-checked.
     """
     span = calendar.agg(F.min("trade_date").alias("lo"), F.max("trade_date").alias("hi")).first()
     lo, hi = F.lit(span["lo"]), F.lit(span["hi"])
+    first = F.greatest("segment_from", lo)
+    last = F.least(F.coalesce("segment_to", hi), hi)
     open_days = broadcast_if_small(calendar.where("is_trading_day").select("trade_date"))
-    listed = interval_days(
-        identity.where(R.in_set("listing_status", LISTED_STATUSES)).select("code", "board", "valid_from", "valid_to"),
-        "valid_from", "valid_to", lo, hi,
-    ).join(open_days, "trade_date", "left_semi").select("code", "board", "trade_date").distinct()
-    active = (
-        interval_days(
-            status.select("code", "board", "status", "effective_from", "effective_to"),
-            "effective_from", "effective_to", lo, hi,
-        )
+    return (
+        eligible_segments(identity, status).where(first <= last)
+        .withColumn("trade_date", F.explode(F.sequence(first, last)))
         .join(open_days, "trade_date", "left_semi")
-        .groupBy("code", "board", "trade_date")
-        .agg(F.count("*").alias("_n"), F.min("status").alias("status"))
-        .where((F.col("_n") == 1) & R.in_set("status", SESSION_STATUSES))
-        .drop("_n")
+        .select("trade_date", "code", "board", "status")
     )
-    return listed.join(active, ["code", "board", "trade_date"])
 
 
 def overlapping_keys(
@@ -159,44 +213,20 @@ def overlapping_keys(
 ) -> DataFrame:
     """Keys under which two intervals cover one day, without pairing intervals.
 
-    Interval ends become +1/-1 steps summed per (key, day); a running sum above
-    one means an overlap. With ``distinct_by`` the intervals of one owner are
-    merged first, so only different owners collide (the ISIN rule). Each window
-    runs over civil days of one key.
+    With ``distinct_by`` the intervals of one owner are merged first, so only
+    different owners collide (the ISIN rule).
     """
-    def steps(df: DataFrame, by: Sequence[str], lo: str, hi: str) -> DataFrame:
-        moves = df.select(
-            *by,
-            F.explode(
-                F.array(
-                    F.struct(F.col(lo).alias("day"), F.lit(1).alias("step")),
-                    F.struct(F.date_add(hi, 1).alias("day"), F.lit(-1).alias("step")),
-                )
-            ).alias("m"),
-        )
-        by_day = moves.where("m.day IS NOT NULL").groupBy(*by, F.col("m.day").alias("day")).agg(
-            F.sum("m.step").alias("step")
-        )
-        run = Window.partitionBy(*by).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-        return by_day.withColumn("active", F.sum("step").over(run))
-
     owners = intervals
     if distinct_by:
         by = [*keys, *distinct_by]
-        run = Window.partitionBy(*by).orderBy("day")
-        covered = steps(intervals, by, start, end)
-        edges = covered.withColumn("before", F.coalesce(F.lag("active").over(run), F.lit(0))).where(
-            (F.col("before") == 0) != (F.col("active") == 0)
+        level = segments(steps(intervals, by, start, end, {"active": F.lit(1)}), by, ["active"])
+        # Touching covered segments of one owner count once: keep the 0/1 cover level.
+        cover = level.select(
+            *by, F.col("segment_from").alias(start), F.col("segment_to").alias(end), (F.col("active") > 0).alias("on")
         )
-        # Merged spans: a rise from zero opens, the next fall to zero closes.
-        owners = (
-            edges.withColumn("_close", F.lead("day").over(run))
-            .where("active > 0")
-            .select(*by, F.col("day").alias(start), F.date_add("_close", -1).alias(end))
-        )
-    return steps(owners, keys, start, end).where("active > 1").groupBy(*keys).agg(
-        F.min("day").alias("first_overlap_day")
-    )
+        owners = cover.where("on")
+    level = segments(steps(owners, keys, start, end, {"active": F.lit(1)}), keys, ["active"])
+    return level.where("active > 1").groupBy(*keys).agg(F.min("segment_from").alias("first_overlap_day"))
 
 
 def build_calendar(
@@ -275,54 +305,69 @@ def nth_eligible_session(
 ) -> DataFrame:
     """The day of the n-th later session on which the security trades.
 
-    Per code the trading days get a running count of TRADING days and of days
-    whose status is missing or ambiguous (windows over civil days). A decision
-    then looks up ``count at decision + n`` by equi-join; a defect before the
-    target makes it an issue instead of a date.
+    Status intervals become disjoint segments with a running count of TRADING
+    sessions and of sessions whose status is missing or ambiguous. A decision
+    finds its segment, adds ``n`` to its own trading count and finds the segment
+    holding that count: two bucketed range joins on the code, no day grid. A
+    defect on the way makes an issue instead of a date.
     """
     span = calendar.agg(F.min("trade_date").alias("lo"), F.max("trade_date").alias("hi")).first()
     lo, hi = F.lit(span["lo"]), F.lit(span["hi"])
-    open_days = broadcast_if_small(calendar.where("is_trading_day").select("trade_date"))
-    codes = decisions.select("code").distinct()
-    states = interval_days(status.join(codes, "code", "left_semi"), "effective_from", "effective_to", lo, hi).groupBy(
-        "code", "trade_date"
-    ).agg(F.count("*").alias("n"), F.min("status").alias("status"))
-    grid = (
-        codes.withColumn("trade_date", F.explode(F.sequence(lo, hi)))
-        .join(open_days, "trade_date", "left_semi")
-        .join(states, ["code", "trade_date"], "left")
-    )
-    by_code = Window.partitionBy("code").orderBy("trade_date")
-    run = by_code.rowsBetween(Window.unboundedPreceding, 0)
-    single = F.coalesce(F.col("n") == 1, F.lit(False))
-    trading = single & (F.col("status") == "TRADING")
-    walk = grid.select(
-        "code", "trade_date", trading.alias("trading"),
-        F.sum(trading.cast("int")).over(run).alias("trading_no"),
-        F.sum((~single).cast("int")).over(run).alias("defects"),
-    )
-    start = walk.select(
-        "code", F.col("trade_date").alias("decision_day"), F.col("trading").alias("_ok"),
-        F.col("trading_no").alias("_from"), F.col("defects").alias("_defects_from"),
-    )
-    target = walk.where("trading").select(
-        "code", F.col("trading_no").alias("_to"), F.col("trade_date").alias("due_day"),
-        F.col("defects").alias("_defects_to"),
-    )
-    last = walk.groupBy("code").agg(F.max("defects").alias("_defects_last"))
-    joined = (
-        decisions.join(start, ["code", "decision_day"], "left")
-        .withColumn("_to", F.col("_from") + F.col(horizon))
-        .join(target, ["code", "_to"], "left")
-        .join(last, "code", "left")
+    numbered = calendar.select(
+        F.col("trade_date").alias("_day"), "is_trading_day",
+        F.sum(F.col("is_trading_day").cast("int")).over(
+            Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
+        ).alias("_upto"),
+    )
+    upto = broadcast_if_small(numbered.select("_day", "_upto"))
+    level = segments(
+        steps(status, ["code"], "effective_from", "effective_to",
+              {"active": F.lit(1), "trading": F.col("status") == "TRADING"}),
+        ["code"], ["active", "trading"],
+    )
+    clipped = level.select(
+        "code", F.greatest("segment_from", lo).alias("segment_from"),
+        F.least(F.coalesce("segment_to", hi), hi).alias("segment_to"), "active", "trading",
+    ).where("segment_from <= segment_to")
+    sized = (
+        clipped.join(upto, F.date_sub("segment_from", 1) == F.col("_day"), "left")
+        .select("code", "segment_from", "segment_to", "active", "trading",
+                (F.coalesce("_upto", F.lit(0)) + 1).alias("first_no"))
+        .join(upto, F.col("segment_to") == F.col("_day"))
+        .select("code", "segment_from", "segment_to", "first_no", F.col("_upto").alias("last_no"),
+                ((F.col("active") == 1) & (F.col("trading") == 1)).alias("trades"), (F.col("active") != 1).alias("defect"))
+        .withColumn("sessions", F.col("last_no") - F.col("first_no") + 1)
+    )
+    before = Window.partitionBy("code").orderBy("segment_from").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    walk = sized.select(
+        "code", "segment_from", "segment_to", "first_no", "sessions", "trades",
+        F.coalesce(F.sum(F.when(F.col("trades"), F.col("sessions")).otherwise(0)).over(before), zero).alias("traded_before"),
+        F.coalesce(F.sum(F.when(F.col("defect"), F.col("sessions")).otherwise(0)).over(before), zero).alias("defects_before"),
+        F.sum(F.when(F.col("defect"), F.col("sessions")).otherwise(0)).over(Window.partitionBy("code")).alias("defects_all"),
     )
+    day_info = broadcast_if_small(numbered)
+    placed = interval_join(
+        decisions.join(day_info, F.col("decision_day") == F.col("_day"), "left").drop("_day"),
+        walk, ["code"], "decision_day", "segment_from", "segment_to", "left",
+    ).withColumn(
+        "_target", F.col("traded_before") + F.col("_upto") - F.col("first_no") + 1 + F.col(horizon)
+    ).drop("segment_from", "segment_to", "first_no", "sessions", "traded_before")
+    goals = walk.where("trades AND sessions > 0").select(
+        "code", (F.col("traded_before") + 1).alias("_lo"), (F.col("traded_before") + F.col("sessions")).alias("_hi"),
+        F.col("first_no").alias("_goal_no"), F.col("defects_before").alias("_goal_defects"),
+    )
+    found = range_join(placed, goals, ["code"], "_target", "_lo", "_hi", "left").withColumn(
+        "_due_no", F.col("_goal_no") + F.col("_target") - F.col("_lo")
+    )
+    index = broadcast_if_small(
+        numbered.where("is_trading_day").select(F.col("_upto").alias("_due_no"), F.col("_day").alias("due_day"))
+    )
+    joined = found.join(index, "_due_no", "left")
     issue = (
-        F.when(F.col("_from").isNull(), "DECISION_NOT_ON_TRADING_SESSION")
-        .when(~F.col("_ok"), "DECISION_SECURITY_STATUS_NOT_TRADING")
-        .when(
-            F.coalesce(F.col("_defects_to"), F.col("_defects_last")) > F.col("_defects_from"),
-            "SECURITY_STATUS_MISSING_OR_AMBIGUOUS",
-        )
+        F.when(~F.coalesce("is_trading_day", F.lit(False)), "DECISION_NOT_ON_TRADING_SESSION")
+        .when(~F.coalesce("trades", F.lit(False)), "DECISION_SECURITY_STATUS_NOT_TRADING")
+        .when(F.coalesce("_goal_defects", "defects_all") > F.col("defects_before"), "SECURITY_STATUS_MISSING_OR_AMBIGUOUS")
         .when(F.col("due_day").isNull(), "SESSION_HORIZON_NOT_COVERED")
     )
     return joined.select(
