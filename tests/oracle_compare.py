@@ -48,8 +48,8 @@ def compare(spark, con, name, query, sql, sf_dir):
     if got[0] != want[0]:
         return f"COLUMNS {got[0]} != {want[0]}", elapsed
     if got[1] != want[1]:
-        extra = [r for r in got[1] if r not in set(want[1])][:3]
-        lost = [r for r in want[1] if r not in set(got[1])][:3]
+        ours, theirs = set(got[1]), set(want[1])
+        extra, lost = sorted(ours - theirs)[:3], sorted(theirs - ours)[:3]
         return f"VALUES spark={len(got[1])} oracle={len(want[1])}\n   only spark {extra}\n   only oracle {lost}", elapsed
     return f"ok {len(got[1])}", elapsed
 

@@ -16,7 +16,7 @@ def _day(col="trade_date"):
 
 def daily_bars(spark, sf_dir):
     return views.bars(spark, sf_dir).select(
-        "code", _day(), *[F.round(c, 4).alias(c) for c in ("open", "high", "low", "close", "volume", "turnover")], "trades"
+        "code", _day(), "open", "high", "low", "close", "volume", F.round("turnover", 2).alias("turnover"), "trades"
     )
 
 
@@ -168,7 +168,7 @@ def previous_close(spark, sf_dir):
         F.to_date("o_orderdate").alias("ex_date"),
     )
     r = prices.previous_session_close(actions, views.bars(spark, sf_dir))
-    return r.select("action_id", "code", _day("reference_date"), F.round("reference_close", 4).alias("reference_close"))
+    return r.select("action_id", "code", _day("reference_date"), "reference_close")
 
 
 def terms(spark, sf_dir):
@@ -280,8 +280,8 @@ JUDGED = f"""
     FROM ({TERMS})"""
 ORACLE = {
     "bars_daily": with_views(["bars"], """
-        SELECT code, CAST(trade_date AS VARCHAR) AS trade_date, round(open, 4) AS open, round(high, 4) AS high,
-               round(low, 4) AS low, round(close, 4) AS close, round(volume, 4) AS volume, round(turnover, 4) AS turnover, trades
+        SELECT code, CAST(trade_date AS VARCHAR) AS trade_date, open, high, low, close, volume,
+               round(turnover, 2) AS turnover, trades
         FROM bars"""),
     "bars_returns": with_views(["bars"], RET + """
         SELECT code, CAST(trade_date AS VARCHAR) AS trade_date, round(ret, 6) AS daily_return FROM r"""),
@@ -392,7 +392,7 @@ ORACLE = {
              CASE WHEN bid / 100.0 <= 0.95::DOUBLE + 1e-12 THEN 'LOWER_LIMIT_STATE' END) AS r FROM q)""",
     "actions_previous_close": with_views(["bars"], """
         , a AS (SELECT o_orderkey AS action_id, o_custkey % (SELECT count(*) FROM supplier) AS code, CAST(o_orderdate AS DATE) - 1 AS d FROM orders)
-        SELECT action_id, a.code, CAST(b.trade_date AS VARCHAR) AS reference_date, round(b.close, 4) AS reference_close
+        SELECT action_id, a.code, CAST(b.trade_date AS VARCHAR) AS reference_date, b.close AS reference_close
         FROM a ASOF LEFT JOIN bars b ON a.code = b.code AND a.d >= b.trade_date"""),
     "actions_adjustments": f"""
         SELECT action_id, issues, CASE WHEN issues = '' THEN CASE mode WHEN 'P' THEN 'pending' WHEN 'M' THEN 'reproducible' ELSE 'official' END END AS factor_status,
@@ -424,7 +424,7 @@ ORACLE = {
         c AS (SELECT list_filter([CASE WHEN mode <> 'F' THEN 'DISCLOSURE_NOT_ACCEPTED' END,
                  CASE WHEN mode IN ('R','M') AND rd IS NULL THEN 'PRICE_REFERENCE_MISSING' END,
                  CASE WHEN mode IN ('R','M') AND rc <> CAST(close AS DECIMAL(20,6)) THEN 'PRICE_REFERENCE_DIFFERS' END,
-                 CASE WHEN issues <> '' THEN issues END], x -> x IS NOT NULL) AS codes, issues = '' AND ready AS ready FROM m)
+                 CASE WHEN issues <> '' THEN issues END], lambda x: x IS NOT NULL) AS codes, issues = '' AND ready AS ready FROM m)
         SELECT code, ready AS return_engine_ready, count(*) AS actions FROM (
           SELECT unnest(CASE WHEN len(codes) = 0 THEN [NULL] ELSE codes END) AS code, ready FROM c) GROUP BY 1, 2"""),
     "benchmark_normalised": """

@@ -43,10 +43,10 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL: dict[str, str] = {
     "bars": """
         SELECT l_suppkey AS code, CAST(l_shipdate AS DATE) AS trade_date,
-               arg_min(l_extendedprice / l_quantity, (l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS open,
+               first(l_extendedprice / l_quantity ORDER BY l_orderkey, l_linenumber, l_partkey) AS open,
                max(l_extendedprice / l_quantity) AS high,
                min(l_extendedprice / l_quantity) AS low,
-               arg_max(l_extendedprice / l_quantity, (l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS close,
+               last(l_extendedprice / l_quantity ORDER BY l_orderkey, l_linenumber, l_partkey) AS close,
                sum(l_quantity) AS volume, sum(l_extendedprice) AS turnover, count(*) AS trades
         FROM lineitem GROUP BY 1, 2""",
 }
