@@ -241,3 +241,55 @@ SQL["ident"] = """
                  CAST(lead(valid_from) OVER (PARTITION BY code ORDER BY valid_from) - INTERVAL 1 DAY AS DATE) AS valid_to
           FROM (SELECT o_custkey AS code, CAST(o_orderdate AS DATE) AS valid_from, min(o_orderkey) AS security_id,
                        arg_min(o_orderstatus, o_orderkey) AS s FROM orders GROUP BY 1, 2))"""
+
+
+# --- predictions and outcomes ---------------------------------------------------------
+
+TOP_K = 5
+
+
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per day and code: a score, its rank, and the next bar as the outcome."""
+    from pyspark.sql import Window
+
+    from tidegauge.operators.ordering import positions
+
+    b = bars(spark, sf_dir)
+    nxt = F.lead("close").over(Window.partitionBy("code").orderBy("trade_date"))
+    rows = b.withColumn("next_close", nxt).where("next_close IS NOT NULL").select(
+        F.col("trade_date").cast("string").alias("decision_id"), "code", "close", "next_close", "volume",
+        F.when(F.col("trades") > 1, F.round(F.col("close") / F.col("open") - 1.0, 6)).alias("score"),
+    )
+    market = rows.groupBy("decision_id").agg(F.avg(F.col("next_close") / F.col("close") - 1.0).alias("market"))
+    placed = positions(rows, [F.desc_nulls_last("score"), F.asc("code")], ["decision_id"], "_p").join(market, "decision_id")
+    live = F.col("score").isNotNull()
+    return placed.select(
+        "decision_id", "code", "score", "close", "next_close",
+        F.when(live, F.col("_p")).alias("rank"), (live & (F.col("_p") <= TOP_K)).alias("selected"), (~live).alias("abstained"),
+        F.when(live, F.least(F.lit(1.0), F.abs("score"))).alias("probability"), F.lit("NET_EXCESS_GT_0").alias("target_rule"),
+        F.col("close").alias("market_entry_price"), F.col("next_close").alias("market_exit_price"),
+        (F.col("close") * 1.001).alias("executed_entry_price"), F.col("next_close").alias("executed_exit_price"),
+        F.lit(1.0).alias("price_adjustment_factor"), F.lit(0.0).alias("cash_distribution_return"),
+        F.lit(1.0).alias("benchmark_entry_value"), (F.lit(1.0) + F.col("market")).alias("benchmark_exit_value"),
+        F.lit(0.001).alias("fees_return"), F.lit(0.0).alias("spread_return"), F.lit(0.0005).alias("slippage_return"),
+        F.lit(0.0).alias("market_impact_return"),
+        F.when(live & (F.col("_p") <= TOP_K), F.when(F.col("volume") > 30, "FILLED").otherwise("NOT_FILLED"))
+        .otherwise("MARKET_OBSERVED").alias("fill_status"),
+    )
+
+
+SQL["outc"] = """
+    SELECT *, score IS NULL AS abstained, rk <= 5 AND score IS NOT NULL AS selected, next_close / close - 1 AS gross,
+           next_close / close - 1 - market AS net FROM (
+      SELECT *, row_number() OVER (PARTITION BY decision_id ORDER BY score DESC NULLS LAST, code) AS rk,
+             avg(next_close / close - 1) OVER (PARTITION BY decision_id) AS market FROM (
+        SELECT CAST(trade_date AS VARCHAR) AS decision_id, code, close, volume, trades, open, high, low, turnover,
+               CASE WHEN trades > 1 THEN round(close / open - 1, 6) END AS score,
+               lead(close) OVER (PARTITION BY code ORDER BY trade_date) AS next_close FROM bars) WHERE next_close IS NOT NULL)"""
+SQL["ranks"] = """
+    SELECT *, rank() OVER (PARTITION BY decision_id ORDER BY score) + (count(*) OVER (PARTITION BY decision_id, score) - 1) / 2.0 AS rs,
+           rank() OVER (PARTITION BY decision_id ORDER BY net) + (count(*) OVER (PARTITION BY decision_id, net) - 1) / 2.0 AS ro
+    FROM outc WHERE NOT abstained"""
+SQL["ics"] = """
+    SELECT decision_id, count(*) AS scored, CASE WHEN count(*) >= 2 AND stddev_pop(rs) > 0 AND stddev_pop(ro) > 0
+           THEN corr(rs, ro) END AS rank_ic FROM ranks GROUP BY 1"""
