@@ -82,3 +82,24 @@ def with_previous(
 def bounded_lag(col: str, group: Sequence[str], order: Sequence[str]) -> Column:
     """Plain window lag, for groups whose size is bounded by the trading calendar."""
     return F.lag(col).over(Window.partitionBy(*group).orderBy(*order))
+
+
+def last_before(df: DataFrame, order: Sequence[Column | str], group: Sequence[str], value: str, name: str) -> DataFrame:
+    """The latest non-null ``value`` strictly before each row of its group.
+
+    A forward fill without a window over the group: rows look back inside their
+    own sort partition, and one carried value per (group, partition) covers what
+    lies in earlier partitions.
+    """
+    group = list(group)
+    numbered = materialise(
+        df.orderBy(*group, *order).withColumn("_mid", F.monotonically_increasing_id())
+    ).withColumn("_part", F.shiftright("_mid", _ROW_BITS))
+    here = Window.partitionBy(*group, "_part").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per group and sort partition it touches.
+    ends = numbered.where(F.col(value).isNotNull()).groupBy(*group, "_part").agg(F.max_by(value, "_mid").alias("_end"))
+    touched = numbered.select(*group, "_part").distinct().join(ends, [*group, "_part"], "left")
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = touched.select(*group, "_part", F.last("_end", True).over(earlier).alias("_carry"))
+    filled = numbered.withColumn("_local", F.last(value, True).over(here)).join(carried, [*group, "_part"], "left")
+    return filled.withColumn(name, F.coalesce("_local", "_carry")).drop("_mid", "_part", "_local", "_carry")
