@@ -11,17 +11,22 @@ from pyspark.sql.types import StringType
 
 # Fixed values.
 SENSITIVE_QUERY_KEYS = (
-    "access_key", "access_token", "api_key", "apikey", "auth", "authorization", "awsaccesskeyid", "client_secret", "code",
-    "credential", "id_token", "jwt", "key", "oauth_token", "password", "passwd", "session", "sessionid", "sig", "signature",
-    "token",
+    "access_token", "api_key", "apikey", "auth", "authorization", "awsaccesskeyid", "bearer", "client_secret", "code", "cookie",
+    "googleaccessid", "jwt", "oauth_token", "passwd", "password", "session", "sessionid", "sig", "signature", "token",
 )
-BLOCKER_MARKERS = (
-    "captcha", "access denied", "verify you are human", "enable javascript and cookies", "subscribe to continue",
-    "sign in to continue", "please log in", "unusual traffic",
+CAPTCHA_MARKERS = (
+    'class="g-recaptcha"', "class='g-recaptcha'", "hcaptcha", "cf-chl-", "challenge-platform", "verify you are human", "/recaptcha/",
+)
+PAYWALL_MARKERS = (
+    'id="paywall"', "id='paywall'", 'class="paywall"', "class='paywall'", "subscribe to continue", "subscription required",
+    "purchase a subscription",
+)
+LOGIN_MARKERS = (
+    'type="password"', "type='password'", "authentication required", "login required", "sign in required", "<title>sign in",
+    "<title>login",
 )
 MULTI_LABEL_SUFFIXES = (
-    "co.uk", "org.uk", "gov.uk", "ac.uk", "com.kw", "gov.kw", "edu.kw", "org.kw", "net.kw", "com.sa", "gov.sa", "org.sa",
-    "net.sa", "edu.sa", "com.au", "co.jp", "com.qa", "com.bh", "com.om", "co.in", "com.eg",
+    "co.uk", "com.ae", "com.bh", "com.kw", "com.om", "com.qa", "com.sa", "edu.kw", "gov.kw", "net.kw", "org.kw",
 )
 
 
@@ -91,8 +96,18 @@ def registrable_domain(host: Column) -> Column:
 
 
 def access_blocker(html: Column) -> Column:
-    """Login, paywall or captcha wording anywhere in the page text."""
-    return F.lower(html).rlike("|".join(BLOCKER_MARKERS))
+    """CAPTCHA, PAYWALL or LOGIN when the whole page carries such a marker, else NULL."""
+    page = F.lower(html)
+
+    def any_of(markers):
+        hit = F.lit(False)
+        for m in markers:
+            hit = hit | F.contains(page, F.lit(m))
+        return hit
+
+    return (
+        F.when(any_of(CAPTCHA_MARKERS), "CAPTCHA").when(any_of(PAYWALL_MARKERS), "PAYWALL").when(any_of(LOGIN_MARKERS), "LOGIN")
+    )
 
 
 def isin_valid(isin: Column) -> Column:

@@ -356,3 +356,34 @@ def score_nightly(run: dict[str, DataFrame], run_id: str, scored_at: Column) ->
 
 def event_digest() -> Column:
     return row_digest(["event_id", "official_code", "prediction_at", "cohort", "factors"])
+
+
+def check_samples(samples: DataFrame) -> DataFrame:
+    return R.check(
+        samples,
+        R.must("SAMPLE_TIMES_OUT_OF_ORDER",
+               (F.col("feature_cutoff") <= F.col("label_start")) & (F.col("label_start") <= F.col("label_end"))),
+    )
+
+
+def purge_training(training: DataFrame, test: DataFrame, embargo_days: int) -> DataFrame:
+    """Training samples with ``kept`` and the reasons of the removed ones.
+
+    A sample stays only if its whole information interval ends before the first
+    held-out cutoff. Overlap with any held-out interval implies the opposite, so
+    two scalars of the test side decide everything and no interval join is run.
+    """
+    edge = test.agg(F.min("feature_cutoff").alias("start"), F.max("label_end").alias("end")).first()
+    if edge["start"] is None:
+        raise ValueError("test samples are required")
+    start, end = [F.lit(edge[k]).cast("timestamp") for k in ("start", "end")]
+    late = F.col("label_end") >= start
+    embargoed = (F.col("feature_cutoff") > end) & (F.col("feature_cutoff") <= end + F.expr(f"INTERVAL {int(embargo_days)} DAYS"))
+    reasons = R.code_array(R.never("NOT_STRICTLY_PRIOR", late), R.never("IN_EMBARGO", embargoed))
+    return training.withColumn("reasons", reasons).withColumn("kept", F.size("reasons") == 0)
+
+
+def assert_causal(training: DataFrame, test: DataFrame) -> None:
+    """Raise when a training sample reaches the first held-out cutoff."""
+    if purge_training(training, test, 0).where("NOT kept").limit(1).count():
+        raise ValueError("training label intervals overlap test boundary")

@@ -16,7 +16,7 @@ from tidegauge.operators.pit import interval_join
 ZERO_RETURN = 1e-15
 CHANGE_TOLERANCE = 0.06
 TRADED_STATES = ("TRADED", "TRADED_THEN_SUSPENDED")
-EOD_STATES = TRADED_STATES + ("NO_TRADE", "SUSPENDED", "HALTED", "LISTED_NOT_YET_TRADING")
+EOD_STATES = TRADED_STATES + ("NO_TRADE", "SUSPENDED", "HALTED", "NOT_LISTED_OR_NOT_ELIGIBLE")
 CA_STATES = ("officially_adjusted", "raw_unadjusted", "not_applicable", "unknown")
 EXECUTABLE_PHASES = ("OPENING_AUCTION", "CONTINUOUS", "CLOSING_AUCTION", "TRADE_AT_LAST")
 ANALYST_MINIMUM_BARS = 5
@@ -303,7 +303,7 @@ def fill_estimate(
     )
 
 
-def executability(quotes: DataFrame, authorized=("AUTHORIZED_REALTIME", "LICENSED_REALTIME"), max_age_minutes: float = 2.0) -> DataFrame:
+def executability(quotes: DataFrame, authorized=("LICENSED_VENDOR", "BROKER_AUTHENTICATED", "DIRECT_MARKET_FEED"), max_age_minutes: float = 2.0) -> DataFrame:
     """Whether a quote snapshot could be traded on at its decision time, with every reason."""
     micros = F.unix_micros
     age = (micros("decision_at") - micros("provider_as_of")) / 60e6

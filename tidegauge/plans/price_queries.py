@@ -148,7 +148,7 @@ def quotes(spark, sf_dir):
         "event_id", F.col("ts").alias("provider_as_of"),
         F.timestamp_micros(F.unix_micros("ts") + F.floor(delay * 600000)).alias("observed_at"),
         F.timestamp_micros(F.unix_micros("ts") + F.floor(delay * 1000000)).alias("decision_at"),
-        F.when(F.col("event_type") == "error", "PUBLIC").otherwise("LICENSED_REALTIME").alias("feed_access"),
+        F.when(F.col("event_type") == "error", "PUBLIC").otherwise("LICENSED_VENDOR").alias("feed_access"),
         F.when(F.col("event_type") != "signup", F.lit("E1")).alias("entitlement_id"),
         F.sha2(F.col("event_id").cast("string"), 256).alias("raw_sha256"),
         F.lit(1.0).alias("delay_minutes"),

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lab_queries", "pit_queries", "price_queries", "reconcile_queries", "evaluate_queries", "event_queries", "network_queries")
+MODULES = (
+    "lab_queries", "pit_queries", "price_queries", "reconcile_queries", "evaluate_queries", "event_queries", "network_queries",
+    "ledger_queries",
+)
 
 
 def _merged(attribute: str) -> dict:
