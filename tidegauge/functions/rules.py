@@ -36,7 +36,12 @@ def first_code(*rules: Column) -> Column:
 
 
 def check(df: DataFrame, *rules: Column) -> DataFrame:
-    return df.withColumn("issue_codes", code_array(*rules))
+    """Add ``issue_codes``, evaluated once per row.
+
+    The array is produced by a generator, because a later filter on a projected
+    array would be pushed down and would evaluate every rule a second time.
+    """
+    return df.select("*", F.explode_outer(F.array(code_array(*rules))).alias("issue_codes"))
 
 
 def clean(checked: DataFrame) -> DataFrame:
