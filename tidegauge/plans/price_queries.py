@@ -8,6 +8,7 @@ from tidegauge.operators import corporate_actions as ca
 from tidegauge.operators import prices
 from tidegauge.plans import views
 from tidegauge.plans.views import table, with_views
+from tidegauge.session import spread
 
 
 def _day(col="trade_date"):
@@ -173,7 +174,7 @@ def previous_close(spark, sf_dir):
 
 def terms(spark, sf_dir):
     """Corporate-action terms spelled from the columns of each line item."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     types = F.array(*[F.lit(t) for t in ("CASH_DIVIDEND_NORMAL", "CASH_DIVIDEND_SPECIAL", "BONUS_SHARES", "STOCK_SPLIT",
                                          "REVERSE_SPLIT", "RIGHTS_ISSUE", "MERGER")])
     dec = lambda c: c.cast("decimal(20,6)")
