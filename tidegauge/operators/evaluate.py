@@ -29,10 +29,11 @@ MINIMUM_FEATURE_COVERAGE = 0.67
 
 def outcome_returns(rows: DataFrame) -> DataFrame:
     """Comparable and executed returns of a prediction joined to its outcome."""
-    benchmark = F.col("benchmark_exit_value") / F.col("benchmark_entry_value") - 1.0
+    benchmark = F.try_divide("benchmark_exit_value", "benchmark_entry_value") - 1.0
     cash = F.col("cash_distribution_return")
-    gross = F.col("market_exit_price") * F.col("price_adjustment_factor") / F.col("market_entry_price") - 1.0 + cash
-    executed = F.col("executed_exit_price") * F.col("price_adjustment_factor") / F.col("executed_entry_price") - 1.0 + cash
+    factor = F.col("price_adjustment_factor")
+    gross = F.try_divide(F.col("market_exit_price") * factor, F.col("market_entry_price")) - 1.0 + cash
+    executed = F.try_divide(F.col("executed_exit_price") * factor, F.col("executed_entry_price")) - 1.0 + cash
     cost = F.lit(0.0)
     for c in COST_FIELDS:
         cost = cost + F.col(c)

@@ -128,11 +128,11 @@ def check_replay_rows(rows: DataFrame) -> DataFrame:
 
 def replay_returns(rows: DataFrame) -> DataFrame:
     """Gross, net and excess returns of replay rows."""
-    gross = F.col("exit_price") * F.col("adjustment_factor") / F.col("entry_price") - 1.0 + F.col("cash_return")
+    gross = F.try_divide(F.col("exit_price") * F.col("adjustment_factor"), F.col("entry_price")) - 1.0 + F.col("cash_return")
     return rows.withColumns({
         "gross": gross, "net": gross - F.col("cost_return"),
-        "market_excess": gross - F.col("cost_return") - (F.col("market_exit") / F.col("market_entry") - 1.0),
-        "sector_excess": gross - F.col("cost_return") - (F.col("sector_exit") / F.col("sector_entry") - 1.0),
+        "market_excess": gross - F.col("cost_return") - (F.try_divide("market_exit", "market_entry") - 1.0),
+        "sector_excess": gross - F.col("cost_return") - (F.try_divide("sector_exit", "sector_entry") - 1.0),
     })
 
 

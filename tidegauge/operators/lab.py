@@ -191,7 +191,7 @@ def base_weights(training: DataFrame) -> DataFrame:
     mass = long.groupBy("horizon").agg(F.sum(F.abs("raw_weight")).alias("mass"))
     return long.join(F.broadcast(mass), "horizon").select(
         "horizon", "factor_id", "raw_weight",
-        F.when(F.col("mass") != 0, F.col("raw_weight") / F.col("mass")).otherwise(0.0).alias("base_weight"),
+        F.coalesce(F.try_divide("raw_weight", "mass"), F.lit(0.0)).alias("base_weight"),
     )
 
 

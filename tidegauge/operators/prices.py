@@ -82,7 +82,7 @@ def check_research_bar(bars: DataFrame) -> DataFrame:
 def daily_returns(bars: DataFrame) -> DataFrame:
     """Close-to-close return per code; the first bar has none."""
     prev = F.lag("close").over(_by_code())
-    return bars.withColumn("prev_close", prev).withColumn("daily_return", F.col("close") / prev - 1.0)
+    return bars.withColumn("prev_close", prev).withColumn("daily_return", F.try_divide(F.col("close"), prev) - 1.0)
 
 
 def change_mismatches(bars: DataFrame, change: str = "change_percent", tolerance: float = CHANGE_TOLERANCE) -> DataFrame:
@@ -117,7 +117,7 @@ def liquidity_metrics(bars: DataFrame) -> DataFrame:
         ((missing + zero) / F.count("*")).alias("nontrading_ratio"),
         F.median(F.when(volume > 0, volume)).alias("median_volume"),
         F.median(F.when(turnover > 0, turnover)).alias("median_turnover"),
-        F.avg(F.when((turnover > 0) & (volume > 0), ret / turnover)).alias("amihud_illiquidity"),
+        F.avg(F.when((turnover > 0) & (volume > 0), F.try_divide(ret, turnover))).alias("amihud_illiquidity"),
     )
 
 
@@ -148,7 +148,7 @@ def price_window_signals(bars: DataFrame) -> DataFrame:
         F.median(F.when(~F.col("is_last") & (volume > 0), volume)).alias("median_prior_volume"),
         (F.count_if(volume.isNull()) + F.count_if(volume == 0)).alias("nontrading"),
     )
-    trailing = F.col("last_close") / F.col("first_close") - 1.0
+    trailing = F.try_divide("last_close", "first_close") - 1.0
     ratio = F.col("last_volume") / F.col("median_prior_volume")
     activity = scaled_strength(F.col("last_return"), 0.05)
     weighted = F.when(
@@ -175,14 +175,14 @@ def price_window_signals(bars: DataFrame) -> DataFrame:
                F.lit(None).cast("double"))
     )
     return s.select(
-        "code", "n", "volatility", (F.col("last_close") / F.col("max_close") - 1.0).alias("drawdown"),
+        "code", "n", "volatility", (F.try_divide("last_close", "max_close") - 1.0).alias("drawdown"),
         F.explode(F.when(F.col("n") >= ANALYST_MINIMUM_BARS, enough).otherwise(none)).alias("s"),
     ).select("code", "n", "volatility", "drawdown", "s.*")
 
 
 def growth(current: Column, prior: Column) -> Column:
     return F.when(
-        F.abs(prior) >= 1e-12, current / F.abs(prior) - F.when(prior > 0, 1.0).otherwise(-1.0)
+        F.abs(prior) >= 1e-12, F.try_divide(current, F.abs(prior)) - F.when(prior > 0, 1.0).otherwise(-1.0)
     )
 
 
@@ -192,7 +192,7 @@ def fundamentals_quality(current: DataFrame, prior: DataFrame, *key: str) -> Dat
     c = current.select(*key, *[F.col(f).alias(f"c_{f}") for f in fields])
     p = prior.select(*key, *[F.col(f).alias(f"p_{f}") for f in fields])
     j = c.join(p, list(key))
-    leverage = F.when(F.col("c_equity") > 0, F.col("c_total_debt") / F.col("c_equity"))
+    leverage = F.when(F.col("c_equity") > 0, F.try_divide("c_total_debt", "c_equity"))
     revenue_growth = growth(F.col("c_revenue"), F.col("p_revenue"))
     income_growth = growth(F.col("c_net_income"), F.col("p_net_income"))
     votes = [
@@ -280,7 +280,7 @@ def fill_estimate(
         ).otherwise(0),
     )
     filled = F.col("_filled")
-    rate = F.when(filled > 0, filled / F.col("session_volume"))
+    rate = F.when(filled > 0, F.try_divide(filled, F.col("session_volume")))
     to_cap = F.least(F.lit(1.0), rate / max_participation)
     price = quote * (F.lit(1.0) + F.lit(impact) * to_cap * F.when(buy, 1).otherwise(-1))
     notional = price * filled / 1000.0
@@ -323,8 +323,8 @@ def executability(quotes: DataFrame, authorized=("LICENSED_VENDOR", "BROKER_AUTH
         R.must("NON_EXECUTABLE_MARKET_PHASE", F.upper("market_phase").isin(*EXECUTABLE_PHASES)),
         F.when(status != "TRADED", F.concat(F.lit("TRADING_STATUS_"), F.when(status == "", "UNKNOWN").otherwise(status))),
         R.never("CROSSED_QUOTE", two_sided & (F.col("ask") < F.col("bid"))),
-        R.never("UPPER_LIMIT_QUEUE_OR_CENSORING", two_sided & (F.col("ask") / F.col("reference_price") >= 1.10 - 1e-12)),
-        R.never("LOWER_LIMIT_STATE", two_sided & (F.col("bid") / F.col("reference_price") <= 0.95 + 1e-12)),
+        R.never("UPPER_LIMIT_QUEUE_OR_CENSORING", two_sided & (F.try_divide("ask", "reference_price") >= 1.10 - 1e-12)),
+        R.never("LOWER_LIMIT_STATE", two_sided & (F.try_divide("bid", "reference_price") <= 0.95 + 1e-12)),
         R.must("INVALID_TWO_SIDED_QUOTE", two_sided),
     )
     return quotes.withColumn("reason_codes", reasons).withColumn("age_minutes", age).withColumn(

@@ -146,7 +146,7 @@ def names_compatible(left: Column, right: Column) -> Column:
     sa, sb = F.array_distinct(a), F.array_distinct(b)
     smaller = F.least(F.size(sa), F.size(sb))
     return F.coalesce(a == b, F.lit(False)) | (
-        (smaller > 0) & (F.size(F.array_intersect(sa, sb)) / smaller >= 0.8)
+        (smaller > 0) & (F.size(F.array_intersect(sa, sb)) >= smaller * 0.8)
     )
 
 
