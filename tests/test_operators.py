@@ -222,9 +222,11 @@ def test_nightly_lab_fits_seals_and_scores(spark):
     m = {r["horizon"]: r for r in lab.score_nightly(run, "r", run_at).collect()}
     assert m["WEEK"]["mean_absolute_error"] == 0.0 and m["WEEK"]["directional_hit_rate"] == 1.0 and m["WEEK"]["event_count"] == 12 + 68
     changed = {**run, "predictions": run["predictions"].withColumn("score", F.col("score") + 1e-9)}
-    sealed = {**changed, "seal": run["seal"].sparkSession.createDataFrame(run["seal"].collect())}
-    with pytest.raises(ValueError, match="TAMPERED"):
-        lab.score_nightly(sealed, "r", run_at)
+    with pytest.raises(ValueError, match="PACKET_TAMPERED"):
+        lab.score_nightly(changed, "r", run_at)
+    opened = {**run, "vault": run["vault"].withColumn("excess_return", F.col("excess_return") * 2)}
+    with pytest.raises(ValueError, match="VAULT_TAMPERED"):
+        lab.score_nightly(opened, "r", run_at)
     stopped = lab.run_nightly(corpus(spark, 100), "r", run_at)
     assert stopped["gate"].first()["reasons"] == ["PROBE_EVENT_MINIMUM_NOT_MET"] and "weights" not in stopped
 

@@ -332,14 +332,17 @@ def run_nightly(events: DataFrame, run_id: str, run_at: Column, **gate) -> dict[
     weights = materialise(
         fit_and_calibrate(split.where("split = 'TRAINING'"), split.where("split = 'VALIDATION'"))
     )
+    # Packet, vault and both seals are stored tables: a seal must not be recomputed from what it guards.
     packet = materialise(predict(blind_holdout(split), weights))
+    vault = materialise(outcome_vault(split))
     return {
         **result,
         "split": split,
         "weights": weights,
         "predictions": packet,
-        "seal": seal(packet, run_id),
-        "vault": outcome_vault(split),
+        "seal": materialise(seal(packet, run_id)),
+        "vault": vault,
+        "vault_seal": materialise(seal(vault, run_id)),
     }
 
 
@@ -347,6 +350,8 @@ def score_nightly(run: dict[str, DataFrame], run_id: str, scored_at: Column) ->
     """Open the vault only for an intact packet with the exact denominator."""
     if not verify_seal(run["predictions"], run["seal"], run_id):
         raise ValueError("SEALED_PACKET_TAMPERED")
+    if not verify_seal(run["vault"], run["vault_seal"], run_id):
+        raise ValueError("OUTCOME_VAULT_TAMPERED")
     if denominator_mismatch(run["predictions"], run["vault"]).limit(1).count():
         raise ValueError("HOLDOUT_PREDICTION_OUTCOME_DENOMINATOR_MISMATCH")
     if run["vault"].where(F.col("known_at") > scored_at).limit(1).count():
