@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import lines, simhash
+from tidegauge.llm import language, lines, seeds, simhash
 from tidegauge.plans.views import table
 
 
@@ -21,15 +21,34 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("event_id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    labelled = table(spark, sf_dir, "documents").where(~held_out).select(
+        F.col("doc_id").alias("event_id"), F.col("text").alias("raw_text"), F.col("lang").alias("language"))
+    found = language.predict(source_events(spark, sf_dir), language.fit(labelled))
+    doc_id = F.col("record.event_id")
+    return found.select(
+        doc_id.alias("doc_id"), (F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1).alias("held_out"),
+        F.col("predicted_language").alias("lang_pred"), F.col("margin").alias("score"), "rejected")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = source_events(spark, sf_dir)
     kept = lines.apply_bitmaps(events, lines.keep_bitmaps(events, min_chars=20, min_events=3))
     return kept.select(F.col("record.event_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    holdout = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("holdout_id"), F.col("text").alias("raw_text"))
+    found = seeds.overlaps(source_events(spark, sf_dir), holdout)
+    return found.withColumnsRenamed({"event_id": "doc_id", "holdout_id": "item_id"})
+
+
 QUERIES = {
     "op3_simhash": op3_simhash,
+    "op5_language": op5_language,
     "op7_line_dedup": op7_line_dedup,
+    "op10_decontamination": op10_decontamination,
 }
 
 LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -44,4 +63,16 @@ ORACLE = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE doc_id <> top) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE top IS NULL OR doc_id = top), '')) AS kept_sha256
         FROM k LEFT JOIN f USING (key) GROUP BY doc_id""",
+    # Every pair of equal tokens on a diagonal, not only those under a seed.
+    "op10_decontamination": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM benchmark),
+        dw AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS at FROM d),
+        bw AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS own_at FROM b WHERE len(ws) >= 5),
+        eq AS (SELECT doc_id, item_id, n, own_at, count(*) OVER (
+                   PARTITION BY doc_id, item_id, at - own_at ORDER BY own_at RANGE BETWEEN 11 PRECEDING AND CURRENT ROW) AS equal_tokens
+               FROM dw JOIN bw USING (w))
+        SELECT doc_id, item_id, CAST(least(12, n) AS INTEGER) AS window_tokens, max(equal_tokens) AS equal_tokens,
+               max(equal_tokens) / least(12, n) AS similarity
+        FROM eq WHERE equal_tokens >= CASE WHEN n < 12 THEN n ELSE 10 END GROUP BY doc_id, item_id, n""",
 }
