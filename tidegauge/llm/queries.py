@@ -67,10 +67,10 @@ ORACLE = {
     "op10_decontamination": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents),
         b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM benchmark),
-        dw AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS at FROM d),
+        dw AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS word_at FROM d),
         bw AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS own_at FROM b WHERE len(ws) >= 5),
         eq AS (SELECT doc_id, item_id, n, own_at, count(*) OVER (
-                   PARTITION BY doc_id, item_id, at - own_at ORDER BY own_at RANGE BETWEEN 11 PRECEDING AND CURRENT ROW) AS equal_tokens
+                   PARTITION BY doc_id, item_id, word_at - own_at ORDER BY own_at RANGE BETWEEN 11 PRECEDING AND CURRENT ROW) AS equal_tokens
                FROM dw JOIN bw USING (w))
         SELECT doc_id, item_id, CAST(least(12, n) AS INTEGER) AS window_tokens, max(equal_tokens) AS equal_tokens,
                max(equal_tokens) / least(12, n) AS similarity

@@ -68,13 +68,16 @@ def overlaps(
     """
     own = holdout.select("holdout_id", tokens(F.col("raw_text")).alias("own")).where(F.size("own") >= min(map(len, masks))).distinct()
     own = materialise(own.withColumn("text_key", F.xxhash64("holdout_id", "own")))
-    held = own.select("text_key", F.size("own").alias("n"), F.posexplode(_seeds(F.col("own"), masks)).alias("index", "seed")).select(
-        "text_key", "seed", _placed(F.col("index"), F.col("n"), masks).alias("own_at"))
-    seeds = materialise(held)
+    held = own.select("text_key", F.size("own").alias("n"), _seeds(F.col("own"), masks).alias("seeds"))
+    seeds = materialise(
+        held.select("text_key", "n", F.posexplode("seeds").alias("index", "seed"))
+        .select("text_key", "seed", _placed(F.col("index"), F.col("n"), masks).alias("own_at")))
 
     texts = events.select("event_id", body_of(F.col("raw_text")).alias("body"), "raw_text")
     words = texts.select("event_id", "body", tokens(F.col("raw_text")).alias("words"))
-    placed = words.select("event_id", "body", F.size("words").alias("n"), F.posexplode(_seeds(F.col("words"), masks)).alias("index", "seed"))
+    # The token array must not pass through the generator, which would repeat it in every row.
+    hashed = words.select("event_id", "body", F.size("words").alias("n"), _seeds(F.col("words"), masks).alias("seeds"))
+    placed = hashed.select("event_id", "body", "n", F.posexplode("seeds").alias("index", "seed"))
     met = placed.join(broadcast_if_small(seeds.select("seed").distinct(), MAX_BROADCAST), "seed", "left_semi")
     hits = met.select("event_id", "body", "seed", _placed(F.col("index"), F.col("n"), masks).alias("at"))
     reach = max(map(len, masks)) + min_overlap
