@@ -49,7 +49,15 @@ def test_groups_equal_brute_force(spark):
 
 def test_empty_table(spark):
     out = simhash.groups(spark.createDataFrame([], "event_id long, raw_text string"))
-    assert out.count() == 0 and out.columns == ["event_id", "fingerprint", "component_id"]
+    assert out.count() == 0 and out.columns == ["event_id", "fingerprint", "component_id", "group", "body"]
+
+
+def test_one_text_of_each_group_stays(spark):
+    rows = texts()
+    grouped = simhash.groups(spark.createDataFrame(rows, "event_id long, raw_text string"))
+    kept = simhash.representatives(grouped).collect()
+    assert len(kept) == grouped.select("group").distinct().count()
+    assert {r.event_id for r in kept} == {c for _, _, c in brute(rows)}
 
 
 def test_links_between_finds_every_component():

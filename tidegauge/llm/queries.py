@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import language, lines, seeds, simhash
+from tidegauge.llm import language, lines, packing, seeds, simhash
 from tidegauge.plans.views import table
 
 
@@ -16,6 +16,13 @@ def source_events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), F.col("text").alias("raw_text"), *columns)
 
 
+def byte_vocabulary() -> dict[str, str]:
+    """The byte-level vocabulary of the packed windows, where the tokenizer package is installed."""
+    import public_tokenizers
+
+    return {"tokenizer": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken")}
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(source_events(spark, sf_dir), shingle=3, radius=3)
     return found.select(F.col("event_id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -32,6 +39,11 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("predicted_language").alias("lang_pred"), F.col("margin").alias("score"), "rejected")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack(source_events(spark, sf_dir), **byte_vocabulary(), end_id=0, window=1024)
+    return found.withColumnRenamed("event_id", "doc_id")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = source_events(spark, sf_dir)
     kept = lines.apply_bitmaps(events, lines.keep_bitmaps(events, min_chars=20, min_events=3))
@@ -47,6 +59,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_simhash": op3_simhash,
     "op5_language": op5_language,
+    "op6_packing": op6_packing,
     "op7_line_dedup": op7_line_dedup,
     "op10_decontamination": op10_decontamination,
 }

@@ -173,13 +173,20 @@ def groups(events: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     blank) has fingerprint zero and links like any other. Fingerprints of at most ``radius`` differing bits link.
 
     Returns one row per input row: ``event_id, fingerprint`` (long, the 64 bits), ``component_id``, the smallest
-    event id that links reach, its own included. A null event id is returned with the component of its text and names
+    event id that links reach, its own included, ``group``, a number of the group, and ``body``, a hash that tells
+    apart texts of one event id. A null event id is returned with the component of its text and names
     a component only if no other id is in it. Other columns are ignored; an empty table gives an empty result.
     """
-    prints = materialise(fingerprints(events, shingle, event_id="event_id"))
+    prints = materialise(fingerprints(events, shingle, event_id="event_id", body="xxhash64(coalesce(raw_text, ''))"))
     classes = materialise(prints.groupBy("fingerprint").agg(F.min("event_id").alias("least")))
     labels = components(links(classes, radius))
     labelled = classes.join(labels.select(F.col("node").alias("fingerprint"), "label"), "fingerprint", "left").select(
         "fingerprint", "least", F.coalesce("label", "fingerprint").alias("label"))
-    named = labelled.join(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("fingerprint", "component_id")
-    return prints.join(named, "fingerprint").select("event_id", "fingerprint", "component_id")
+    named = labelled.join(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "label")
+    return prints.join(named, "fingerprint").select("event_id", "fingerprint", "component_id", F.col("label").alias("group"), "body")
+
+
+def representatives(grouped: DataFrame) -> DataFrame:
+    """The one text of each group that stays, ``(event_id, body)``: smallest event id, then smallest body; null ids last."""
+    first = F.min(F.struct(F.col("event_id").isNull().alias("unnamed"), "event_id", "body")).alias("first")
+    return grouped.groupBy("group").agg(first).select("first.event_id", "first.body")
