@@ -24,7 +24,7 @@ def check(rows, pieces, window):
         texts[event_id].append(ids_of(text))
     cut = defaultdict(list)
     for p in pieces:
-        cut[p.event_id].append((p.start, p.length, p.ids_crc32, p.doc_tokens))
+        cut[p[0]].append((p.start, p.length, p.ids_crc32, p.doc_tokens))
     expected = defaultdict(list)
     for event_id, lists in texts.items():
         for ids in lists:
