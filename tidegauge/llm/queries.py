@@ -5,10 +5,10 @@ A document is a source event (``doc_id`` as ``event_id``, ``text`` as ``raw_text
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import language, lines, packing, seeds, simhash
+from tidegauge.llm import language, lines, ngrams, packing, seeds, simhash
 from tidegauge.plans.views import table
 
 
@@ -16,6 +16,19 @@ def source_events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), F.col("text").alias("raw_text"), *columns)
 
 
+def hashed_apart(doc_id: Column, parts: int) -> Column:
+    """True for the documents that are held out: remainder 1 of the id's checksum."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % parts == 1
+
+
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = source_events(spark, sf_dir)
+    model = ngrams.fit(spark, events.where(~hashed_apart(F.col("event_id"), 5)), order=2)
+    return ngrams.score(events, model).select(
+        F.col("event_id").alias("doc_id"), hashed_apart(F.col("event_id"), 5).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
+
+
 def byte_vocabulary() -> dict[str, str]:
     """The byte-level vocabulary of the packed windows, where the tokenizer package is installed."""
     import public_tokenizers
@@ -29,13 +42,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
-    labelled = table(spark, sf_dir, "documents").where(~held_out).select(
+    labelled = table(spark, sf_dir, "documents").where(~hashed_apart(F.col("doc_id"), 3)).select(
         F.col("doc_id").alias("event_id"), F.col("text").alias("raw_text"), F.col("lang").alias("language"))
     found = language.predict(source_events(spark, sf_dir), language.fit(labelled))
     doc_id = F.col("record.event_id")
     return found.select(
-        doc_id.alias("doc_id"), (F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1).alias("held_out"),
+        doc_id.alias("doc_id"), hashed_apart(doc_id, 3).alias("held_out"),
         F.col("predicted_language").alias("lang_pred"), F.col("margin").alias("score"), "rejected")
 
 
@@ -57,6 +69,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_lm_score": op2_lm_score,
     "op3_simhash": op3_simhash,
     "op5_language": op5_language,
     "op6_packing": op6_packing,
