@@ -81,3 +81,22 @@ def test_components_of_a_long_chain_and_a_hot_link(spark):
     assert all(got[i] == 0 for i in range(61))
     assert all(got[i] == 100 for i in range(100, 300))
     assert got[500] == 500
+
+
+def test_rounds_do_not_grow_with_follow_ups(spark):
+    """120 findings on one event, each also sharing an origin with an earlier finding of its own."""
+    rows = []
+    for i in range(120):
+        rows.append((i, "A", "RISK", "POSITIVE", f"own{i}", f"o{i}", START + timedelta(hours=i), "a b c"))
+    for i in range(120):
+        rows.append((120 + i, "A", "RISK", "POSITIVE", "shared", f"o{119 - i}", START + timedelta(hours=120 + i), "a b c"))
+    got = {r["seq"]: r["cluster"] for r in cluster_findings(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == greedy(rows)
+
+
+def test_components_of_a_path_with_random_ids(spark):
+    ids = list(range(2000))
+    random.Random(1).shuffle(ids)
+    links = [(a, f"k{i}") for i, a in enumerate(ids[:-1])] + [(b, f"k{i}") for i, b in enumerate(ids[1:])]
+    got = connected_components(spark.createDataFrame(links, "node long, link string"), "node", "link").collect()
+    assert len(got) == 2000 and {r["label"] for r in got} == {0}

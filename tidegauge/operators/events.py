@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions import rules as R
+from tidegauge.operators.graph import components
 from tidegauge.operators.pit import interval_join
 from tidegauge.session import materialise
 
@@ -29,7 +30,6 @@ TRANSITIONS = {
     ("TRADING", "SUSPEND"): "SUSPENDED", ("SUSPENDED", "RESUME"): "TRADING", ("TRADING", "DELIST"): "DELISTED",
     ("SUSPENDED", "DELIST"): "DELISTED", ("DELISTED", "RELIST"): "TRADING",
 }
-MAX_ROUNDS = 60
 
 
 def check_events(events: DataFrame) -> DataFrame:
@@ -213,29 +213,14 @@ def sentiment(rows: DataFrame, key: str = "code") -> DataFrame:
 def connected_components(links: DataFrame, node: str, link: str) -> DataFrame:
     """Smallest node id of the component of every node; nodes meet where they share a link.
 
-    Links are hyper-edges ``(node, link)``, so a link shared by a million nodes
-    is a million rows, never pairs. Each round takes the minimum label per link
-    and per node (both combine map-side), then follows the label's own label;
-    every round is written out, and the loop ends when nothing changes.
+    Links are hyper-edges ``(node, link)``: every node of a link gets one edge to the link's smallest node, so a link
+    shared by a million nodes is a million rows, never pairs.
     """
-    shared = links.groupBy(link).agg(F.count("*").alias("_n")).where("_n > 1").select(link)
-    edges = materialise(links.select(node, link).distinct().join(shared, link, "left_semi"))
-    labels = materialise(links.select(node).distinct().withColumn("label", F.col(node)))
-    for _ in range(MAX_ROUNDS):
-        by_link = edges.join(labels, node).groupBy(link).agg(F.min("label").alias("_l"))
-        offered = edges.join(by_link, link).groupBy(node).agg(F.min("_l").alias("_l"))
-        stepped = labels.join(offered, node, "left").select(
-            node, F.col("label").alias("_old"), F.least("label", F.coalesce("_l", "label")).alias("label")
-        )
-        jump = stepped.select(F.col(node).alias("label"), F.col("label").alias("_root"))
-        after = materialise(
-            stepped.join(jump, "label", "left").select(node, "_old", F.least("label", F.coalesce("_root", "label")).alias("label"))
-        )
-        changed = after.where("label <> _old").limit(1).count()
-        labels = after.select(node, "label")
-        if not changed:
-            return labels
-    raise RuntimeError("components did not settle")
+    edges = links.select(node, link).distinct()
+    least = edges.groupBy(link).agg(F.min(node).alias("_least"))
+    stars = edges.join(least, link).where(F.col(node) != F.col("_least")).select(F.col(node).alias("a"), F.col("_least").alias("b"))
+    labels = components(stars).withColumnRenamed("node", node)
+    return links.select(node).distinct().join(labels, node, "left").withColumn("label", F.coalesce("label", node))
 
 
 def context_components(events: DataFrame) -> DataFrame:

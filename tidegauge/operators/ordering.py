@@ -103,3 +103,26 @@ def last_before(df: DataFrame, order: Sequence[Column | str], group: Sequence[st
     carried = touched.select(*group, "_part", F.last("_end", True).over(earlier).alias("_carry"))
     filled = numbered.withColumn("_local", F.last(value, True).over(here)).join(carried, [*group, "_part"], "left")
     return filled.withColumn(name, F.coalesce("_local", "_carry")).drop("_mid", "_part", "_local", "_carry")
+
+
+class Order:
+    """Rows sorted once by group and order, for running aggregates of values that change from round to round."""
+
+    def __init__(self, df: DataFrame, order: Sequence[Column | str], group: Sequence[str]):
+        self.group = list(group)
+        self.rows = materialise(df.orderBy(*group, *order).withColumn("_mid", F.monotonically_increasing_id())).withColumn(
+            "_part", F.shiftright("_mid", _ROW_BITS))
+
+    def running_min(self, values: DataFrame, key: str, value: str) -> DataFrame:
+        """Smallest ``value`` among the rows of the group up to each row; ``values`` has one row per ``key``.
+
+        Inside a sort partition by a window; one minimum per group and partition carries over to later partitions.
+        """
+        timed = self.rows.join(values.select(key, value), key)
+        here = Window.partitionBy(*self.group, "_part").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+        ends = timed.groupBy(*self.group, "_part").agg(F.min(value).alias("_end"))
+        earlier = Window.partitionBy(*self.group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(*self.group, "_part", F.min("_end").over(earlier).alias("_carry"))
+        filled = timed.withColumn("_local", F.min(value).over(here)).alias("t").join(
+            carried.alias("c"), [F.col(f"t.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (*self.group, "_part")], "left")
+        return filled.select("t.*", "_carry").withColumn(value, F.least("_local", "_carry")).drop("_mid", "_part", "_local", "_carry")
