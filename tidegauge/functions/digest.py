@@ -35,7 +35,7 @@ def table_digest(df: DataFrame, columns: Sequence[str] | None = None, group: Seq
     cols = list(columns or df.columns)
     hashed = df.select(*group, row_digest(cols).alias("_d"))
     slices = [
-        F.sum(F.conv(F.substring("_d", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).cast("string").alias(f"_s{i}")
+        F.sum(F.conv(F.substring("_d", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string").alias(f"_s{i}")
         for i in range(4)
     ]
     agg = hashed.groupBy(*group).agg(F.count("*").alias("row_count"), *slices)

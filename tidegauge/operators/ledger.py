@@ -59,15 +59,15 @@ def verify_chain(log: DataFrame, hashed_fields: Sequence[str] = HASHED_FIELDS) -
     ).drop("_n", "_nr", "_prev_hash", "_prev_recorded", "_prior_hash", "_prior_seq")
 
 
-def seal(log: DataFrame) -> DataFrame:
-    """Per ledger: count, first and last hash, last time, content digest."""
+def seal(log: DataFrame, content: Sequence[str] = ()) -> DataFrame:
+    """Per ledger: count, first and last hash, last time, digest of the ``content`` columns (all of them by default)."""
     ends = log.groupBy("ledger_id").agg(
         F.count("*").alias("event_count"),
         F.min_by("event_hash", "event_seq").alias("first_event_hash"),
         F.max_by("event_hash", "event_seq").alias("last_event_hash"),
         F.max_by("recorded_at", "event_seq").alias("last_event_recorded_at"),
     )
-    digest = table_digest(log, group=["ledger_id"]).select("ledger_id", F.col("table_sha256").alias("content_sha256"))
+    digest = table_digest(log, content or None, group=["ledger_id"]).select("ledger_id", F.col("table_sha256").alias("content_sha256"))
     return ends.join(digest, "ledger_id")
 
 

@@ -43,15 +43,25 @@ def seals(spark, sf_dir):
 
 
 def seal_digest(spark, sf_dir):
-    return ledger.seal(log(spark, sf_dir)).select("ledger_id", "event_count", "content_sha256")
+    """Content digest over the hashed chain, which covers ids, order and payload of every event."""
+    return ledger.seal(log(spark, sf_dir), ("event_hash", "event_seq")).select("ledger_id", "event_count", "content_sha256")
 
 
 def table_digests(spark, sf_dir):
-    return table_digest(table(spark, sf_dir, "lineitem"), group=["l_returnflag"])
+    """Digest of every line item by return flag, each spelled as one canonical text of integers, cents and dates."""
+    li = table(spark, sf_dir, "lineitem")
+
+    def cents(c):
+        return F.round(F.col(c) * 100).cast("bigint").cast("string")
+
+    line = F.concat_ws(
+        "|", *[F.col(c).cast("bigint").cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")],
+        *[cents(c) for c in ("l_extendedprice", "l_discount", "l_tax")], "l_returnflag", "l_linestatus", F.to_date("l_shipdate").cast("string"))
+    return table_digest(li.select("l_returnflag", line.alias("line")), ["line"], ["l_returnflag"])
 
 
 def outcome_pairs(spark, sf_dir):
-    """Orders as decisions, line items of the last line number as their outcomes."""
+    """Orders as decisions, line items as their outcomes: each line settles an order of its own number, seventh lines the order itself."""
     d = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("decision_id"), F.col("o_orderdate").alias("issued_at"), F.col("o_orderdate").alias("recorded_at"),
         (F.col("o_orderdate") + F.expr("INTERVAL 5 DAYS")).alias("outcome_due_at"))
@@ -254,6 +264,15 @@ SQL["fin"] = """
     SELECT *, CASE WHEN v < 5 THEN 'NOT_APPLICABLE' WHEN v > 200 THEN 'REJECTED' ELSE 'OBSERVED' END AS st FROM (
       SELECT user_id AS code, CASE event_type WHEN 'error' THEN 'security_trading_status' WHEN 'click' THEN 'momentum' WHEN 'view' THEN 'flow' WHEN 'signup' THEN 'quality'
         ELSE 'unlisted' END AS f, arg_max(value, event_id) AS v, arg_max(ts, event_id) AS t FROM events GROUP BY 1, 2)"""
+
+
+def digest_sql(key: str, json: str, source: str, names: tuple[str, str, str]) -> str:
+    """SQL of a table digest over rows whose JSON is the expression ``json``."""
+    slices = ", ".join(f"CAST(sum(CAST(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS UBIGINT) AS HUGEINT)) AS VARCHAR)" for i in range(4))
+    return f"""SELECT {key} AS {names[0]}, count(*) AS {names[1]}, sha256(concat_ws('|', CAST(count(*) AS VARCHAR), {slices})) AS {names[2]}
+        FROM (SELECT *, sha256({json}) AS h FROM {source}) GROUP BY 1"""
+
+
 SNAP = """SELECT u.code, count(*) FILTER (st = 'OBSERVED') AS observed, 4 - count(st) AS missing, count(*) FILTER (st = 'NOT_APPLICABLE') AS not_applicable,
       count(*) FILTER (st = 'REJECTED') AS rejected, count(*) FILTER (st = 'OBSERVED' AND f IN ('security_trading_status', 'momentum')) AS rq,
       coalesce(bool_or(f = 'security_trading_status' AND st = 'OBSERVED' AND v < 60), FALSE) AS tr
@@ -267,6 +286,13 @@ ORACLE = {
                count(*) AS rows, CAST(sum(seq) AS BIGINT) AS seq_checksum FROM w GROUP BY 1, 2"""),
     "ledger_seals": with_views(["lg", "lh"], """
         SELECT event_type AS ledger_id, count(*) AS event_count, arg_min(h, seq) AS first_event_hash, arg_max(h, seq) AS last_event_hash, arg_max(rec, seq) AS last_us FROM lh GROUP BY 1"""),
+    "ledger_seal_digest": with_views(["lg", "lh"], digest_sql(
+        "event_type", """'{"event_hash":"' || h0 || '","event_seq":' || seq || '}'""", "(SELECT event_type, seq, h AS h0 FROM lh)",
+        ("ledger_id", "event_count", "content_sha256"))),
+    "table_digests": digest_sql("l_returnflag", """'{"line":"' || line || '"}'""", """(SELECT l_returnflag, concat_ws('|', CAST(l_orderkey AS BIGINT),
+        CAST(l_linenumber AS BIGINT), CAST(l_partkey AS BIGINT), CAST(l_suppkey AS BIGINT), CAST(l_quantity AS BIGINT), CAST(round(l_extendedprice * 100) AS BIGINT),
+        CAST(round(l_discount * 100) AS BIGINT), CAST(round(l_tax * 100) AS BIGINT), l_returnflag, l_linestatus, CAST(l_shipdate AS DATE)) AS line FROM lineitem)""",
+        ("l_returnflag", "row_count", "table_sha256")),
     "ledger_outcome_pairs": """
         WITH o AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WHERE l_linenumber = 7)
         SELECT concat_ws('|', CASE WHEN o_orderkey IS NULL THEN 'OUTCOME_WITHOUT_DECISION' END, CASE WHEN n > 1 THEN 'OUTCOME_NOT_UNIQUE' END,
