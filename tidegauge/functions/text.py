@@ -26,7 +26,8 @@ LOGIN_MARKERS = (
     "<title>login",
 )
 MULTI_LABEL_SUFFIXES = (
-    "co.uk", "com.ae", "com.bh", "com.kw", "com.om", "com.qa", "com.sa", "edu.kw", "gov.kw", "net.kw", "org.kw",
+    "ac.uk", "co.in", "co.jp", "co.nz", "co.uk", "com.ae", "com.au", "com.bh", "com.cn", "com.kw", "com.om", "com.qa", "com.sa", "com.tr",
+    "edu.kw", "gov.kw", "net.kw", "org.kw", "org.uk",
 )
 
 
@@ -57,7 +58,7 @@ def sensitive_query(url: str) -> Column:
     """True when any query key could carry a credential or a signed-URL proof."""
     keys = F.transform(
         F.split(F.coalesce(url_part(url, "QUERY"), F.lit("")), "&"),
-        lambda kv: F.regexp_replace(F.lower(F.trim(F.split(kv, "=")[0])), "-", "_"),
+        lambda kv: F.regexp_replace(F.lower(F.trim(F.coalesce(F.try_url_decode(F.split(kv, "=")[0]), F.split(kv, "=")[0]))), "-", "_"),
     )
     flat = {k.replace("_", "") for k in SENSITIVE_QUERY_KEYS}
     return F.exists(
@@ -83,18 +84,50 @@ def check_url(df: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
+@F.pandas_udf(StringType())
+def idna_host(s: pd.Series) -> pd.Series:
+    """ASCII form of international host names; NULL where there is none."""
+
+    def ascii_form(host):
+        try:
+            return None if host is None else host.strip(".").encode("idna").decode("ascii")
+        except UnicodeError:
+            return None
+
+    return s.map(ascii_form)
+
+
 def registrable_domain(host: Column) -> Column:
-    """Last two labels, or three under a known multi-label suffix."""
-    labels = F.split(F.lower(host), r"\.")
+    """Last two labels, or three under a known multi-label suffix; an IP address is returned whole.
+
+    Dots around the name are dropped. International names are compared as they
+    are; :func:`idna_host` gives their ASCII form first.
+    """
+    name = F.trim(F.lower(host), F.lit("."))
+    labels = F.split(name, r"\.")
     last_two = F.concat_ws(".", F.slice(labels, -2, 2))
+    address = name.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$|:")
     return (
         F.when(host.isNull(), None)
-        .when(F.size(labels) < 2, F.lower(host))
+        .when(address | (F.size(labels) < 2), name)
         .when((F.size(labels) >= 3) & last_two.isin(*MULTI_LABEL_SUFFIXES), F.concat_ws(".", F.slice(labels, -3, 3)))
         .otherwise(last_two)
     )
 
 
+def check_host(df: DataFrame, host: str = "host") -> DataFrame:
+    """A host that a domain can be counted for: present, qualified, no empty label."""
+    from tidegauge.functions import rules as R
+
+    name = F.trim(F.col(host), F.lit("."))
+    return R.check(
+        df,
+        R.must("HOST_REQUIRED", R.present(host)),
+        R.never("HOST_NOT_QUALIFIED", R.present(host) & ~F.contains(name, F.lit(".")) & ~F.contains(name, F.lit(":"))),
+        R.never("HOST_LABEL_EMPTY", F.contains(name, F.lit(".."))),
+    )
+
+
 def access_blocker(html: Column) -> Column:
     """CAPTCHA, PAYWALL or LOGIN when the whole page carries such a marker, else NULL."""
     page = F.lower(html)

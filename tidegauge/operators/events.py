@@ -26,6 +26,7 @@ RELATION_TYPES = ("STANDALONE", "ORIGINAL", "SUPPLEMENTARY", "CORRECTIVE", "REPU
 DEPENDENT_RELATIONS = ("SUPPLEMENTARY", "CORRECTIVE", "REPUBLISHED")
 POSITIVE_WORDS = ("POSITIVE", "UP", "BULLISH")
 NEGATIVE_WORDS = ("NEGATIVE", "DOWN", "BEARISH")
+STATUS_VALUES = ("TRADING", "SUSPENDED", "DELISTED")
 TRANSITIONS = {
     ("TRADING", "SUSPEND"): "SUSPENDED", ("SUSPENDED", "RESUME"): "TRADING", ("TRADING", "DELIST"): "DELISTED",
     ("SUSPENDED", "DELIST"): "DELISTED", ("DELISTED", "RELIST"): "TRADING",
@@ -323,23 +324,32 @@ def status_intervals(opening: DataFrame, notices: DataFrame, window_from: Column
     A code with two notices on one date is refused first. What is left has at
     most one notice per civil day, so the folded array is bounded by the window.
     ``opening(code, status, current_status)``, ``notices(code, notice_id,
-    effective_date, event_type)``.
+    effective_date, event_type)`` and optional ``raw_sha256`` on both, which is
+    united per interval into ``evidence_hashes``. A code without a valid opening
+    state has no intervals; a missing or invalid current state is an issue.
     """
     per_day = notices.groupBy("code", "effective_date").agg(F.count("*").alias("_n"))
     clashes = per_day.where("_n > 1").select("code").distinct()
     outside = notices.join(opening, "code", "left_anti").select("code").distinct()
+    repeated = notices.groupBy("notice_id").agg(F.count("*").alias("_n"), F.min("code").alias("code")).where("_n > 1")
+    unopened = opening.where(~F.coalesce(F.col("status").isin(*STATUS_VALUES), F.lit(False)))
+    opening = opening.join(unopened.select("code"), "code", "left_anti")
     usable = notices.join(clashes, "code", "left_anti")
+    text = F.lit(None).cast("string")
+    hashed = F.col("raw_sha256") if "raw_sha256" in notices.columns else text
+    opened = F.col("raw_sha256") if "raw_sha256" in opening.columns else text
     walked = usable.groupBy("code").agg(
-        F.array_sort(F.collect_list(F.struct("effective_date", "notice_id", "event_type"))).alias("walk")
+        F.array_sort(F.collect_list(F.struct("effective_date", "notice_id", "event_type", hashed.alias("evidence")))).alias("walk")
     )
     table = F.create_map(*[x for (state, move), to in TRANSITIONS.items() for x in (F.lit(f"{state}:{move}"), F.lit(to))])
     base = opening.join(clashes, "code", "left_anti").join(walked, "code", "left").withColumn(
-        "walk", F.coalesce("walk", F.array().cast("array<struct<effective_date:date,notice_id:string,event_type:string>>"))
+        "walk", F.coalesce("walk", F.array().cast("array<struct<effective_date:date,notice_id:string,event_type:string,evidence:string>>"))
     )
     seed = F.struct(
         F.col("status").alias("state"), window_from.alias("since"), F.lit("OPENING_STATE").alias("by"),
-        F.array().cast("array<struct<status:string,effective_from:date,effective_to:date,start_notice_id:string,end_notice_id:string>>").alias("done"),
-        F.array().cast("array<string>").alias("bad"),
+        F.array().cast("array<struct<status:string,effective_from:date,effective_to:date,start_notice_id:string,end_notice_id:string,evidence_hashes:array<string>>>")
+        .alias("done"),
+        F.array().cast("array<string>").alias("bad"), F.array_compact(F.array(opened)).alias("evidence"),
     )
 
     def step(acc, n):
@@ -348,6 +358,7 @@ def status_intervals(opening: DataFrame, notices: DataFrame, window_from: Column
             acc["state"].alias("status"), acc["since"].alias("effective_from"),
             F.date_sub(n["effective_date"], 1).alias("effective_to"), acc["by"].alias("start_notice_id"),
             n["notice_id"].alias("end_notice_id"),
+            F.array_distinct(F.array_compact(F.array_append(acc["evidence"], n["evidence"]))).alias("evidence_hashes"),
         )
         valid = target.isNotNull()
         return F.struct(
@@ -357,20 +368,23 @@ def status_intervals(opening: DataFrame, notices: DataFrame, window_from: Column
             F.when(valid & (F.date_sub(n["effective_date"], 1) >= acc["since"]), F.array_append(acc["done"], closed))
             .otherwise(acc["done"]).alias("done"),
             F.when(valid, acc["bad"]).otherwise(
-                F.array_append(acc["bad"], F.concat_ws(":", F.lit("INVALID_STATUS_TRANSITION"), acc["state"], n["event_type"]))
+                F.array_append(acc["bad"], F.concat_ws(":", F.lit("INVALID_STATUS_TRANSITION"), acc["state"], n["event_type"], n["effective_date"].cast("string")))
             ).alias("bad"),
+            F.when(valid, F.array_distinct(F.array_compact(F.array_append(acc["evidence"], n["evidence"])))).otherwise(acc["evidence"]).alias("evidence"),
         )
 
     folded = base.select("code", "current_status", F.aggregate("walk", seed, step).alias("a"))
     last = F.struct(
         F.col("a.state").alias("status"), F.col("a.since").alias("effective_from"), window_to.alias("effective_to"),
-        F.col("a.by").alias("start_notice_id"), F.lit("CURRENT_SNAPSHOT").alias("end_notice_id"),
+        F.col("a.by").alias("start_notice_id"), F.lit("CURRENT_SNAPSHOT").alias("end_notice_id"), F.col("a.evidence").alias("evidence_hashes"),
     )
     intervals = folded.select(
         "code",
         F.explode(F.when(F.col("a.since") <= window_to, F.array_append("a.done", last)).otherwise(F.col("a.done"))).alias("i"),
     ).select("code", "i.*")
     mismatch = F.when(
+        ~F.coalesce(F.col("current_status").isin("TRADING", "SUSPENDED"), F.lit(False)), "MISSING_CURRENT_STATUS",
+    ).when(
         F.col("a.state") != F.col("current_status"),
         F.concat_ws(":", F.lit("CURRENT_STATUS_RECONCILIATION"), F.col("a.state"), F.col("current_status")),
     )
@@ -386,5 +400,7 @@ def status_intervals(opening: DataFrame, notices: DataFrame, window_from: Column
         issue(folded_issues, F.col("code_text"))
         .unionByName(issue(clashes, F.lit("MULTIPLE_STATUS_EVENTS_SAME_DATE")))
         .unionByName(issue(outside, F.lit("STATUS_NOTICE_OUTSIDE_IDENTITY")))
+        .unionByName(issue(repeated, F.lit("DUPLICATE_STATUS_NOTICE_ID")))
+        .unionByName(issue(unopened, F.when(F.col("status").isNull(), "MISSING_OPENING_STATE").otherwise("INVALID_OPENING_STATE")))
     )
     return intervals, problems

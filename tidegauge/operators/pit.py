@@ -125,7 +125,7 @@ def members_on(
 ) -> DataFrame:
     """Tradable members valid on a day as it was known at an instant (pure filter)."""
     valid = active_on(as_of, "valid_from", "valid_to")
-    known = (F.col("known_from") <= known_at) & (F.col("known_to").isNull() | (known_at < F.col("known_to")))
+    known = (F.col("known_from") <= known_at) & (F.col("known_to").isNull() | (known_at <= F.col("known_to")))
     rows = identity.where(valid & known & F.col("tradable"))
     return rows if segment is None else rows.where(F.col("segment") == segment)
 
@@ -135,7 +135,7 @@ def members_by_day(days: DataFrame, identity: DataFrame, known_at: str = "known_
     joined = interval_join(days, identity.where("tradable"), [], "as_of", "valid_from", "valid_to")
     return joined.where(
         (F.col("known_from") <= F.col(known_at))
-        & (F.col("known_to").isNull() | (F.col(known_at) < F.col("known_to")))
+        & (F.col("known_to").isNull() | (F.col(known_at) <= F.col("known_to")))
     )
 
 
@@ -309,15 +309,22 @@ def nth_eligible_session(
     sessions and of sessions whose status is missing or ambiguous. A decision
     finds its segment, adds ``n`` to its own trading count and finds the segment
     holding that count: two bucketed range joins on the code, no day grid. A
-    defect on the way makes an issue instead of a date.
+    defect on the way makes an issue instead of a date. With ``decision_at`` on
+    the decisions and ``session_close`` on the calendar, a decision before the
+    close of its own session is refused; a civil date that the calendar lacks
+    between decision and due day is an issue.
     """
     span = calendar.agg(F.min("trade_date").alias("lo"), F.max("trade_date").alias("hi")).first()
     lo, hi = F.lit(span["lo"]), F.lit(span["hi"])
-    numbered = calendar.select(
-        F.col("trade_date").alias("_day"), "is_trading_day",
-        F.sum(F.col("is_trading_day").cast("int")).over(
-            Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
-        ).alias("_upto"),
+    timed = "decision_at" in decisions.columns and "session_close" in calendar.columns
+    close = F.col("session_close") if timed else F.lit(None).cast("timestamp")
+    # One row per civil date, so the running counts are bounded by the calendar.
+    spine = calendar.sparkSession.range(1).select(F.explode(F.sequence(lo, hi)).alias("trade_date"))
+    so_far = Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = spine.join(calendar, "trade_date", "left").select(
+        F.col("trade_date").alias("_day"), F.coalesce("is_trading_day", F.lit(False)).alias("is_trading_day"), close.alias("_close"),
+        F.sum(F.coalesce(F.col("is_trading_day").cast("int"), F.lit(0))).over(so_far).alias("_upto"),
+        F.sum(F.col("is_trading_day").isNull().cast("int")).over(so_far).alias("_missing"),
     )
     upto = broadcast_if_small(numbered.select("_day", "_upto"))
     level = segments(
@@ -361,12 +368,18 @@ def nth_eligible_session(
         "_due_no", F.col("_goal_no") + F.col("_target") - F.col("_lo")
     )
     index = broadcast_if_small(
-        numbered.where("is_trading_day").select(F.col("_upto").alias("_due_no"), F.col("_day").alias("due_day"))
+        numbered.where("is_trading_day").select(
+            F.col("_upto").alias("_due_no"), F.col("_day").alias("due_day"), F.col("_missing").alias("_due_missing"))
     )
+    all_missing = numbered.agg(F.max("_missing").alias("n")).first()["n"] or 0
     joined = found.join(index, "_due_no", "left")
+    early = F.col("decision_at") < F.col("_close") if timed else F.lit(False)
+    unclosed = F.col("_close").isNull() if timed else F.lit(False)
     issue = (
         F.when(~F.coalesce("is_trading_day", F.lit(False)), "DECISION_NOT_ON_TRADING_SESSION")
+        .when(unclosed, "DECISION_OFFICIAL_SESSION_CLOSE_INVALID").when(early, "DECISION_AT_PRECEDES_OFFICIAL_SESSION_CLOSE")
         .when(~F.coalesce("trades", F.lit(False)), "DECISION_SECURITY_STATUS_NOT_TRADING")
+        .when(F.coalesce("_due_missing", F.lit(all_missing)) > F.col("_missing"), "OFFICIAL_TRADING_CALENDAR_MISSING_DATE")
         .when(F.coalesce("_goal_defects", "defects_all") > F.col("defects_before"), "SECURITY_STATUS_MISSING_OR_AMBIGUOUS")
         .when(F.col("due_day").isNull(), "SESSION_HORIZON_NOT_COVERED")
     )

@@ -76,9 +76,10 @@ def contract(spark, sf_dir):
 
 
 def relations(spark, sf_dir):
-    """Reposts checked after the sign-ups, which some of them repeat, are taken away."""
-    e = source_events(spark, sf_dir).where("event_type <> 'SIGNUP'")
-    return ev.relation_issues(e)
+    """All events; every seventh repost names an original that does not exist."""
+    e = source_events(spark, sf_dir)
+    lost = F.col("original_event_id") + F.when(F.col("event_id") % 7 == 0, 1000000000000).otherwise(0)
+    return ev.relation_issues(e.withColumn("original_event_id", lost))
 
 
 def tone(spark, sf_dir):
@@ -115,17 +116,23 @@ def component_groups(spark, sf_dir):
 
 
 def notices(spark, sf_dir):
-    """One notice per user and day from that day's first event; views say nothing."""
-    e = table(spark, sf_dir, "events").where("event_type <> 'view'")
+    """One notice per user and day from that day's first event; every twentieth user's notices carry one id."""
+    e = table(spark, sf_dir, "events")
     one = e.groupBy(F.col("user_id").alias("code"), F.to_date("ts").alias("effective_date")).agg(
         F.min("event_id").alias("id"), F.min_by("event_type", "event_id").alias("t"))
     move = F.when(F.col("t") == "error", "SUSPEND").when(F.col("t") == "purchase", "RESUME").when(F.col("t") == "signup", "DELIST").otherwise("RELIST")
-    return one.select("code", F.lpad(F.col("id").cast("string"), 12, "0").alias("notice_id"), "effective_date", move.alias("event_type"))
+    own = F.when(F.col("code") % 20 == 1, F.concat(F.lit("U"), F.col("code").cast("string"))).otherwise(F.lpad(F.col("id").cast("string"), 12, "0"))
+    return one.select("code", own.alias("notice_id"), "effective_date", move.alias("event_type"),
+                      F.sha2(F.concat_ws("|", F.col("code").cast("string"), F.col("effective_date").cast("string")), 256).alias("raw_sha256"))
 
 
 def _fold(spark, sf_dir):
-    opening = table(spark, sf_dir, "events").select(F.col("user_id").alias("code")).distinct().withColumns(
-        {"status": F.lit("TRADING"), "current_status": F.lit("TRADING")})
+    """Some users lack an opening or a current state, some have an unknown one."""
+    code = F.col("code")
+    opening = table(spark, sf_dir, "events").select(F.col("user_id").alias("code")).distinct().withColumns({
+        "status": F.when(code % 50 == 7, None).when(code % 50 == 8, "HALTED").otherwise("TRADING"),
+        "current_status": F.when(code % 10 == 3, None).when(code % 10 == 4, "UNKNOWN").otherwise("TRADING"),
+        "raw_sha256": F.sha2(code.cast("string"), 256)})
     d = lambda s: F.lit(s).cast("date")
     return ev.status_intervals(opening, notices(spark, sf_dir), d("2024-01-01"), d("2024-02-15"))
 
@@ -133,7 +140,8 @@ def _fold(spark, sf_dir):
 def status_intervals(spark, sf_dir):
     i, _ = _fold(spark, sf_dir)
     return i.select("code", "status", F.col("effective_from").cast("string").alias("effective_from"),
-                    F.col("effective_to").cast("string").alias("effective_to"), "start_notice_id", "end_notice_id")
+                    F.col("effective_to").cast("string").alias("effective_to"), "start_notice_id", "end_notice_id",
+                    F.size("evidence_hashes").cast("bigint").alias("evidence"))
 
 
 def status_issues(spark, sf_dir):
@@ -161,12 +169,11 @@ CC = """WITH RECURSIVE sev AS ({sev}), ctx AS ({ctx}),
     ed AS (SELECT DISTINCT a.event_id AS x, b.event_id AS y FROM ctx a JOIN ctx b ON a.user_id = b.user_id AND (a.k = b.k OR a.ok = b.ok)),
     cc(x, c) AS (SELECT event_id, event_id FROM ctx UNION SELECT ed.y, cc.c FROM cc JOIN ed ON ed.x = cc.x AND cc.c < ed.y),
     comp AS (SELECT x AS event_id, min(c) AS component FROM cc GROUP BY 1)""".format(sev=SQL["sev"], ctx=SQL["ctx"])
-FOLD = """WITH RECURSIVE n0 AS (SELECT user_id AS code, CAST(ts AS DATE) AS d, min(event_id) AS id, arg_min(event_type, event_id) AS t FROM events
-      WHERE event_type <> 'view' GROUP BY 1, 2),
-    n AS (SELECT code, d, lpad(CAST(id AS VARCHAR), 12, '0') AS id, CASE t WHEN 'error' THEN 'SUSPEND' WHEN 'purchase' THEN 'RESUME' WHEN 'signup' THEN 'DELIST' ELSE 'RELIST' END AS m,
+FOLD = """WITH RECURSIVE n0 AS (SELECT user_id AS code, CAST(ts AS DATE) AS d, min(event_id) AS id, arg_min(event_type, event_id) AS t FROM events GROUP BY 1, 2),
+    n AS (SELECT code, d, CASE WHEN code % 20 = 1 THEN 'U' || code ELSE lpad(CAST(id AS VARCHAR), 12, '0') END AS id, CASE t WHEN 'error' THEN 'SUSPEND' WHEN 'purchase' THEN 'RESUME' WHEN 'signup' THEN 'DELIST' ELSE 'RELIST' END AS m,
           row_number() OVER (PARTITION BY code ORDER BY d) AS rn FROM n0),
     f(code, rn, state, moved, d, id, prev, m) AS (
-      SELECT DISTINCT user_id, CAST(0 AS BIGINT), 'TRADING', TRUE, DATE '2024-01-01', 'OPENING_STATE', 'TRADING', '' FROM events
+      SELECT DISTINCT user_id, CAST(0 AS BIGINT), 'TRADING', TRUE, DATE '2024-01-01', 'OPENING_STATE', 'TRADING', '' FROM events WHERE user_id % 50 NOT IN (7, 8)
       UNION ALL SELECT f.code, n.rn, coalesce(z.nxt, f.state), z.nxt IS NOT NULL, n.d, n.id, f.state, n.m FROM f JOIN n ON n.code = f.code AND n.rn = f.rn + 1
       LEFT JOIN (VALUES ('TRADING','SUSPEND','SUSPENDED'), ('SUSPENDED','RESUME','TRADING'), ('TRADING','DELIST','DELISTED'),
                         ('SUSPENDED','DELIST','DELISTED'), ('DELISTED','RELIST','TRADING')) z(s, m, nxt) ON z.s = f.state AND z.m = n.m)"""
@@ -175,7 +182,7 @@ ORACLE = {
         SELECT CASE WHEN cap - 30000000 < us THEN 'AVAILABLE_AFTER_CAPTURED' ELSE '' END AS issues, count(*) AS rows, CAST(sum(event_id) AS BIGINT) AS ids FROM sev GROUP BY 1"""),
     "events_relation_issues": with_views(["sev"], """
         SELECT 'event_relations' AS operator, CAST(event_id AS VARCHAR) AS row_key, 'MISSING_ORIGINAL_EVENT' AS code, 'ERROR' AS severity
-        FROM sev WHERE event_type <> 'signup' AND orig IN (SELECT event_id FROM sev WHERE event_type = 'signup')"""),
+        FROM sev WHERE orig IS NOT NULL AND event_id % 7 = 0"""),
     "events_canonical": with_views(["sev"], """
         , c AS (SELECT *, CASE WHEN orig IS NOT NULL THEN CAST(orig AS VARCHAR) WHEN event_id IN (SELECT orig FROM sev WHERE orig IS NOT NULL)
                   THEN CAST(event_id AS VARCHAR) ELSE sha256(k) END AS canonical_id FROM sev)
@@ -234,11 +241,15 @@ ORACLE = {
         FROM (SELECT *, CAST(ts AS DATE) || '|' || upper(event_type) AS ok_up FROM j) GROUP BY 1""",
     "status_intervals": FOLD + """
         SELECT code, state AS status, CAST(d AS VARCHAR) AS effective_from, CAST(coalesce(nd - 1, DATE '2024-02-15') AS VARCHAR) AS effective_to,
-               id AS start_notice_id, coalesce(nid, 'CURRENT_SNAPSHOT') AS end_notice_id
-        FROM (SELECT *, lead(d) OVER (PARTITION BY code ORDER BY rn) AS nd, lead(id) OVER (PARTITION BY code ORDER BY rn) AS nid FROM f WHERE moved)
+               id AS start_notice_id, coalesce(nid, 'CURRENT_SNAPSHOT') AS end_notice_id, i + CASE WHEN nid IS NULL THEN 0 ELSE 1 END AS evidence
+        FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY rn) AS i, lead(d) OVER (PARTITION BY code ORDER BY rn) AS nd, lead(id) OVER (PARTITION BY code ORDER BY rn) AS nid FROM f WHERE moved)
         WHERE coalesce(nd - 1, DATE '2024-02-15') >= d""",
     "status_interval_issues": FOLD + """
         SELECT issue AS code, count(*) AS issues, CAST(sum(code) AS BIGINT) AS keys FROM (
-          SELECT code, 'INVALID_STATUS_TRANSITION:' || prev || ':' || m AS issue FROM f WHERE NOT moved
-          UNION ALL SELECT code, 'CURRENT_STATUS_RECONCILIATION:' || arg_max(state, rn) || ':TRADING' FROM f GROUP BY code HAVING arg_max(state, rn) <> 'TRADING') GROUP BY 1""",
+          SELECT code, 'INVALID_STATUS_TRANSITION:' || prev || ':' || m || ':' || CAST(d AS VARCHAR) AS issue FROM f WHERE NOT moved
+          UNION ALL SELECT code, 'MISSING_CURRENT_STATUS' FROM (SELECT DISTINCT code FROM f) WHERE code % 10 IN (3, 4)
+          UNION ALL SELECT code, 'CURRENT_STATUS_RECONCILIATION:' || arg_max(state, rn) || ':TRADING' FROM f WHERE code % 10 NOT IN (3, 4)
+            GROUP BY code HAVING arg_max(state, rn) <> 'TRADING'
+          UNION ALL SELECT code, 'DUPLICATE_STATUS_NOTICE_ID' FROM n WHERE code % 20 = 1 GROUP BY code HAVING count(*) > 1
+          UNION ALL SELECT DISTINCT user_id, CASE user_id % 50 WHEN 7 THEN 'MISSING_OPENING_STATE' ELSE 'INVALID_OPENING_STATE' END FROM events WHERE user_id % 50 IN (7, 8)) GROUP BY 1""",
 }

@@ -61,11 +61,11 @@ def table_digests(spark, sf_dir):
 
 
 def outcome_pairs(spark, sf_dir):
-    """Orders as decisions, line items as their outcomes: each line settles an order of its own number, seventh lines the order itself."""
+    """Orders as decisions, all their line items as outcomes."""
     d = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("decision_id"), F.col("o_orderdate").alias("issued_at"), F.col("o_orderdate").alias("recorded_at"),
         (F.col("o_orderdate") + F.expr("INTERVAL 5 DAYS")).alias("outcome_due_at"))
-    o = table(spark, sf_dir, "lineitem").where("l_linenumber = 7").select(F.col("l_orderkey").alias("decision_id"), F.col("l_shipdate").alias("outcome_at"))
+    o = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("decision_id"), F.col("l_shipdate").alias("outcome_at"))
     p = ledger.pair_outcomes(d, o)
     return p.groupBy(F.concat_ws("|", "issue_codes").alias("issues")).agg(F.count("*").alias("rows"), F.sum("decision_id").alias("ids"))
 
@@ -294,7 +294,7 @@ ORACLE = {
         CAST(round(l_discount * 100) AS BIGINT), CAST(round(l_tax * 100) AS BIGINT), l_returnflag, l_linestatus, CAST(l_shipdate AS DATE)) AS line FROM lineitem)""",
         ("l_returnflag", "row_count", "table_sha256")),
     "ledger_outcome_pairs": """
-        WITH o AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WHERE l_linenumber = 7)
+        WITH o AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
         SELECT concat_ws('|', CASE WHEN o_orderkey IS NULL THEN 'OUTCOME_WITHOUT_DECISION' END, CASE WHEN n > 1 THEN 'OUTCOME_NOT_UNIQUE' END,
                  CASE WHEN l_shipdate <= o_orderdate THEN 'OUTCOME_BEFORE_DECISION' END, CASE WHEN l_shipdate < o_orderdate + INTERVAL 5 DAY THEN 'OUTCOME_BEFORE_DUE' END) AS issues,
                count(*) AS rows, CAST(sum(l_orderkey) AS BIGINT) AS ids FROM o LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY 1""",

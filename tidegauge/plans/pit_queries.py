@@ -55,7 +55,7 @@ def members_by_month(spark, sf_dir):
 
 def members_at_cutoff(spark, sf_dir):
     as_of = F.to_date(F.lit("2000-06-30"))
-    known = F.lit("2000-07-01 12:00:00").cast("timestamp")
+    known = F.lit("2000-06-30 20:00:00").cast("timestamp")
     return pit.members_on(views.identity(spark, sf_dir), as_of, known).select(
         "code", "security_id", F.col("valid_from").cast("string").alias("valid_from")
     )
@@ -98,11 +98,16 @@ def isin_collision(spark, sf_dir):
 
 
 def session_horizon(spark, sf_dir):
+    """Orders at every hour of the day against sessions that close at ten; the calendar lacks each 13th of June."""
+    day = F.to_date("o_orderdate")
     decisions = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("decision_id"), F.col("o_custkey").alias("code"),
-        F.to_date("o_orderdate").alias("decision_day"), F.lit(5).alias("horizon_sessions"),
+        F.col("o_orderkey").alias("decision_id"), F.col("o_custkey").alias("code"), day.alias("decision_day"),
+        F.timestamp_micros(F.unix_micros(day.cast("timestamp")) + F.col("o_orderkey") % 24 * 3600000000).alias("decision_at"),
+        F.lit(5).alias("horizon_sessions"),
     )
-    due = pit.nth_eligible_session(decisions, views.calendar(spark, sf_dir), views.status(spark, sf_dir))
+    cal = views.calendar(spark, sf_dir).where("NOT (month(trade_date) = 6 AND day(trade_date) = 13)").withColumn(
+        "session_close", F.col("trade_date").cast("timestamp") + F.expr("INTERVAL 10 HOURS"))
+    due = pit.nth_eligible_session(decisions, cal, views.status(spark, sf_dir))
     return due.select("decision_id", F.col("due_day").cast("string").alias("due_day"), "issue_code")
 
 
@@ -238,13 +243,13 @@ ORACLE = {
                CAST(sum(security_id) AS BIGINT) AS security_checksum
         FROM cal c JOIN ident i ON c.trade_date >= valid_from AND (valid_to IS NULL OR c.trade_date <= valid_to)
          AND s <> 'F' AND known_from <= CAST(c.trade_date AS TIMESTAMP) + INTERVAL 20 HOURS
-         AND (known_to IS NULL OR CAST(c.trade_date AS TIMESTAMP) + INTERVAL 20 HOURS < known_to)
+         AND (known_to IS NULL OR CAST(c.trade_date AS TIMESTAMP) + INTERVAL 20 HOURS <= known_to)
         WHERE c.trade_date = last_day(c.trade_date) GROUP BY 1"""),
     "identity_members_at_cutoff": with_views(["ident"], """
         SELECT code, security_id, CAST(valid_from AS VARCHAR) AS valid_from FROM ident
         WHERE s <> 'F' AND valid_from <= DATE '2000-06-30' AND (valid_to IS NULL OR valid_to >= DATE '2000-06-30')
-          AND known_from <= TIMESTAMP '2000-07-01 12:00:00'
-          AND (known_to IS NULL OR known_to > TIMESTAMP '2000-07-01 12:00:00')"""),
+          AND known_from <= TIMESTAMP '2000-06-30 20:00:00'
+          AND (known_to IS NULL OR known_to >= TIMESTAMP '2000-06-30 20:00:00')"""),
     "identity_resolution": f"""
         SELECT resolution, matches, count(*) AS probes, CAST(sum(security_id) AS BIGINT) AS security_checksum FROM (
           SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, count(i.security_id) AS matches,
@@ -269,17 +274,23 @@ ORACLE = {
         FROM o a JOIN o b ON a.isin = b.isin AND a.code < b.code AND a.valid_from <= b.valid_to
          AND b.valid_from <= a.valid_to GROUP BY 1""",
     "session_horizon_due": with_views(["cal", "ident"], """,
-        days AS (SELECT code, trade_date, status FROM cal JOIN ident
+        kal AS (SELECT * FROM cal WHERE NOT (month(trade_date) = 6 AND day(trade_date) = 13)),
+        gap AS (SELECT trade_date FROM cal WHERE month(trade_date) = 6 AND day(trade_date) = 13),
+        days AS (SELECT code, trade_date, status FROM kal JOIN ident
                  ON trade_date >= valid_from AND (valid_to IS NULL OR trade_date <= valid_to) WHERE is_trading_day),
         due AS (SELECT code, trade_date, lead(trade_date, 5) OVER (PARTITION BY code ORDER BY trade_date) AS due_day
                 FROM days WHERE status = 'TRADING')
-        SELECT o_orderkey AS decision_id, CAST(due_day AS VARCHAR) AS due_day,
-               CASE WHEN NOT c.is_trading_day THEN 'DECISION_NOT_ON_TRADING_SESSION'
+        SELECT decision_id, CASE WHEN issue_code IS NULL THEN CAST(due_day AS VARCHAR) END AS due_day, issue_code FROM (
+        SELECT o_orderkey AS decision_id, due_day,
+               CASE WHEN NOT coalesce(c.is_trading_day, false) THEN 'DECISION_NOT_ON_TRADING_SESSION'
+                    WHEN o_orderkey % 24 < 10 THEN 'DECISION_AT_PRECEDES_OFFICIAL_SESSION_CLOSE'
                     WHEN d.status <> 'TRADING' THEN 'DECISION_SECURITY_STATUS_NOT_TRADING'
+                    WHEN EXISTS (SELECT 1 FROM gap WHERE gap.trade_date > c.trade_date AND (due_day IS NULL OR gap.trade_date < due_day))
+                      THEN 'OFFICIAL_TRADING_CALENDAR_MISSING_DATE'
                     WHEN due_day IS NULL THEN 'SESSION_HORIZON_NOT_COVERED' END AS issue_code
-        FROM orders JOIN cal c ON c.trade_date = CAST(o_orderdate AS DATE)
+        FROM orders LEFT JOIN kal c ON c.trade_date = CAST(o_orderdate AS DATE)
         LEFT JOIN days d ON d.code = o_custkey AND d.trade_date = c.trade_date
-        LEFT JOIN due e ON e.code = o_custkey AND e.trade_date = c.trade_date""").replace(") ,", "),"),
+        LEFT JOIN due e ON e.code = o_custkey AND e.trade_date = c.trade_date)""").replace(") ,", "),"),
     "context_window_tags": """
         SELECT concat_ws('|', CASE WHEN a BETWEEN 0 AND 2880 * 3600000000 THEN 'CONTEXT_120D' END,
                               CASE WHEN a BETWEEN 0 AND 720 * 3600000000 THEN 'ACTIVE_EVENT_30D' END,
@@ -305,7 +316,7 @@ ORACLE = {
         sizes AS (SELECT c.trade_date, count(*) AS n FROM cal c JOIN ident i
                   ON c.trade_date >= valid_from AND (valid_to IS NULL OR c.trade_date <= valid_to) AND s <> 'F'
                   AND known_from <= CAST(c.trade_date AS TIMESTAMP)
-                  AND (known_to IS NULL OR CAST(c.trade_date AS TIMESTAMP) < known_to) GROUP BY 1),
+                  AND (known_to IS NULL OR CAST(c.trade_date AS TIMESTAMP) <= known_to) GROUP BY 1),
         marks AS (SELECT c.trade_date, count(r.scope) AS k FROM cal c LEFT JOIN ({REGISTRY}) r
                   ON r.benchmark_code = 'REGION_1' AND c.trade_date BETWEEN effective_from AND effective_to GROUP BY 1)
         SELECT CAST(c.trade_date AS VARCHAR) AS as_of, coalesce(n, 0) AS universe_size,

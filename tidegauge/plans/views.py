@@ -214,7 +214,7 @@ def identity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("ACTIVE").alias("listing_status"),
         F.when(F.col("s") == "O", "TRADING").when(F.col("s") == "P", "SUSPENDED").otherwise("DELISTED").alias("status"),
         (F.col("valid_from").cast("timestamp") + F.expr("INTERVAL 36 HOURS")).alias("known_from"),
-        (F.col("valid_to").cast("timestamp") + F.expr("INTERVAL 400 DAYS")).alias("known_to"),
+        (F.col("valid_to").cast("timestamp") + F.expr("INTERVAL 20 HOURS")).alias("known_to"),
         (F.col("s") != "F").alias("tradable"),
         F.lit("MAIN").alias("segment"),
     )
@@ -235,7 +235,7 @@ SQL["cal"] = """
                                               (SELECT max(l_shipdate) FROM lineitem), INTERVAL 1 DAY)) AS g))"""
 SQL["ident"] = """
     SELECT *, CAST(valid_from AS TIMESTAMP) + INTERVAL 36 HOURS AS known_from,
-           CAST(valid_to AS TIMESTAMP) + INTERVAL 400 DAYS AS known_to,
+           CAST(valid_to AS TIMESTAMP) + INTERVAL 20 HOURS AS known_to,
            CASE s WHEN 'O' THEN 'TRADING' WHEN 'P' THEN 'SUSPENDED' ELSE 'DELISTED' END AS status
     FROM (SELECT code, valid_from, security_id, s,
                  CAST(lead(valid_from) OVER (PARTITION BY code ORDER BY valid_from) - INTERVAL 1 DAY AS DATE) AS valid_to
