@@ -29,8 +29,12 @@ STATES_BY_STATUS = {"TRADING": ("TRADED", "NO_TRADE", "HALTED"), "SUSPENDED": ("
 
 
 def duplicates(df: DataFrame, *key: str) -> DataFrame:
-    """The frame with ``_n``, the number of rows sharing its key."""
-    return df.join(df.groupBy(*key).agg(F.count("*").alias("_n")), list(key))
+    """The frame with ``_n``, the number of rows sharing its key; NULL keys are kept and counted as equal."""
+    counts = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in key]).agg(F.count("*").alias("_n"))
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return df.join(counts, same).drop(*[f"_k_{k}" for k in key])
 
 
 def resolves(rows: DataFrame, manifest: DataFrame, column: str = "raw_sha256") -> DataFrame:

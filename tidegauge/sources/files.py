@@ -80,15 +80,24 @@ def parse_json_lines(lines: DataFrame, ddl: str, column: str = "value") -> DataF
     expected = [f.name for f in schema.fields]
     keys = F.json_object_keys(column)
     parsed = lines.withColumn("_j", F.from_json(F.col(column), _with_text_times(schema)))
-    typed = parsed.select(F.col(column).alias("raw_line"), keys.alias("_keys"), *_typed(F.col("_j"), schema))
+    # Elements are read once more as maps: a struct would hide keys it does not know or lacks.
+    nested = {f.name: f.dataType.elementType.names for f in schema.fields
+              if isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, StructType)}
+    loose = F.from_json(F.col(column), ", ".join(f"{name} array<map<string,string>>" for name in nested)) if nested else F.lit(None)
+    typed = parsed.withColumn("_m", loose).select(
+        F.col(column).alias("raw_line"), keys.alias("_keys"), "_m", *_typed(F.col("_j"), schema))
     times = [f.name for f in schema.fields if f.dataType.typeName() == "timestamp"]
     return R.check(
         typed,
         R.never("JSON_UNREADABLE", F.col("_keys").isNull()),
         R.never("UNKNOWN_KEYS", F.size(F.array_except("_keys", F.lit(expected))) > 0),
         R.never("MISSING_KEYS", F.size(F.array_except(F.lit(expected), F.col("_keys"))) > 0),
+        *[R.never(f"UNKNOWN_KEYS:{name}", F.exists(F.col("_m")[name], lambda m: F.size(F.array_except(F.map_keys(m), F.lit(known))) > 0))
+          for name, known in nested.items()],
+        *[R.never(f"MISSING_KEYS:{name}", F.exists(F.col("_m")[name], lambda m: F.size(F.array_except(F.lit(known), F.map_keys(m))) > 0))
+          for name, known in nested.items()],
         *[R.never(f"TIMESTAMP_WITHOUT_OFFSET:{t}", F.col("_keys").isNotNull() & F.col(t).isNull()) for t in times],
-    ).drop("_keys")
+    ).drop("_keys", "_m")
 
 
 def read_event_lines(spark: SparkSession, path: str) -> DataFrame:
