@@ -30,11 +30,6 @@ def code_array(*rules: Column) -> Column:
     return F.array_compact(F.array(*rules))
 
 
-def first_code(*rules: Column) -> Column:
-    """The first violated rule only, for ladders whose order is part of the contract."""
-    return F.coalesce(*rules)
-
-
 def check(df: DataFrame, *rules: Column) -> DataFrame:
     """Add ``issue_codes``, evaluated once per row.
 
@@ -57,18 +52,6 @@ def issues(checked: DataFrame, operator: str, *key: str, severity: str = "ERROR"
     )
 
 
-def status_of(issue_df: DataFrame) -> DataFrame:
-    """One row per operator: PASS without errors, PARTIAL with warnings only, else BLOCKED."""
-    return issue_df.groupBy("operator").agg(
-        F.when(F.count_if(F.col("severity") == "ERROR") > 0, "BLOCKED")
-        .when(F.count("*") > 0, "PARTIAL")
-        .otherwise("PASS")
-        .alias("status"),
-        F.count("*").alias("issue_count"),
-        F.array_sort(F.collect_set("code")).alias("codes"),
-    )
-
-
 # --- single-column predicates -------------------------------------------------
 
 def present(col: str | Column) -> Column:

@@ -77,15 +77,31 @@ def guarded_corr(x: str, y: str) -> Column:
     return F.when((F.count(x) >= 2) & (spread > 0), F.try_divide(F.covar_pop(x, y), spread))
 
 
-def rank_ic(rows: DataFrame, score: str, outcome: str, group: Sequence[str] = ("decision_id",), key: str = "code") -> DataFrame:
-    """Spearman correlation of score and outcome per decision, ties sharing their mean rank."""
+def rank_ics(
+    rows: DataFrame, score: str, outcomes: dict[str, str], group: Sequence[str] = ("decision_id",), key: str = "code",
+) -> DataFrame:
+    """Spearman correlation of a score with several outcomes per decision, ties sharing their mean rank.
+
+    Score and outcomes are ranked together, as measures of one long table, in a
+    single global sort. Returns the group, ``scored_<name>`` and ``<name>`` per
+    outcome.
+    """
     group = list(group)
-    scored = rows.where(F.col(score).isNotNull()).select(*group, key, F.col(score).alias("_s"), F.col(outcome).alias("_o"))
-    ranked = average_ranks(scored, "_s", group, "_rs", [key])
-    ranked = average_ranks(ranked, "_o", group, "_ro", [key])
-    return ranked.groupBy(*group).agg(
-        F.count("*").alias("scored"), guarded_corr("_rs", "_ro").alias("rank_ic")
-    )
+    names = list(outcomes)
+    scored = rows.where(F.col(score).isNotNull()).select(
+        *group, key, F.col(score).cast("double").alias("_score"), *[F.col(c).cast("double").alias(n) for n, c in outcomes.items()])
+    long = scored.unpivot([*group, key], ["_score", *names], "_measure", "_value").where("_value IS NOT NULL")
+    ranked = average_ranks(long, "_value", [*group, "_measure"], "_rank", [key])
+    wide = ranked.groupBy(*group, key).agg(*[F.max(F.when(F.col("_measure") == m, F.col("_rank"))).alias(f"_r_{m}") for m in ("_score", *names)])
+    paired = wide.select(*group, *[c for n in names for c in (
+        F.when(F.col(f"_r_{n}").isNotNull(), F.col("_r__score")).alias(f"_s_{n}"), F.col(f"_r_{n}").alias(f"_o_{n}"))])
+    return paired.groupBy(*group).agg(*[c for n in names for c in (
+        F.count(f"_o_{n}").alias(f"scored_{n}"), guarded_corr(f"_s_{n}", f"_o_{n}").alias(n))])
+
+
+def rank_ic(rows: DataFrame, score: str, outcome: str, group: Sequence[str] = ("decision_id",), key: str = "code") -> DataFrame:
+    """Spearman correlation of score and one outcome per decision."""
+    return rank_ics(rows, score, {"rank_ic": outcome}, group, key).withColumnRenamed("scored_rank_ic", "scored")
 
 
 def actual_top_k(rows: DataFrame, value: str, k: int, group: str = "decision_id", key: str = "code") -> DataFrame:
@@ -161,9 +177,7 @@ def replay_metrics(rows: DataFrame, top_k: int, minimum_effective: int) -> DataF
         F.count_if(chosen & (F.col("rank") == 1) & (F.col("gross") > 0)).alias("top1_hits"),
     )
     live = rows.where(~F.col("abstained"))
-    for k in ("primary", "market", "sector"):
-        ic = rank_ic(live, "score", labels[k]).select("decision_id", F.col("rank_ic").alias(f"{k}_ic"))
-        per = per.join(ic, "decision_id", "left")
+    per = per.join(rank_ics(live, "score", {f"{k}_ic": labels[k] for k in ("primary", "market", "sector")}), "decision_id", "left")
     per = per.join(recall_at_k(rows, "gross", top_k), "decision_id", "left")
     total = per.agg(
         F.count("*").alias("decision_sessions"), F.count_if(F.col("selected") > 0).alias("effective_decisions"),

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from tidegauge.functions import rules as R
 from tidegauge.operators.graph import components
 from tidegauge.operators.pit import interval_join
-from tidegauge.session import materialise
 
 # Fixed values.
 FACT_ROLES = ("OFFICIAL_FILING", "REGULATOR_OR_EXCHANGE", "ISSUER_PRIMARY")

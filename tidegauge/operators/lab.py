@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions import rules as R
-from tidegauge.functions.digest import row_digest, table_digest
+from tidegauge.functions.digest import table_digest
 from tidegauge.operators.ordering import positions
 from tidegauge.session import materialise
 
@@ -26,7 +26,6 @@ MINIMUM_PROBE = 300
 LOOKBACK_YEARS = 10
 SCALE_LIMIT = 3.0
 FLAT_BAND = 1e-12
-MAX_DRIVER_WEIGHTS = 20_000
 
 EVENT_SCHEMA = (
     "event_id string, official_code string, prediction_at timestamp, event_at timestamp, "
@@ -171,15 +170,6 @@ def _outcome(horizon: str) -> Column:
     return F.element_at(F.filter("outcomes", lambda o: o["horizon"] == horizon), 1)["excess_return"]
 
 
-def _score(weights: Column) -> Column:
-    """Sum of weight x value over the row's factor array; unknown factors weigh nothing."""
-    return F.aggregate(
-        "factors",
-        F.lit(0.0),
-        lambda acc, f: acc + F.coalesce(F.element_at(weights, f["factor_id"]), F.lit(0.0)) * f["value"],
-    )
-
-
 def base_weights(training: DataFrame) -> DataFrame:
     """Per horizon and factor: sum of value x outcome, scaled to unit absolute mass."""
     per_factor = (
@@ -195,54 +185,32 @@ def base_weights(training: DataFrame) -> DataFrame:
     )
 
 
-def weight_maps(weights: DataFrame, column: str) -> dict[str, Column]:
-    """Weights as one literal map per horizon.
+def event_scores(events: DataFrame, weights: DataFrame, column: str, carried: list[Column]) -> DataFrame:
+    """Per event a ``score_<horizon>`` for every horizon: factor values times weights, unlisted factors counting nothing.
 
-    The factor registry bounds this table; a larger one is refused rather than
-    collected.
+    The weights meet the exploded factors in a join on the factor, whatever
+    their number; sums combine before the one shuffle by event.
     """
-    rows = weights.select("horizon", "factor_id", column).limit(MAX_DRIVER_WEIGHTS + 1).collect()
-    if len(rows) > MAX_DRIVER_WEIGHTS:
-        raise ValueError("more weights than a factor registry can hold")
-    by_horizon: dict[str, list] = {h: [] for h in HORIZONS}
-    for horizon, factor_id, value in sorted(rows):
-        by_horizon[horizon] += [F.lit(factor_id), F.lit(float(value))]
-    return {
-        h: F.create_map(*cells) if cells else F.create_map().cast("map<string,double>")
-        for h, cells in by_horizon.items()
-    }
+    wide = weights.groupBy("factor_id").agg(*[F.sum(F.when(F.col("horizon") == h, F.col(column))).alias(f"_w{i}") for i, h in enumerate(HORIZONS)])
+    # Only the carried columns and the factors leave the nested rows.
+    rows = events.select(*carried, F.explode_outer("factors").alias("_f"))
+    names = [c for c in rows.columns if c != "_f"]
+    met = rows.withColumn("factor_id", F.col("_f.factor_id")).join(wide, "factor_id", "left")
+    sums = [F.sum(F.coalesce(F.col("_f.value") * F.col(f"_w{i}"), F.lit(0.0))).alias(f"score_{h}") for i, h in enumerate(HORIZONS)]
+    return met.groupBy("event_id").agg(*[F.first(n).alias(n) for n in names if n != "event_id"], *sums)
 
 
 def fit_and_calibrate(training: DataFrame, validation: DataFrame) -> DataFrame:
     """Calibrated weights ``(horizon, factor_id, base_weight, validation_scale, weight)``."""
     base = materialise(base_weights(training))
-    maps = weight_maps(base, "base_weight")
-    scored = validation.select(
-        *[F.struct(_score(maps[h]).alias("s"), _outcome(h).alias("y")).alias(h) for h in HORIZONS]
-    )
-    sums = scored.agg(
-        *[F.sum(F.col(f"{h}.s") * F.col(f"{h}.y")).alias(f"{h}_sy") for h in HORIZONS],
-        *[F.sum(F.col(f"{h}.s") * F.col(f"{h}.s")).alias(f"{h}_ss") for h in HORIZONS],
-    )
-    scales = sums.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(h).alias("horizon"),
-                        F.greatest(
-                            F.lit(-SCALE_LIMIT),
-                            F.least(
-                                F.lit(SCALE_LIMIT),
-                                F.coalesce(F.try_divide(F.col(f"{h}_sy"), F.col(f"{h}_ss")), F.lit(0.0)),
-                            ),
-                        ).alias("scale"),
-                    )
-                    for h in HORIZONS
-                ]
-            )
-        ).alias("x")
-    ).select("x.*")
+    scored = event_scores(validation, base, "base_weight", [F.col("event_id"), *[_outcome(h).alias(f"y_{h}") for h in HORIZONS]])
+    s, y = (lambda h: F.col(f"score_{h}")), (lambda h: F.col(f"y_{h}"))
+    sums = scored.agg(*[F.sum(s(h) * y(h)).alias(f"{h}_sy") for h in HORIZONS], *[F.sum(s(h) * s(h)).alias(f"{h}_ss") for h in HORIZONS])
+    scale = [
+        F.struct(F.lit(h).alias("horizon"), F.greatest(F.lit(-SCALE_LIMIT), F.least(
+            F.lit(SCALE_LIMIT), F.coalesce(F.try_divide(F.col(f"{h}_sy"), F.col(f"{h}_ss")), F.lit(0.0)))).alias("scale"))
+        for h in HORIZONS]
+    scales = sums.select(F.inline(F.array(*scale)))
     return base.join(F.broadcast(scales), "horizon").select(
         "horizon", "factor_id", "base_weight",
         F.bround("scale", 12).alias("validation_scale"),
@@ -267,18 +235,11 @@ def direction(value: Column) -> Column:
 
 
 def predict(blind: DataFrame, weights: DataFrame) -> DataFrame:
-    """One prediction per blind event and horizon, without a shuffle of the events."""
-    maps = weight_maps(weights, "weight")
-    scored = blind.select(
-        "event_id", "official_code", "cohort", "prediction_at",
-        F.explode(
-            F.array(*[F.struct(F.lit(h).alias("horizon"), _score(maps[h]).alias("raw")) for h in HORIZONS])
-        ).alias("p"),
-    )
-    return scored.select(
-        "event_id", "official_code", "cohort", "prediction_at", "p.horizon",
-        F.bround("p.raw", 12).alias("score"), direction(F.col("p.raw")).alias("direction"),
-    )
+    """One prediction per blind event and horizon."""
+    keys = ["event_id", "official_code", "cohort", "prediction_at"]
+    scored = event_scores(blind, weights, "weight", [F.col(k) for k in keys])
+    rows = scored.select(*keys, F.inline(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"score_{h}").alias("raw")) for h in HORIZONS])))
+    return rows.select(*keys, "horizon", F.bround("raw", 12).alias("score"), direction(F.col("raw")).alias("direction"))
 
 
 def seal(predictions: DataFrame, run_id: str) -> DataFrame:
@@ -294,25 +255,12 @@ def verify_seal(predictions: DataFrame, seal_row: DataFrame, run_id: str) -> boo
     return then is not None and now["seal_sha256"] == then["seal_sha256"]
 
 
-def score_holdout(predictions: DataFrame, vault: DataFrame) -> DataFrame:
-    """Count, mean absolute error and directional hit rate per horizon."""
-    joined = predictions.join(vault, ["event_id", "horizon"])
-    return joined.groupBy("horizon").agg(
+def _measures() -> list[Column]:
+    return [
         F.count("*").alias("event_count"),
         F.bround(F.avg(F.abs(F.col("score") - F.col("excess_return"))), 12).alias("mean_absolute_error"),
-        F.bround(
-            F.avg((F.col("direction") == direction(F.col("excess_return"))).cast("double")), 12
-        ).alias("directional_hit_rate"),
-    )
-
-
-def denominator_mismatch(predictions: DataFrame, vault: DataFrame) -> DataFrame:
-    """Prediction/outcome keys present on one side only; must be empty before scoring."""
-    p = predictions.select("event_id", "horizon", F.lit(1).alias("has_prediction"))
-    v = vault.select("event_id", "horizon", F.lit(1).alias("has_outcome"))
-    return p.join(v, ["event_id", "horizon"], "full_outer").where(
-        "has_prediction IS NULL OR has_outcome IS NULL"
-    )
+        F.bround(F.avg((F.col("direction") == direction(F.col("excess_return"))).cast("double")), 12).alias("directional_hit_rate"),
+    ]
 
 
 def run_nightly(events: DataFrame, run_id: str, run_at: Column, **gate) -> dict[str, DataFrame]:
@@ -347,28 +295,24 @@ def run_nightly(events: DataFrame, run_id: str, run_at: Column, **gate) -> dict[
 
 
 def score_nightly(run: dict[str, DataFrame], run_id: str, scored_at: Column) -> DataFrame:
-    """Open the vault only for an intact packet with the exact denominator."""
+    """Open the vault only for an intact packet with the exact denominator.
+
+    One full outer join carries the mismatch count, the late outcomes and the
+    sums of every horizon; the first two are checked before the rest is shown.
+    """
     if not verify_seal(run["predictions"], run["seal"], run_id):
         raise ValueError("SEALED_PACKET_TAMPERED")
     if not verify_seal(run["vault"], run["vault_seal"], run_id):
         raise ValueError("OUTCOME_VAULT_TAMPERED")
-    if denominator_mismatch(run["predictions"], run["vault"]).limit(1).count():
+    joined = run["predictions"].withColumn("_p", F.lit(True)).join(run["vault"].withColumn("_v", F.lit(True)), ["event_id", "horizon"], "full_outer")
+    sums = materialise(joined.groupBy("horizon").agg(
+        F.count_if(F.col("_p").isNull() | F.col("_v").isNull()).alias("mismatch"), F.count_if(F.col("known_at") > scored_at).alias("late"), *_measures()))
+    found = sums.agg(F.sum("mismatch").alias("mismatch"), F.sum("late").alias("late")).first()
+    if found["mismatch"]:
         raise ValueError("HOLDOUT_PREDICTION_OUTCOME_DENOMINATOR_MISMATCH")
-    if run["vault"].where(F.col("known_at") > scored_at).limit(1).count():
+    if found["late"]:
         raise ValueError("HOLDOUT_OUTCOME_NOT_YET_AVAILABLE")
-    return score_holdout(run["predictions"], run["vault"])
-
-
-def event_digest() -> Column:
-    return row_digest(["event_id", "official_code", "prediction_at", "cohort", "factors"])
-
-
-def check_samples(samples: DataFrame) -> DataFrame:
-    return R.check(
-        samples,
-        R.must("SAMPLE_TIMES_OUT_OF_ORDER",
-               (F.col("feature_cutoff") <= F.col("label_start")) & (F.col("label_start") <= F.col("label_end"))),
-    )
+    return sums.drop("mismatch", "late")
 
 
 def purge_training(training: DataFrame, test: DataFrame, embargo_days: int) -> DataFrame:

@@ -79,11 +79,6 @@ def with_previous(
     return placed.join(previous, [*group, "_p"], "left").withColumnRenamed("_p", "position")
 
 
-def bounded_lag(col: str, group: Sequence[str], order: Sequence[str]) -> Column:
-    """Plain window lag, for groups whose size is bounded by the trading calendar."""
-    return F.lag(col).over(Window.partitionBy(*group).orderBy(*order))
-
-
 def last_before(df: DataFrame, order: Sequence[Column | str], group: Sequence[str], value: str, name: str) -> DataFrame:
     """The latest non-null ``value`` strictly before each row of its group.
 

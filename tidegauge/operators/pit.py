@@ -284,13 +284,6 @@ def check_calendar(calendar: DataFrame, first: date, last: date) -> DataFrame:
     return R.issues(checked, "calendar", "trade_date")
 
 
-def session_index(calendar: DataFrame) -> DataFrame:
-    """Trading days numbered 1.. in order (the calendar bounds the window)."""
-    return calendar.where("is_trading_day").select(
-        "trade_date", F.row_number().over(Window.orderBy("trade_date")).alias("session_no")
-    )
-
-
 def next_sessions(calendar: DataFrame) -> DataFrame:
     """Each civil date with the first trading day after it, at most 370 days away."""
     following = Window.orderBy("trade_date").rowsBetween(1, Window.unboundedFollowing)

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.digest import table_digest
 from tidegauge.operators import contracts as ct
-from tidegauge.operators import evaluate as ev
 from tidegauge.operators import factors as fx
 from tidegauge.operators import lab, ledger
 from tidegauge.operators.ordering import last_before, positions

@@ -8,7 +8,6 @@ from tidegauge.operators import corporate_actions as ca
 from tidegauge.operators import prices
 from tidegauge.plans import views
 from tidegauge.plans.views import table, with_views
-from tidegauge.session import spread
 
 
 def _day(col="trade_date"):
@@ -174,7 +173,7 @@ def previous_close(spark, sf_dir):
 
 def terms(spark, sf_dir):
     """Corporate-action terms spelled from the columns of each line item."""
-    li = spread(table(spark, sf_dir, "lineitem"))
+    li = table(spark, sf_dir, "lineitem")
     types = F.array(*[F.lit(t) for t in ("CASH_DIVIDEND_NORMAL", "CASH_DIVIDEND_SPECIAL", "BONUS_SHARES", "STOCK_SPLIT",
                                          "REVERSE_SPLIT", "RIGHTS_ISSUE", "MERGER")])
     dec = lambda c: c.cast("decimal(20,6)")
@@ -207,7 +206,7 @@ def adjustments(spark, sf_dir):
     )
 
 
-def factor_ledger(spark, sf_dir):
+def _factor_ledger(spark, sf_dir):
     """Terms of every line item against the supplier's last close before its order date."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("ex_date"))
     t = terms(spark, sf_dir)
@@ -221,7 +220,15 @@ def factor_ledger(spark, sf_dir):
         "evidence_text": F.concat_ws("  ", F.lit("Notice of"), "action_type", F.lit("TERMS")),
         "evidence_excerpt": F.concat_ws(" ", "action_type", F.lit("terms")),
     })
-    ledger, _queue = ca.build_factor_ledger(schedule, disclosure, reference)
+    return ca.build_factor_ledger(schedule, disclosure, reference)[0]
+
+
+def factor_ledger_status(spark, sf_dir):
+    return ca.ledger_status(_factor_ledger(spark, sf_dir))
+
+
+def factor_ledger(spark, sf_dir):
+    ledger = _factor_ledger(spark, sf_dir)
     return ledger.select(F.explode_outer("ledger_codes").alias("code"), "return_engine_ready").groupBy(
         "code", "return_engine_ready").agg(F.count("*").alias("actions"))
 
@@ -254,7 +261,7 @@ QUERIES = {
     "quotes_executability": quotes,
     "actions_previous_close": previous_close,
     "actions_adjustments": adjustments,
-    "actions_factor_ledger": factor_ledger,
+    "actions_factor_ledger": factor_ledger, "actions_ledger_status": factor_ledger_status,
     "benchmark_normalised": index_contract,
 }
 
@@ -419,6 +426,16 @@ ORACLE = {
           CASE WHEN issues = '' THEN CASE WHEN mode = 'P' THEN 'UNRESOLVED' WHEN ln = 1 THEN 'DISPLAY_AND_TOTAL_RETURN_INDEX_ONLY'
             WHEN ln = 2 THEN 'TRADING_REFERENCE_AND_INDEX' ELSE 'CORPORATE_ACTION_REFERENCE' END END AS reference_price_use
         FROM ({JUDGED})""",
+    "actions_ledger_status": with_views(["bars"], f"""
+        , a AS (SELECT j.*, CAST(o_orderdate AS DATE) - 1 AS d FROM ({JUDGED}) j JOIN orders ON o_orderkey = l_orderkey),
+        m AS (SELECT a.*, b.trade_date AS rd, CAST(b.close AS DECIMAL(20,6)) AS rc FROM a ASOF LEFT JOIN bars b ON a.l_suppkey = b.code AND a.d >= b.trade_date),
+        c AS (SELECT list_filter([CASE WHEN mode <> 'F' THEN 'DISCLOSURE_NOT_ACCEPTED' END,
+                 CASE WHEN mode IN ('R','M') AND rd IS NULL THEN 'PRICE_REFERENCE_MISSING' END,
+                 CASE WHEN mode IN ('R','M') AND rc <> CAST(close AS DECIMAL(20,6)) THEN 'PRICE_REFERENCE_DIFFERS' END,
+                 CASE WHEN issues <> '' THEN issues END], lambda x: x IS NOT NULL) AS codes, issues = '' AND ready AS ready FROM m)
+        SELECT count(*) AS actions, count(*) FILTER (WHERE len(codes) > 0) AS blocked, count(*) FILTER (WHERE len(codes) = 0 AND ready) AS ready,
+          CASE WHEN count(*) FILTER (WHERE len(codes) > 0) > 0 THEN 'BLOCKED' WHEN count(*) FILTER (WHERE len(codes) = 0 AND ready) < count(*) THEN 'PARTIAL' ELSE 'PASS' END AS status
+        FROM c"""),
     "actions_factor_ledger": with_views(["bars"], f"""
         , a AS (SELECT j.*, CAST(o_orderdate AS DATE) - 1 AS d FROM ({JUDGED}) j JOIN orders ON o_orderkey = l_orderkey),
         m AS (SELECT a.*, b.trade_date AS rd, CAST(b.close AS DECIMAL(20,6)) AS rc FROM a ASOF LEFT JOIN bars b ON a.l_suppkey = b.code AND a.d >= b.trade_date),
