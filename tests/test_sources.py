@@ -110,19 +110,38 @@ def test_sorted_sink_refuses_to_overwrite(spark, tmp_path):
         files.write_sorted(df, ["k", "v"], ["k"], target)
 
 
-def test_stream_admits_once_and_ranks(spark, tmp_path):
-    folder = tmp_path / "in"
-    folder.mkdir()
+def stream_into(spark, folder, tmp_path, name):
+    stream = post_open.observation_stream(spark, str(folder), maxFilesPerTrigger="1")
+    query = post_open.store_observations(stream, str(tmp_path / f"{name}-out"), str(tmp_path / f"{name}-ck")).trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    return post_open.read_stored(spark, str(tmp_path / f"{name}-out"))
+
+
+def test_stream_does_not_depend_on_files_and_loses_no_line(spark, tmp_path):
     rows = [observation("1000", value=2.0), observation("1000", value=2.0), observation("1001", value=-1.0), observation("9999"),
-            observation("1002", average_daily_turnover_sar=1.0), observation("1003", at="2024-01-10T10:00:00")]
-    write(folder / "a.jsonl", rows)
+            observation("1002", average_daily_turnover_sar=1.0), observation("1003", at="2024-01-10T10:00:00"), observation("1001", at="2024-01-10T10:07:00+00:00"),
+            "{broken", observation("1002", at="2024-01-10T11:00:00+00:00"), observation("1000", at="2024-01-10T10:01:00+00:00", value=9.0)]
     identity = spark.createDataFrame([("1000",), ("1001",), ("1002",)], "official_code string")
-    stream = post_open.first_observations(post_open.observation_stream(spark, str(folder)))
-    query = post_open.scan_stream(stream, identity, {h: {"F": 1.0} for h in HORIZONS}, str(tmp_path / "out"), str(tmp_path / "ck"),
-                                  scan_at="2024-01-10 10:05:00").trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    got = spark.read.parquet(str(tmp_path / "out" / "candidates")).where("horizon = 'WEEK'").orderBy("rank").collect()
-    assert [(r["official_code"], r["score"], r["research_status"]) for r in got] == [
-        ("1000", 2.0, "RESEARCH_CANDIDATE"), ("1001", -1.0, "RESEARCH_WATCHLIST")]
-    refused = {r["official_code"]: r["reason"] for r in spark.read.parquet(str(tmp_path / "out" / "rejected")).collect()}
-    assert refused == {"9999": "IDENTITY_UNVERIFIED", "1002": "LIQUIDITY_FLOOR_NOT_MET"}
+    until = F.lit("2024-01-10 10:30:00").cast("timestamp")
+    found = []
+    for name, parts in (("one", [rows]), ("ten", [[r] for r in rows])):
+        folder = tmp_path / name
+        folder.mkdir()
+        for i, part in enumerate(parts):
+            write(folder / f"{i}.jsonl", part)
+        stored = stream_into(spark, folder, tmp_path, name)
+        out = post_open.settle(stored, identity, {h: {"F": 1.0} for h in HORIZONS}, until)
+        week = out["candidates"].where("horizon = 'WEEK'").orderBy("scan_id", "rank").collect()
+        refused = sorted((str(r["official_code"]), r["reason"]) for r in out["refused"].collect())
+        assert out["admitted"].count() + len(refused) + out["waiting"].count() == len(rows)
+        found.append(([(r["scan_id"], r["official_code"], r["score"]) for r in week], refused, out["waiting"].count()))
+    assert found[0] == found[1]
+    assert found[0][0] == [("2024-01-10 10:05:00", "1000", 2.0), ("2024-01-10 10:05:00", "1001", -1.0), ("2024-01-10 10:10:00", "1001", 1.0)]
+    assert [r for _, r in found[0][1]].count("DUPLICATE_SECURITY_OBSERVATION") == 2 and found[0][2] == 1
+    # A line that comes after its slot was settled is refused as late.
+    first = out["settled"].collect()
+    write(tmp_path / "ten" / "late.jsonl", [observation("1002")])
+    stored = stream_into(spark, tmp_path / "ten", tmp_path, "ten")
+    again = post_open.settle(stored, identity, {h: {"F": 1.0} for h in HORIZONS}, until, spark.createDataFrame(first))
+    assert [r["official_code"] for r in again["refused"].where("reason = 'LATE_OBSERVATION'").collect()] == ["1002"]
+    assert sorted(r["official_code"] for r in again["admitted"].collect()) == ["1000", "1001", "1001"]

@@ -24,11 +24,12 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return [c.strip().strip('"') for c in line[0]["value"].lstrip("﻿").split(",")]
 
 
-def read_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, columns: Sequence[str], line_breaks: bool = False) -> DataFrame:
     """CSV as strings; the header must be exactly ``columns``, each once.
 
     Spark checks every file's header against the schema (``enforceSchema=false``)
-    and a malformed row is kept in ``_corrupt`` instead of being dropped.
+    and a malformed row is kept in ``_corrupt`` instead of being dropped. A file
+    is split over many tasks unless ``line_breaks`` allows quoted line breaks.
     """
     header = csv_header(spark, path)
     if len(set(header)) != len(header):
@@ -37,7 +38,7 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFram
         raise ValueError(f"CSV headers differ: {header}")
     schema = StructType([StructField(c, StringType()) for c in columns] + [StructField("_corrupt", StringType())])
     return spark.read.schema(schema).csv(
-        path, header=True, enforceSchema=False, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", multiLine=True, escape='"'
+        path, header=True, enforceSchema=False, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", multiLine=line_breaks, escape='"'
     )
 
 
