@@ -26,7 +26,8 @@ from tidegauge.llm.simhash import forest
 from tidegauge.operators.graph import components
 from tidegauge.session import materialise
 
-SAMPLE = 16_384
+SAMPLE = 8_192
+CALIBRATION_PAIRS = 4_096  # of the sample's own links, from each block of it
 MIN_COSINE = 0.95
 TARGET_RECALL = 0.995
 MEMBERS, QUERIES, CHUNK = 2_048, 8_192, 512
@@ -98,10 +99,11 @@ def fit_codebook(sample: np.ndarray, rows: int, min_cosine: float, target_recall
     length = np.linalg.norm(side, axis=1)
     turned = sample * min_cosine + side / np.maximum(length, 1e-30)[:, None] * np.sqrt(1 - min_cosine ** 2)
     pairs = [(sample, turned)]
-    for at in range(0, len(sample), 1024):
-        rows_at, cols = np.nonzero(sample[at:at + 1024] @ sample.T >= min_cosine)
-        other = rows_at + at != cols
-        pairs.append((sample[at:at + 1024][rows_at[other]][:65_536], sample[cols[other]][:65_536]))
+    for at in range(0, len(sample), 512):
+        near = np.flatnonzero(sample[at:at + 512] @ sample.T >= min_cosine)
+        one, two = at + near // len(sample), near % len(sample)
+        taken = rng.permutation(np.flatnonzero(one != two))[:CALIBRATION_PAIRS]
+        pairs.append((sample[one[taken]], sample[two[taken]]))
 
     def reach(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         own = np.arange(len(x))
@@ -203,8 +205,8 @@ def groups(vectors: DataFrame, min_cosine: float = MIN_COSINE, target_recall: fl
     lengths = {r.n: r.rows for r in classes.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("rows")).collect()}
     books = {}
     for n, n_rows in lengths.items():
-        taken = classes.where(F.size("vector") == n).orderBy(F.xxhash64("node"), "node").limit(sample).select("vector").collect()
-        x = np.array([r.vector for r in taken], np.float64)
+        taken = classes.where(F.size("vector") == n).orderBy(F.xxhash64("node"), "node").limit(sample).select("vector").toArrow()
+        x = taken.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, n)
         books[n] = fit_codebook(x / np.linalg.norm(x, axis=1, keepdims=True), n_rows, min_cosine, target_recall)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
