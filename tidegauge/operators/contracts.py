@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions import rules as R
-from tidegauge.operators.pit import LISTED_STATUSES, interval_join
+from tidegauge.operators.pit import LISTED_STATUSES, SESSION_STATUSES, interval_join, overlapping_keys
 from tidegauge.operators.prices import check_ohlc
 
 # Fixed values.
@@ -24,6 +24,10 @@ FORBIDDEN_OUTCOME_SHAPES = ("realized_[^\"]*", "future_[^\"]*", "exit_price[^\"]
 FORBIDDEN_OUTCOME_PATTERN = '"(' + "|".join(FORBIDDEN_OUTCOME_KEYS + FORBIDDEN_OUTCOME_SHAPES) + r')"\s*:'
 FORECAST_REQUIRED = ("decision_id", "security_code", "product_id", "target_rule", "decision_at", "outcome_due_at", "horizon_sessions",
                      "model_version", "entry_rule", "eligible", "selected", "abstained", "thesis_episode_id")
+FIELD_GROUPS = {
+    "OHLC": ("open_fils", "high_fils", "low_fils", "close_fils"), "VOLUME": ("volume",), "VALUE_TRADED_KWD": ("value_traded_kwd",),
+    "TRADE_COUNT": ("trade_count",), "REFERENCE_PRICE": ("reference_price_fils",),
+}
 STATES_BY_STATUS = {"TRADING": ("TRADED", "NO_TRADE", "HALTED"), "SUSPENDED": ("SUSPENDED", "TRADED_THEN_SUSPENDED"),
                     "DELISTED": ("NOT_LISTED_OR_NOT_ELIGIBLE",)}
 
@@ -193,6 +197,83 @@ def check_master(rows: DataFrame, manifest: DataFrame) -> DataFrame:
     ).drop("_resolves")
 
 
+def check_status_history(rows: DataFrame, manifest: DataFrame, codes: DataFrame) -> DataFrame:
+    """Status-history row: known code, board, status, interval order, evidence; overlapping intervals of one code and board."""
+    known = codes.select("code", F.lit(True).alias("_known")).distinct()
+    overlaps = overlapping_keys(rows, ["code", "board"], "effective_from", "effective_to").select("code", "board", F.lit(True).alias("_overlap"))
+    return R.check(
+        resolves(rows, manifest).join(known, "code", "left").join(overlaps, ["code", "board"], "left"),
+        R.must("STATUS_CODE_UNKNOWN", F.col("_known")),
+        R.must("STATUS_OR_BOARD_INVALID", R.present("board") & F.upper("status").isin(*SESSION_STATUSES, "DELISTED", "LISTED_NOT_YET_TRADING")),
+        R.never("EFFECTIVE_TO_PRECEDES_FROM", F.col("effective_to") < F.col("effective_from")),
+        R.must("RAW_SHA256_UNRESOLVED", F.col("_resolves")),
+        R.never("STATUS_OVERLAP", F.col("_overlap")),
+    ).drop("_known", "_overlap", "_resolves")
+
+
+def stable_action_id(raw_sha256: str = "raw_sha256") -> Column:
+    """Id of a scheduled corporate action from what identifies it, so that a later capture of it finds the same row."""
+    parts = [F.col("code").cast("string"), F.col("isin")] + [
+        F.coalesce(F.col(d).cast("string"), F.lit("")) for d in ("cum_date", "ex_date", "record_date", "payment_date")] + [F.col(raw_sha256)]
+    return F.concat(F.lit("ca-schedule-"), F.substring(F.sha2(F.concat_ws("\u0000", *parts), 256), 1, 24))
+
+
+def reconcile_notice_counts(queries: DataFrame, notices: DataFrame) -> DataFrame:
+    """Declared rows of each query against the notices that came from it, both ways round."""
+    actual = notices.groupBy("query_id").agg(F.count("*").alias("actual"))
+    joined = queries.select("query_id", "rows_normalized").join(actual, "query_id", "full_outer")
+    return R.check(
+        joined.withColumn("actual", F.coalesce("actual", F.lit(0))),
+        R.never("QUERY_UNKNOWN", F.col("rows_normalized").isNull()),
+        R.never("QUERY_NOTICE_RECONCILIATION", F.col("rows_normalized") != F.col("actual")),
+    )
+
+
+def check_provider_rows(rows: DataFrame, calendar: DataFrame, identity: DataFrame, status: DataFrame, supplied: Sequence[str]) -> DataFrame:
+    """Provider end-of-day rows as text against calendar, identity, status and the field groups the provider supplies.
+
+    ``rows`` carries a unique ``row_id``; ``identity`` and ``status`` carry the ticker. A field of a group that is not
+    supplied must be blank; traded rows need positive figures, others none or zero.
+    """
+    columns = [c for group in FIELD_GROUPS.values() for c in group]
+    probes = rows.select("row_id", "code", "trade_date")
+    who = interval_join(probes, identity.select("code", "valid_from", "valid_to", F.col("ticker").alias("_ti"), "listing_status"), ["code"],
+                        "trade_date", "valid_from", "valid_to").groupBy("row_id").agg(
+        F.count("*").alias("_ni"), F.min("_ti").alias("_ti"), F.min("listing_status").alias("_listing"))
+    what = interval_join(probes, status.select("code", "effective_from", "effective_to", F.col("ticker").alias("_ts"), F.col("status").alias("_s")), ["code"],
+                         "trade_date", "effective_from", "effective_to").groupBy("row_id").agg(
+        F.count("*").alias("_ns"), F.min("_ts").alias("_ts"), F.min("_s").alias("_s"))
+    days = calendar.where("is_trading_day").select("trade_date", F.lit(True).alias("_session"))
+    joined = rows.join(days, "trade_date", "left").join(who, "row_id", "left").join(what, "row_id", "left")
+    state, traded = F.col("trading_state"), F.col("trading_state").isin("TRADED", "TRADED_THEN_SUSPENDED")
+    fits = F.lit(False)
+    for held, states in STATES_BY_STATUS.items():
+        fits = fits | ((F.col("_s") == held) & state.isin(*states))
+    blank = lambda c: ~R.present(c)
+    none = lambda cs: F.forall(F.array(*[blank(c) for c in cs]), lambda b: b)
+    positive = lambda cs: F.forall(F.array(*[R.finite(c, 1e-12) for c in cs]), lambda b: F.coalesce(b, F.lit(False)))
+    zero = lambda cs: F.forall(F.array(*[blank(c) | (F.col(c).try_cast("double") == 0) for c in cs]), lambda b: F.coalesce(b, F.lit(False)))
+    rules = [
+        R.never("PLACEHOLDER", R.has_placeholder(*columns, "ticker", "trading_state")),
+        R.must("NOT_AN_OFFICIAL_SESSION", F.col("_session")),
+        R.must("IDENTITY_NOT_UNIQUE_ON_DATE", F.col("_ni") == 1), R.must("STATUS_NOT_UNIQUE_ON_DATE", F.col("_ns") == 1),
+        R.never("TICKER_MISMATCH", ((F.col("_ni") == 1) & ~F.col("ticker").eqNullSafe(F.col("_ti"))) | ((F.col("_ns") == 1) & ~F.col("ticker").eqNullSafe(F.col("_ts")))),
+        R.never("STATE_CONFLICTS_WITH_STATUS", (F.col("_ns") == 1) & ~F.coalesce(fits, F.lit(False))),
+        R.never("DELISTED_IDENTITY_TRADES", (F.col("_listing") == "DELISTED") & (state != "NOT_LISTED_OR_NOT_ELIGIBLE")),
+        R.never("NOT_LISTED_WITHOUT_EVIDENCE", (state == "NOT_LISTED_OR_NOT_ELIGIBLE")
+                & ~F.coalesce((F.col("_s") == "DELISTED") | (F.col("_listing") == "DELISTED"), F.lit(False))),
+    ]
+    for group, cs in FIELD_GROUPS.items():
+        if group not in supplied:
+            rules.append(R.never(f"GROUP_NOT_SUPPLIED:{group}", ~none(cs)))
+        elif group == "REFERENCE_PRICE":
+            rules.append(R.never(f"FIELD_INVALID:{group}", ~none(cs) & ~positive(cs)))
+        else:
+            rules.append(R.never(f"FIELD_INVALID:{group}", traded & ~positive(cs)))
+            rules.append(R.never(f"FIELD_ON_NON_TRADED_ROW:{group}", ~traded & ~(none(cs) if group == "OHLC" else zero(cs))))
+    return R.check(joined, *rules).drop("_session", "_ni", "_ti", "_listing", "_ns", "_ts", "_s")
+
+
 def check_event_table(rows: DataFrame, dataset: str, item_id: str) -> DataFrame:
     """Disclosure or corporate-action table rows."""
     base = [

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions import rules as R
 from tidegauge.operators.graph import components
 from tidegauge.operators.pit import interval_join
+from tidegauge.session import materialise
 
 # Fixed values.
 FACT_ROLES = ("OFFICIAL_FILING", "REGULATOR_OR_EXCHANGE", "ISSUER_PRIMARY")
@@ -117,22 +118,27 @@ def canonicalise(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return canonical_groups(keyed), members
 
 
-def event_features(decisions: DataFrame, events: DataFrame) -> DataFrame:
+def event_features(decisions: DataFrame, events: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
     """Windowed event features per decision, one wide row.
 
     ``decisions(decision_id, code, decision_at)``. An event meets only the
     decisions whose 30 days contain it, so the join grows with events x
-    decisions per month and code. Values are NULL without any 30-day event.
+    decisions per month and code. Values are NULL without any 30-day event,
+    unless ``coverage(decision_id, evidence_hash)`` proves that the window was
+    searched: then nothing found is an observed zero. ``evidence_count`` unites
+    the hashes of the events and of the coverage.
     """
     cols = ["event_id", "source_id", "source_role", "event_type", "direction", "novelty", "event_at", "published_at",
-            "first_available_at", "captured_at", "content_hash", "original_event_id"]
+            "first_available_at", "captured_at", "content_hash", "original_event_id", "evidence_hash"]
+    proof = decisions.select("decision_id", F.lit(None).cast("string").alias("evidence_hash")).limit(0) if coverage is None else coverage
     span = decisions.select(
         "decision_id", "code", "decision_at", (F.col("decision_at") - F.expr("INTERVAL 30 DAYS")).alias("_from"),
         F.col("decision_at").alias("_to"),
     )
-    pairs = interval_join(
+    # Read for both windows, the diversity and the evidence: written once.
+    pairs = materialise(interval_join(
         events.select("code", *cols), span, ["code"], "first_available_at", "_from", "_to", bucket_days=16
-    ).drop("_from", "_to")
+    ).drop("_from", "_to"))
     month = with_canonical_key(pairs, ["decision_id"])
     g30 = canonical_groups(month, ["decision_id"])
     week = pairs.where(F.col("first_available_at") >= F.col("decision_at") - F.expr("INTERVAL 7 DAYS"))
@@ -150,14 +156,22 @@ def event_features(decisions: DataFrame, events: DataFrame) -> DataFrame:
     f7 = g7.groupBy("decision_id").agg(
         F.sum(F.when(social, signed)).alias("_net"), F.sum(F.when(social, F.col("diffusion_count"))).alias("_spread")
     )
-    observed = F.col("official_event_count_30d").isNotNull()
+    hashes = pairs.select("decision_id", "evidence_hash").unionByName(proof.select("decision_id", "evidence_hash")).where("evidence_hash IS NOT NULL")
+    evidence = hashes.distinct().groupBy("decision_id").agg(F.count("*").alias("evidence_count"))
+    searched = proof.select("decision_id", F.lit(True).alias("_searched")).distinct()
+    observed = F.col("official_event_count_30d").isNotNull() | F.coalesce("_searched", F.lit(False))
+
+    def value(name):
+        return F.when(observed, F.coalesce(name, F.lit(0))).alias(name)
+
     return (
         decisions.join(f30, "decision_id", "left").join(diversity, "decision_id", "left").join(f7, "decision_id", "left")
+        .join(evidence, "decision_id", "left").join(searched, "decision_id", "left")
         .select(
-            *decisions.columns, "official_event_net_30d", "official_event_count_30d", "context_event_net_30d",
+            *decisions.columns, value("official_event_net_30d"), value("official_event_count_30d"), value("context_event_net_30d"),
             F.when(observed, F.coalesce("_net", F.lit(0.0))).alias("social_event_net_7d"),
             F.when(observed, F.coalesce("_spread", F.lit(0))).alias("social_diffusion_7d"),
-            "source_diversity_30d",
+            value("source_diversity_30d"), F.coalesce("evidence_count", F.lit(0)).alias("evidence_count"),
             F.when(observed, F.lit(1.0)).alias("event_window_observed_30d"),
             F.when(observed, "OBSERVED").otherwise("UNKNOWN_NOT_OBSERVED").alias("source_availability_state"),
         )

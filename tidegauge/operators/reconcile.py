@@ -27,10 +27,6 @@ def key_difference(expected: DataFrame, actual: DataFrame, keys: Sequence[str])
     )
 
 
-def same_keys(expected: DataFrame, actual: DataFrame, keys: Sequence[str]) -> bool:
-    return key_difference(expected, actual, keys).limit(1).count() == 0
-
-
 def totals_reconcile(
     rows: DataFrame, totals: DataFrame, day: str, exact: dict[str, Column], tolerant: dict[str, tuple[Column, float]]
 ) -> DataFrame:
@@ -209,6 +205,22 @@ def universe_checks(expected: DataFrame, covered: DataFrame, findings: DataFrame
     )
 
 
+def binding_checks(bindings: DataFrame, covered: DataFrame, decision_day: Column) -> DataFrame:
+    """Identity bindings against the covered codes: one per code, numeric, effective on the decision day, the same set."""
+    n = bindings.groupBy("code").agg(F.count("*").alias("_n"))
+    c = covered.select("code", F.lit(True).alias("_covered")).distinct()
+    joined = bindings.withColumn("_bound", F.lit(True)).join(n, "code").join(c, "code", "full_outer")
+    bound = F.col("_bound")
+    return R.check(
+        joined,
+        R.never("BINDING_MISSING", bound.isNull()),
+        R.never("BINDING_OUTSIDE_COVERED", bound & F.col("_covered").isNull()),
+        R.never("BINDING_CODE_NOT_UNIQUE_NUMERIC", bound & ((F.col("_n") > 1) | ~F.col("code").cast("string").rlike("^[0-9]+$"))),
+        R.never("BINDING_INTERVAL_REVERSED", bound & (F.col("valid_to") < F.col("valid_from"))),
+        R.never("BINDING_NOT_EFFECTIVE", bound & ((F.col("valid_from") > decision_day) | (F.col("valid_to") < decision_day))),
+    ).drop("_bound", "_n", "_covered")
+
+
 def stop_gates(gates: DataFrame, required: Sequence[str]) -> DataFrame:
     """Verdict per run over ``(run_id, gate_id, status, severity, failure_reason, recovery_action, dates, events)``.
 

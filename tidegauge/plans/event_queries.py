@@ -51,8 +51,11 @@ def _decisions(spark, sf_dir):
 
 
 def features(spark, sf_dir):
-    f = ev.event_features(_decisions(spark, sf_dir), source_events(spark, sf_dir))
-    return f.select("decision_id", "official_event_count_30d", "social_diffusion_7d", "source_diversity_30d", "source_availability_state",
+    """Every fifth user's windows are proven searched, with or without events."""
+    d = _decisions(spark, sf_dir)
+    coverage = d.where("code % 5 = 0").select("decision_id", F.sha2("decision_id", 256).alias("evidence_hash"))
+    f = ev.event_features(d, source_events(spark, sf_dir), coverage)
+    return f.select("decision_id", "official_event_count_30d", "social_diffusion_7d", "source_diversity_30d", "source_availability_state", "evidence_count",
                     *[F.round(c, 6).alias(c) for c in ("official_event_net_30d", "context_event_net_30d", "social_event_net_7d")])
 
 
@@ -209,10 +212,12 @@ ORACLE = {
                GROUP BY 1, 2 HAVING bool_or(role = 'S')),
         a AS (SELECT decision_id, coalesce(sum(v) FILTER (f), 0) AS o, count(*) FILTER (f) AS oc, coalesce(sum(v) FILTER (NOT f AND n), 0) AS x FROM g GROUP BY 1),
         b AS (SELECT decision_id, sum(v) AS s, sum(n) AS sp FROM g7 GROUP BY 1), dv AS (SELECT decision_id, count(DISTINCT source_id) AS dd FROM p GROUP BY 1)
-        SELECT decision_id, oc AS official_event_count_30d, CASE WHEN oc IS NOT NULL THEN CAST(coalesce(sp, 0) AS BIGINT) END AS social_diffusion_7d, dd AS source_diversity_30d,
-               CASE WHEN oc IS NULL THEN 'UNKNOWN_NOT_OBSERVED' ELSE 'OBSERVED' END AS source_availability_state, round(o, 6) AS official_event_net_30d,
-               round(x, 6) AS context_event_net_30d, CASE WHEN oc IS NOT NULL THEN round(coalesce(s, 0), 6) END AS social_event_net_7d
-        FROM dec LEFT JOIN a USING (decision_id) LEFT JOIN b USING (decision_id) LEFT JOIN dv USING (decision_id)"""
+        , ec AS (SELECT decision_id, count(DISTINCT sha256(k || '|' || event_type)) AS e FROM p GROUP BY 1),
+        fin AS (SELECT *, oc IS NOT NULL OR code % 5 = 0 AS obs FROM dec LEFT JOIN ec USING (decision_id) LEFT JOIN a USING (decision_id) LEFT JOIN b USING (decision_id) LEFT JOIN dv USING (decision_id))
+        SELECT decision_id, CASE WHEN obs THEN coalesce(oc, 0) END AS official_event_count_30d, CASE WHEN obs THEN CAST(coalesce(sp, 0) AS BIGINT) END AS social_diffusion_7d,
+               CASE WHEN obs THEN coalesce(dd, 0) END AS source_diversity_30d, CASE WHEN obs THEN 'OBSERVED' ELSE 'UNKNOWN_NOT_OBSERVED' END AS source_availability_state,
+               coalesce(e, 0) + CASE WHEN code % 5 = 0 THEN 1 ELSE 0 END AS evidence_count, CASE WHEN obs THEN round(coalesce(o, 0), 6) END AS official_event_net_30d,
+               CASE WHEN obs THEN round(coalesce(x, 0), 6) END AS context_event_net_30d, CASE WHEN obs THEN round(coalesce(s, 0), 6) END AS social_event_net_7d FROM fin"""
         .replace("ELSE k END AS cid\n", "ELSE 'h' || k END AS cid\n")
         .replace("(SELECT * REPLACE (CASE WHEN cid = k THEN 'h' || k ELSE cid END AS cid) FROM c)", "c")),
     "events_feature_contract": with_views(["sev"], """

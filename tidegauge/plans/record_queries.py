@@ -13,6 +13,7 @@ from tidegauge.operators import contracts as ct
 from tidegauge.operators import events as ev
 from tidegauge.operators import foundation as fd
 from tidegauge.operators import lab, ledger, network, prices, scan
+from tidegauge.operators import reconcile as rec
 from tidegauge.plans.ledger_queries import log
 from tidegauge.plans.views import SQL, table, with_views
 from tidegauge.sources import files, html
@@ -402,7 +403,118 @@ HTML_SQL = """SELECT 'ROWS' AS code, count(*) AS rows, CAST(sum(c_custkey) AS BI
     UNION ALL SELECT 'REQUIRED_TABLE_HEADERS_NOT_FOUND', count(*), CAST(sum(c_custkey) AS BIGINT) FROM customer WHERE c_custkey % 7 = 0
     UNION ALL SELECT 'SHORT_TABLE_ROW', count(*), CAST(sum(c_custkey) AS BIGINT) FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 11 = 0"""
 
+
+# --- status history, action ids, query counts, bindings, provider rows -------------------
+HISTORY = [
+    "o_orderkey", "o_custkey AS code", "CASE WHEN o_orderkey % 31 = 0 THEN '' ELSE 'cash' END AS board",
+    "CASE o_orderstatus WHEN 'O' THEN 'trading' WHEN 'F' THEN 'SUSPENDED' ELSE 'ASLEEP' END AS status", "CAST(o_orderdate AS DATE) AS effective_from"]
+
+
+def status_history(spark, sf_dir):
+    """Orders as status intervals of two months; every ninth ends before it starts, every fourth customer is unknown."""
+    rows = table(spark, sf_dir, "orders").selectExpr(*HISTORY).withColumns({
+        "effective_to": F.date_add("effective_from", F.when(F.col("o_orderkey") % 9 == 0, -1).otherwise(60).cast("int")),
+        "raw_sha256": F.sha2(F.col("o_orderkey").cast("string"), 256)})
+    manifest = rows.where("o_orderkey % 7 <> 0").select(F.col("raw_sha256").alias("sha256"))
+    codes = table(spark, sf_dir, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("code"))
+    c = ct.check_status_history(rows.where("o_orderkey % 9 <> 0"), manifest, codes)
+    bad = ct.check_status_history(rows.where("o_orderkey % 9 = 0").withColumn("board", F.col("o_orderkey").cast("string")), manifest, codes)
+    return tally(c.unionByName(bad), "o_orderkey")
+
+
+HISTORY_SQL = "WITH h AS (SELECT *, effective_from + CASE WHEN o_orderkey % 9 = 0 THEN -1 ELSE 60 END AS effective_to FROM (SELECT " + ", ".join(HISTORY) + """ FROM orders)),
+    w AS (SELECT o_orderkey, code, board, effective_from, effective_to FROM h WHERE o_orderkey % 9 <> 0),
+    o AS (SELECT DISTINCT a.code, a.board FROM w a JOIN w b ON a.code = b.code AND a.board = b.board AND a.o_orderkey < b.o_orderkey
+          AND a.effective_from <= b.effective_to AND b.effective_from <= a.effective_to),
+    j AS (SELECT h.*, o.code IS NOT NULL AND o_orderkey % 9 <> 0 AS over FROM h LEFT JOIN o ON o.code = h.code AND o.board = h.board) """ + tally_sql({
+    "STATUS_CODE_UNKNOWN": "code % 4 = 0", "STATUS_OR_BOARD_INVALID": "status = 'ASLEEP' OR (board = '' AND o_orderkey % 9 <> 0)",
+    "EFFECTIVE_TO_PRECEDES_FROM": "o_orderkey % 9 = 0", "RAW_SHA256_UNRESOLVED": "o_orderkey % 7 = 0", "STATUS_OVERLAP": "over"}, "o_orderkey", "j")
+
+
+def action_ids(spark, sf_dir):
+    """Stable ids of line items as scheduled actions: repeated captures of one row have one id."""
+    li = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("code"), F.concat(F.lit("KW"), F.col("l_partkey").cast("string")).alias("isin"), F.to_date("l_shipdate").alias("ex_date"),
+        F.date_sub(F.to_date("l_shipdate"), 1).alias("cum_date"), F.date_add(F.to_date("l_shipdate"), 1).alias("record_date"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.date_add(F.to_date("l_shipdate"), 9)).alias("payment_date"), F.sha2(F.col("l_orderkey").cast("string"), 256).alias("raw_sha256"))
+    ids = li.select("code", ct.stable_action_id().alias("action_id"))
+    return ids.groupBy("code").agg(F.count("*").alias("rows"), F.count_distinct("action_id").alias("actions"), F.min("action_id").alias("first_id"))
+
+
+ACTION_SQL = """SELECT l_suppkey AS code, count(*) AS rows, count(DISTINCT id) AS actions, min(id) AS first_id FROM (SELECT l_suppkey, 'ca-schedule-' || substr(sha256(concat_ws(chr(0),
+    l_suppkey, 'KW' || l_partkey, CAST(l_shipdate AS DATE) - 1, CAST(l_shipdate AS DATE), CAST(l_shipdate AS DATE) + 1,
+    CASE WHEN l_linenumber % 2 = 0 THEN CAST(CAST(l_shipdate AS DATE) + 9 AS VARCHAR) ELSE '' END, sha256(CAST(l_orderkey AS VARCHAR)))), 1, 24) AS id FROM lineitem) GROUP BY 1"""
+
+
+def notice_counts(spark, sf_dir):
+    """Line items as notices of the query that is their order; every tenth order declares one row too many, some are not declared."""
+    notices = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"))
+    sizes = notices.groupBy("query_id").agg(F.count("*").alias("n"))
+    declared = table(spark, sf_dir, "orders").where("o_orderkey % 23 <> 0").select(F.col("o_orderkey").alias("query_id")).join(sizes, "query_id", "left").select(
+        "query_id", (F.coalesce("n", F.lit(0)) + F.when(F.col("query_id") % 10 == 0, 1).otherwise(0)).alias("rows_normalized"))
+    return tally(ct.reconcile_notice_counts(declared, notices), "query_id")
+
+
+COUNT_SQL = """WITH n AS (SELECT l_orderkey AS q FROM lineitem GROUP BY 1), j AS (SELECT coalesce(o_orderkey, q) AS id, o_orderkey IS NULL AS unknown
+    FROM (SELECT * FROM orders WHERE o_orderkey % 23 <> 0) FULL JOIN n ON q = o_orderkey) """ + tally_sql({
+    "QUERY_UNKNOWN": "unknown", "QUERY_NOTICE_RECONCILIATION": "NOT unknown AND id % 10 = 0"}, "id", "j")
+
+
+def universe_bindings(spark, sf_dir):
+    """Last orders as identity bindings of three months, decided on 1 June 1998; customers but each seventh are covered."""
+    b = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("code")).agg(F.to_date(F.max("o_orderdate")).alias("valid_from"))
+    b = b.withColumn("valid_to", F.date_add("valid_from", F.when(F.col("code") % 11 == 0, -5).otherwise(90).cast("int")))
+    b = b.unionByName(b.where("code % 13 = 0"))
+    covered = table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("code"))
+    return tally(rec.binding_checks(b, covered, F.lit("1998-06-01").cast("date")), "code")
+
+
+BINDING_SQL = """WITH b AS (SELECT o_custkey AS code, CAST(max(o_orderdate) AS DATE) AS f FROM orders GROUP BY 1),
+    d AS (SELECT * FROM b UNION ALL SELECT * FROM b WHERE code % 13 = 0),
+    j AS (SELECT coalesce(c_custkey, code) AS id, code, c_custkey, f, f + CASE WHEN code % 11 = 0 THEN -5 ELSE 90 END AS t
+          FROM d FULL JOIN (SELECT * FROM customer WHERE c_custkey % 7 <> 0) c ON c_custkey = code) """ + tally_sql({
+    "BINDING_MISSING": "code IS NULL", "BINDING_OUTSIDE_COVERED": "c_custkey IS NULL", "BINDING_CODE_NOT_UNIQUE_NUMERIC": "code % 13 = 0",
+    "BINDING_INTERVAL_REVERSED": "t < f", "BINDING_NOT_EFFECTIVE": "f > DATE '1998-06-01' OR t < DATE '1998-06-01'"}, "id", "j")
+
+PROVIDER = [
+    "l_orderkey", "l_partkey", "l_suppkey % 50 AS code", "CAST(l_shipdate AS DATE) AS trade_date",
+    "CASE WHEN l_partkey % 19 = 0 THEN 'other' ELSE concat('T', CAST(l_suppkey % 50 AS STRING)) END AS ticker",
+    "CASE l_linenumber WHEN 1 THEN 'NO_TRADE' WHEN 2 THEN 'SUSPENDED' WHEN 3 THEN 'NOT_LISTED_OR_NOT_ELIGIBLE' ELSE 'TRADED' END AS trading_state",
+    "CASE WHEN l_linenumber IN (1, 2, 3) AND l_partkey % 5 <> 0 THEN '' WHEN l_partkey % 23 = 0 THEN '{{open}}' ELSE '10' END AS open_fils",
+    "CASE WHEN l_linenumber IN (1, 2, 3) THEN '' ELSE '12' END AS high_fils", "CASE WHEN l_linenumber IN (1, 2, 3) THEN '' ELSE '9' END AS low_fils",
+    "CASE WHEN l_linenumber IN (1, 2, 3) THEN '' ELSE '11' END AS close_fils", "CASE WHEN l_partkey % 7 = 0 THEN '0' ELSE '500' END AS volume",
+    "CASE WHEN l_partkey % 29 = 0 THEN '1.5' ELSE '' END AS value_traded_kwd", "CASE WHEN l_linenumber IN (1, 2, 3) THEN '0' ELSE '3' END AS trade_count",
+    "CASE WHEN l_partkey % 31 = 0 THEN '-1' ELSE '' END AS reference_price_fils"]
+
+
+def provider_rows(spark, sf_dir):
+    """Line items as provider rows that do not supply traded values; fifty codes with one identity and one status each."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr(*PROVIDER, "concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS row_id")
+    days = rows.select("trade_date").distinct().withColumn("is_trading_day", F.dayofmonth("trade_date") != 13)
+    codes = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 50).alias("code")).distinct()
+    ticker, first, code = F.concat(F.lit("T"), F.col("code").cast("string")), F.lit("1990-01-01").cast("date"), F.col("code")
+    identity = codes.where("code % 10 <> 9").select(
+        "code", ticker.alias("ticker"), first.alias("valid_from"), F.lit(None).cast("date").alias("valid_to"), F.when(code % 10 == 8, "DELISTED").otherwise("ACTIVE").alias("listing_status"))
+    status = codes.select("code", ticker.alias("ticker"), first.alias("effective_from"), F.lit(None).cast("date").alias("effective_to"),
+                          F.when(code % 10 == 7, "SUSPENDED").when(code % 10 == 8, "DELISTED").otherwise("TRADING").alias("status"))
+    return tally(ct.check_provider_rows(rows, days, identity, status, ["OHLC", "VOLUME", "TRADE_COUNT", "REFERENCE_PRICE"]), "l_orderkey")
+
+
+PROVIDER_SQL = "WITH p AS (SELECT " + ", ".join(PROVIDER) + """ FROM lineitem), j AS (SELECT *, trading_state = 'TRADED' AS traded,
+      CASE code % 10 WHEN 7 THEN 'SUSPENDED' WHEN 8 THEN 'DELISTED' ELSE 'TRADING' END AS s FROM p) """ + tally_sql({
+    "PLACEHOLDER": "open_fils LIKE '{{%'", "NOT_AN_OFFICIAL_SESSION": "day(trade_date) = 13", "IDENTITY_NOT_UNIQUE_ON_DATE": "code % 10 = 9",
+    "TICKER_MISMATCH": "ticker = 'other'",
+    "STATE_CONFLICTS_WITH_STATUS": "NOT ((s = 'TRADING' AND trading_state IN ('TRADED', 'NO_TRADE')) OR (s = 'SUSPENDED' AND trading_state = 'SUSPENDED')"
+                                   " OR (s = 'DELISTED' AND trading_state = 'NOT_LISTED_OR_NOT_ELIGIBLE'))",
+    "DELISTED_IDENTITY_TRADES": "code % 10 = 8 AND trading_state <> 'NOT_LISTED_OR_NOT_ELIGIBLE'",
+    "NOT_LISTED_WITHOUT_EVIDENCE": "trading_state = 'NOT_LISTED_OR_NOT_ELIGIBLE' AND code % 10 <> 8",
+    "FIELD_INVALID:OHLC": "traded AND l_partkey % 23 = 0", "FIELD_ON_NON_TRADED_ROW:OHLC": "NOT traded AND l_partkey % 5 = 0",
+    "FIELD_INVALID:VOLUME": "traded AND volume = '0'", "FIELD_ON_NON_TRADED_ROW:VOLUME": "NOT traded AND volume = '500'",
+    "GROUP_NOT_SUPPLIED:VALUE_TRADED_KWD": "value_traded_kwd <> ''", "FIELD_INVALID:REFERENCE_PRICE": "reference_price_fils <> ''"}, "l_orderkey", "j")
+
 QUERIES = {
+    "status_history_contract": status_history, "actions_stable_ids": action_ids, "notice_count_reconcile": notice_counts,
+    "universe_bindings": universe_bindings, "provider_row_contract": provider_rows,
     "exposure_binding": exposures, "finding_contract": finding_contract, "source_observations": observations, "parsed_inputs": parsed_inputs,
     "run_manifest": run_manifest, "replay_rows": replay_rows, "notice_contract": notice_contract, "event_table_contract": event_tables,
     "delisting_contract": delistings, "benchmark_row_contract": benchmark_rows, "published_recheck": republished, "bars_duplicate_keys": duplicate_keys,
@@ -410,6 +522,8 @@ QUERIES = {
     "json_lines_strict": json_lines, "html_tables": html_tables,
 }
 ORACLE = {
+    "status_history_contract": HISTORY_SQL, "actions_stable_ids": ACTION_SQL, "notice_count_reconcile": COUNT_SQL, "universe_bindings": BINDING_SQL,
+    "provider_row_contract": PROVIDER_SQL,
     "exposure_binding": EXPOSURE_SQL, "finding_contract": FINDING_SQL, "source_observations": OBSERVATION_SQL, "parsed_inputs": PARSED_SQL,
     "run_manifest": MANIFEST_SQL, "replay_rows": REPLAY_SQL, "notice_contract": NOTICE_SQL, "event_table_contract": EVENT_TABLE_SQL,
     "delisting_contract": DELISTING_SQL, "benchmark_row_contract": BENCHMARK_SQL, "published_recheck": REPUBLISHED_SQL,
