@@ -71,6 +71,13 @@ def test_vendor_export(spark, tmp_path):
     rows = files.read_vendor_exports(spark, str(tmp_path), manifest).orderBy(F.desc("trade_date")).collect()
     assert [r["volume"] for r in rows] == [1_250_000, 950_000, None]
     assert rows[0]["issue_codes"] == [] and sorted(rows[2]["issue_codes"]) == ["OHLC_IMPOSSIBLE", "VOLUME_NOT_WHOLE"]
+    stored = files.scan_artifacts(spark, str(tmp_path))
+    checked = files.read_vendor_exports(spark, str(tmp_path), manifest, stored).collect()
+    assert all("FILE_SHA256_MISMATCH" in r["issue_codes"] for r in checked)
+    bound = manifest.drop("sha256").join(stored.select(F.col("path").alias("file_name"), "sha256"), "file_name")
+    (tmp_path / "AAA.csv").write_text("Date,Price,Open,High,Low,Vol.,Change %\n2026-08-05,100,99,101,98,950,0.00%\n2026-08-06,100,99,101,98,950,0.00%\n")
+    again = files.read_vendor_exports(spark, str(tmp_path), bound, files.scan_artifacts(spark, str(tmp_path))).orderBy("trade_date").collect()
+    assert [r["issue_codes"] for r in again] == [[], ["ROWS_NOT_NEWEST_FIRST"]]
 
 
 def test_manifest_audit_finds_every_kind_of_difference(spark, tmp_path):

@@ -6,6 +6,8 @@ in columns, so that clean and defective rows are both in the result.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from tidegauge.operators import lab, ledger, network, prices, scan
 from tidegauge.operators import reconcile as rec
 from tidegauge.plans.ledger_queries import log
 from tidegauge.plans.views import SQL, table, with_views
+from tidegauge.session import shared_dir
 from tidegauge.sources import files, html
 
 DAY = "CAST(o_orderdate AS TIMESTAMP)"
@@ -512,7 +515,46 @@ PROVIDER_SQL = "WITH p AS (SELECT " + ", ".join(PROVIDER) + """ FROM lineitem),
     "FIELD_INVALID:VOLUME": "traded AND volume = '0'", "FIELD_ON_NON_TRADED_ROW:VOLUME": "NOT traded AND volume = '500'",
     "GROUP_NOT_SUPPLIED:VALUE_TRADED_KWD": "value_traded_kwd <> ''", "FIELD_INVALID:REFERENCE_PRICE": "reference_price_fils <> ''"}, "l_orderkey", "j")
 
+# --- files written and read back -------------------------------------------------------
+
+
+def _folder(spark):
+    return f"{shared_dir(spark)}/tidegauge/{uuid.uuid4().hex}"
+
+
+def csv_scan(spark, sf_dir):
+    """Orders through the sorted sink and the CSV scan, all fields as text."""
+    path, columns = _folder(spark), ["o_orderkey", "o_custkey", "o_orderstatus"]
+    files.write_sorted(table(spark, sf_dir, "orders"), columns, ["o_orderkey"], path)
+    back = files.read_csv(spark, path, columns)
+    return back.groupBy("o_orderstatus", F.col("_corrupt").isNotNull().alias("corrupt")).agg(
+        F.count("*").alias("rows"), F.sum(F.col("o_orderkey").cast("bigint")).alias("ids"), F.sum(F.col("o_custkey").cast("bigint")).alias("customers"))
+
+
+def identity_scan(spark, sf_dir):
+    """Customers as JSON arrays of identity records, a file per hundred; every third time lacks its offset."""
+    c, path = table(spark, sf_dir, "customer"), _folder(spark)
+    at = F.concat(F.lit("2024-01-01T00:00:00"), F.when(F.col("c_custkey") % 3 == 0, "").otherwise("+03:00"))
+    record = F.struct(F.col("c_custkey").cast("string").alias("security_id"), F.col("c_name").alias("symbol_en"), F.lit("2020-01-01").alias("valid_from"),
+                      at.alias("known_from"), (F.col("c_custkey") % 2 == 0).alias("tradable"))
+    arrays = c.groupBy(F.floor(F.col("c_custkey") / 100).alias("part")).agg(F.to_json(F.collect_list(record)).alias("value"))
+    arrays.write.partitionBy("part").text(path)
+    back = files.read_identity(spark, path)
+    return back.groupBy("tradable", F.col("known_from").isNotNull().alias("timed")).agg(F.count("*").alias("rows"), F.sum(F.col("security_id").cast("bigint")).alias("ids"))
+
+
+def report_sink(spark, sf_dir):
+    """Two artifacts of a run through the report sink, read back."""
+    path = _folder(spark)
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n_nationkey"), F.col("o_custkey").alias("n_regionkey"))
+    files.write_report({"model": n, "predictions": o}, path)
+    parts = [spark.read.schema("n_nationkey bigint, n_regionkey bigint").json(f"{path}/{a}").withColumn("artifact", F.lit(a)) for a in ("model", "predictions")]
+    return parts[0].unionByName(parts[1]).groupBy("artifact").agg(F.count("*").alias("rows"), F.sum("n_nationkey").alias("ids"), F.sum("n_regionkey").alias("others"))
+
+
 QUERIES = {
+    "csv_scan": csv_scan, "identity_json_scan": identity_scan, "report_sink": report_sink,
     "status_history_contract": status_history, "actions_stable_ids": action_ids, "notice_count_reconcile": notice_counts,
     "universe_bindings": universe_bindings, "provider_row_contract": provider_rows,
     "exposure_binding": exposures, "finding_contract": finding_contract, "source_observations": observations, "parsed_inputs": parsed_inputs,
@@ -522,6 +564,10 @@ QUERIES = {
     "json_lines_strict": json_lines, "html_tables": html_tables,
 }
 ORACLE = {
+    "csv_scan": """SELECT o_orderstatus, FALSE AS corrupt, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS ids, CAST(sum(o_custkey) AS BIGINT) AS customers FROM orders GROUP BY 1""",
+    "identity_json_scan": """SELECT c_custkey % 2 = 0 AS tradable, c_custkey % 3 <> 0 AS timed, count(*) AS rows, CAST(sum(c_custkey) AS BIGINT) AS ids FROM customer GROUP BY 1, 2""",
+    "report_sink": """SELECT 'model' AS artifact, count(*) AS rows, CAST(sum(n_nationkey) AS BIGINT) AS ids, CAST(sum(n_regionkey) AS BIGINT) AS others FROM nation
+        UNION ALL SELECT 'predictions', count(*), CAST(sum(o_orderkey) AS BIGINT), CAST(sum(o_custkey) AS BIGINT) FROM orders""",
     "status_history_contract": HISTORY_SQL, "actions_stable_ids": ACTION_SQL, "notice_count_reconcile": COUNT_SQL, "universe_bindings": BINDING_SQL,
     "provider_row_contract": PROVIDER_SQL,
     "exposure_binding": EXPOSURE_SQL, "finding_contract": FINDING_SQL, "source_observations": OBSERVATION_SQL, "parsed_inputs": PARSED_SQL,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
@@ -135,26 +135,37 @@ def vendor_date(text: Column) -> Column:
     return F.coalesce(F.try_to_date(F.trim(text), "MMM d, yyyy"), F.try_to_date(F.trim(text), "MMM dd, yyyy"), F.trim(text).try_cast("date"))
 
 
-def read_vendor_exports(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+def read_vendor_exports(spark: SparkSession, path: str, manifest: DataFrame, artifacts: DataFrame | None = None) -> DataFrame:
     """Vendor price CSVs bound to their manifest row by file name.
 
-    ``manifest(file_name, code, source_id, sha256)``. Returns bars with
-    ``change_percent`` and row issue codes; check newest-first order and change
-    reconciliation with ``prices.change_mismatches``.
+    ``manifest(file_name, code, source_id, sha256)``. With ``artifacts`` (see
+    ``scan_artifacts``) the bytes of each file are held against the manifest.
+    Returns bars with ``change_percent`` and row issue codes, the newest-first
+    order included; check change reconciliation with ``prices.change_mismatches``.
     """
     schema = StructType([StructField(c, StringType()) for c in VENDOR_HEADER])
-    raw = spark.read.schema(schema).csv(path, header=True, enforceSchema=False).withColumn(
-        "file_name", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    )
+    raw = spark.read.schema(schema).csv(path, header=True, enforceSchema=False).withColumns({
+        "file_name": F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1),
+        # Place of the row: its split of the file, then its place in the split.
+        "_split": F.col("_metadata.file_block_start"), "_place": F.monotonically_increasing_id()})
     dec = lambda c: F.regexp_replace(F.col(f"`{c}`"), "[,%+]", "").try_cast("decimal(20,6)")
     rows = raw.select(
         "file_name", vendor_date(F.col("Date")).alias("trade_date"), dec("Open").alias("open"), dec("High").alias("high"), dec("Low").alias("low"),
-        dec("Price").alias("close"), suffixed_volume(F.col("`Vol.`")).alias("volume"), dec("Change %").alias("change_percent"),
+        dec("Price").alias("close"), suffixed_volume(F.col("`Vol.`")).alias("volume"), dec("Change %").alias("change_percent"), "_split", "_place",
     )
+    # An export has one row per date, so a window over a file is bounded by the calendar.
+    rows = rows.withColumn("_later", F.lag("trade_date").over(Window.partitionBy("file_name").orderBy("_split", "_place"))).drop("_split", "_place")
     bound = rows.join(manifest.withColumn("_bound", F.lit(True)), "file_name", "left")
     repeated = rows.groupBy("file_name", "trade_date").agg(F.count("*").alias("_n"))
+    if artifacts is None:
+        hashed = bound.withColumn("_stored", F.lit(None).cast("string"))
+    else:
+        name = F.element_at(F.split("path", "/"), -1)
+        hashed = bound.join(artifacts.select(name.alias("file_name"), F.col("sha256").alias("_stored")), "file_name", "left")
     return R.check(
-        bound.join(repeated, ["file_name", "trade_date"], "left"),
+        hashed.join(repeated, ["file_name", "trade_date"], "left"),
+        R.never("FILE_SHA256_MISMATCH", F.col("_bound") & F.col("_stored").isNotNull() & (F.col("sha256") != F.col("_stored"))),
+        R.never("ROWS_NOT_NEWEST_FIRST", F.col("trade_date") > F.col("_later")),
         R.must("FILE_NOT_IN_MANIFEST", F.col("_bound")),
         R.must("DATE_UNREADABLE", F.col("trade_date").isNotNull()),
         R.never("DATE_DUPLICATE", F.col("_n") > 1),
@@ -162,7 +173,7 @@ def read_vendor_exports(spark: SparkSession, path: str, manifest: DataFrame) ->
         R.never("OHLC_IMPOSSIBLE", (F.col("high") < F.greatest("open", "close", "low")) | (F.col("low") > F.least("open", "close", "high"))),
         R.must("VOLUME_NOT_WHOLE", F.col("volume").isNotNull()),
         R.must("CHANGE_UNREADABLE", F.col("change_percent").isNotNull()),
-    ).drop("_bound", "_n")
+    ).drop("_bound", "_n", "_later", "_stored")
 
 
 def scan_artifacts(spark: SparkSession, root: str) -> DataFrame:
