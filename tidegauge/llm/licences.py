@@ -167,7 +167,8 @@ def scan(artifacts: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
         F.filter(F.split(directory(F.col("artifact_path")), "/"), lambda p: p != ""), "/").alias("above")).agg(
         F.min(F.struct((-F.col("similarity")).alias("order"), "artifact_path", "licence", "similarity")).alias("file"))
     folders = artifacts.where("artifact_path IS NOT NULL").select(directory(F.col("artifact_path")).alias("folder")).distinct()
-    inherited = (
+    # Written, so that the join below meets it in an exchange of its own and a folder with a third of all files can be split.
+    inherited = materialise(
         folders.select("folder", F.explode(ancestors(F.col("folder"))).alias("up")).select("folder", "up.depth", "up.above")
         .join(decided, "above").groupBy("folder").agg(F.max_by("file", "depth").alias("file")))
 
