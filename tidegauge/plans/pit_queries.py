@@ -154,14 +154,12 @@ def _registry(spark, sf_dir):
 
 
 def benchmark_lookup(spark, sf_dir):
-    probes = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("as_of")).distinct().withColumn(
-        "benchmark_code", F.lit(None).cast("string")
-    )
-    codes = table(spark, sf_dir, "region").select(F.col("r_name").alias("code"))
-    # Every (day, series) pair is a probe by definition: days and series are both small registries.
-    probes = probes.withColumn(
-        "benchmark_code", F.explode(F.lit([r["code"] for r in codes.collect()]))
-    )
+    """The series of its customer's region, looked up on the day of every order."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    home = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(
+        region, F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", F.col("r_name").alias("benchmark_code"))
+    orders = table(spark, sf_dir, "orders").select("o_custkey", F.to_date("o_orderdate").alias("as_of"))
+    probes = orders.join(home, F.col("o_custkey") == F.col("c_custkey")).select("as_of", "benchmark_code").distinct()
     return pit.benchmark_asof(probes, _registry(spark, sf_dir)).select(
         F.col("as_of").cast("string").alias("as_of"), "benchmark_code", "scope", "issue_code"
     )
@@ -223,7 +221,8 @@ REGISTRY = """
           GROUP BY 1) ON c_nationkey = n_nationkey"""
 BENCH = f"""
     SELECT d.as_of, d.code AS benchmark_code, count(scope) AS n, min(scope) AS scope
-    FROM (SELECT as_of, r_name AS code FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS as_of FROM orders), region) d
+    FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS as_of, r_name AS code FROM orders JOIN customer ON o_custkey = c_custkey
+          JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) d
     LEFT JOIN ({REGISTRY}) r ON r.benchmark_code = d.code AND d.as_of BETWEEN effective_from AND effective_to
     GROUP BY 1, 2"""
 
