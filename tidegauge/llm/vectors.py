@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.simhash import forest
 from tidegauge.operators.graph import components
-from tidegauge.session import materialise
+from tidegauge.session import broadcast_if_small, materialise
 
 SAMPLE = 8_192
 CALIBRATION_PAIRS = 4_096  # of the sample's own links, from each block of it
@@ -222,12 +222,14 @@ def groups(vectors: DataFrame, min_cosine: float = MIN_COSINE, target_recall: fl
         F.ceil(F.count_if("member") / MEMBERS).alias("member_blocks"), F.ceil(F.count_if(~F.col("member")) / QUERIES).alias("query_blocks"))
     here = F.pmod(F.xxhash64("node"), F.when(F.col("member"), F.col("member_blocks")).otherwise(F.col("query_blocks")))
     everywhere = F.explode(F.sequence(F.lit(0), F.when(F.col("member"), F.col("query_blocks")).otherwise(F.col("member_blocks")) - 1))
-    spread = placed.join(sizes, "cell").where("member_blocks > 0 AND query_blocks > 0").select(
+    spread = placed.join(broadcast_if_small(sizes, MAX_CODES ** 2), "cell").where("member_blocks > 0 AND query_blocks > 0").select(
         *placed.columns, here.alias("here"), everywhere.alias("there"))
     blocks = spread.withColumn("member_block", F.when(F.col("member"), F.col("here")).otherwise(F.col("there"))).withColumn(
         "query_block", F.when(F.col("member"), F.col("there")).otherwise(F.col("here")))
+    # Dealt by block: the partitioning by cell alone would bring all blocks of a cell to one task.
+    dealt = blocks.drop("here", "there").repartition("cell", "member_block", "query_block")
     found = materialise(
-        blocks.drop("here", "there").groupBy("cell", "member_block", "query_block").applyInArrow(compared, "a long, b long, links long"))
+        dealt.groupBy("cell", "member_block", "query_block").applyInArrow(compared, "a long, b long, links long"))
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     labels = components(found.where("b IS NOT NULL").select("a", "b"))
     labelled = classes.select("node", "weight", "least").join(labels, "node", "left").select(
