@@ -182,7 +182,7 @@ def test_status_fold_refuses_double_days_and_keeps_state_on_bad_moves(spark):
     got = sorted((r["code"], r["status"], str(r["effective_from"]), str(r["effective_to"])) for r in intervals.collect())
     assert got == [("a", "SUSPENDED", "2024-01-10", "2024-01-31"), ("a", "TRADING", "2024-01-01", "2024-01-09"), ("c", "TRADING", "2024-01-01", "2024-01-31")]
     assert sorted((r["row_key"], r["code"]) for r in issues.collect()) == [
-        ("a", "INVALID_STATUS_TRANSITION:TRADING:RESUME"), ("b", "MULTIPLE_STATUS_EVENTS_SAME_DATE"), ("z", "STATUS_NOTICE_OUTSIDE_IDENTITY")]
+        ("a", "INVALID_STATUS_TRANSITION:TRADING:RESUME:2024-01-05"), ("b", "MULTIPLE_STATUS_EVENTS_SAME_DATE"), ("z", "STATUS_NOTICE_OUTSIDE_IDENTITY")]
 
 
 def test_exposures_are_bound_to_their_event(spark):
