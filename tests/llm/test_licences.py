@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
@@ -90,3 +91,20 @@ def test_every_template_is_itself(spark):
 
 def test_empty_table(spark):
     assert licences.scan(spark.createDataFrame([], "artifact_path string, raw_text string")).count() == 0
+
+
+def test_full_texts_are_found_and_inherited(spark):
+    """Whole licence texts, also with a copyright line, other line breaks or a part cut off, and what lies beside them."""
+    folder, rows, expected = Path(licences.__file__).parent / "licence_texts", [], {}
+    for file in sorted(folder.glob("*.txt")):
+        text, name = file.read_text(encoding="utf-8"), file.stem
+        for kind, variant in (("as_is", text), ("owner", "Copyright (c) 2024 Example Holdings\n\n" + text), ("joined", " ".join(text.split())),
+                              ("cut", text[: len(text) * 9 // 10])):
+            path = f"{name}/{kind}"
+            rows += [(f"{path}/{'LICENSE' if kind == 'as_is' else 'COPYING.txt'}", variant), (f"{path}/src/data.csv", "a,b\n1,2")]
+            expected |= {rows[-2][0]: name, rows[-1][0]: name}
+    prose = " ".join(f"market close share {i} price of the board" for i in range(400))
+    rows += [("none/LICENSE", prose), ("none/x.csv", "a,b")]
+    got = {r.artifact_path: r.licence for r in licences.scan(spark.createDataFrame(rows, "artifact_path string, raw_text string")).collect()}
+    assert got == expected | {"none/LICENSE": None, "none/x.csv": None}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "MIT", "BSD-3-Clause", "ISC"} <= set(expected.values())

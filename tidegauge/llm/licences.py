@@ -1,7 +1,8 @@
 """Licences of raw artifacts: what a file says itself, or what the nearest directory above it says.
 
 1. Every text is read whole and cut into notices: runs of lines that speak of licensing, gaps of up to ``MAX_GAP`` lines
-   included. A licence file (by its name) is also one notice as a whole.
+   included. A licence file (by its name) is also one notice as a whole, and is compared as a whole with the full texts
+   of ``licence_texts``, by cosine over an inverse document frequency of these texts alone.
 2. Distinct notices become sparse TF-IDF vectors, inverse document frequencies taken over all distinct notices and the
    templates, and are compared with the templates by cosine. The templates are a constant of this module, so their
    terms can be broadcast; a notice that thousands of files repeat is compared once.
@@ -11,9 +12,14 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache, partial
+from importlib import resources
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,15 +101,52 @@ def notices(text: str, whole: bool) -> list[str]:
     return [x for x in dict.fromkeys(" ".join(terms(f)) for f in found) if x]
 
 
-def _notices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@cache
+def full_texts() -> tuple[list[str], dict[str, tuple[int, float]], float, np.ndarray]:
+    """Names of the full licence texts, place and weight of each of their terms, the weight of others, unit vectors as rows."""
+    files = sorted((f for f in resources.files("tidegauge.llm").joinpath("licence_texts").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    counts = [Counter(terms(f.read_text(encoding="utf-8"))) for f in files]
+    df = Counter(t for c in counts for t in c)
+    known = {t: (i, math.log((len(files) + 1) / (df[t] + 1)) + 1) for i, t in enumerate(sorted(df))}
+    rows = np.zeros((len(files), len(known)))
+    for row, c in zip(rows, counts):
+        for t, n in c.items():
+            row[known[t][0]] = n * known[t][1]
+    return [f.name.removesuffix(".txt") for f in files], known, math.log(len(files) + 1) + 1, rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+def full_text_of(text: str, model: tuple) -> tuple[str | None, float]:
+    """The most similar full licence text and its cosine; ties: first name."""
+    names, known, other, rows = model
+    own, square = np.zeros(len(known)), 0.0
+    for t, n in Counter(terms(text)).items():
+        at, weight = known.get(t, (None, other))
+        square += (n * weight) ** 2
+        if at is not None:
+            own[at] = n * weight
+    if not square:
+        return None, 0.0
+    cosines = np.round(rows @ own / math.sqrt(square), 9)
+    return names[int(cosines.argmax())], float(cosines.max())
+
+
+def _notices(batches: Iterator[pa.RecordBatch], model: tuple, min_cosine: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, found = [], []
+        rows, found, names, cosines = [], [], [], []
         for row, (text, whole) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
             own = notices(text or "", whole)
             rows += [row] * len(own)
             found += own
+            names += [None] * len(own)
+            cosines += [None] * len(own)
+            if whole and (full := full_text_of(text or "", model))[0] and full[1] >= min_cosine:
+                rows.append(row)
+                found.append(None)
+                names.append(full[0])
+                cosines.append(full[1])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(found, pa.string()), batch.column(2).take(pa.array(rows, pa.int64()))], names=["notice", "artifact_path"])
+            [pa.array(found, pa.string()), pa.array(names, pa.string()), pa.array(cosines, pa.float64()), batch.column(2).take(pa.array(rows, pa.int64()))],
+            names=["notice", "licence", "similarity", "artifact_path"])
 
 
 def _counted(notices_: DataFrame, *keys: str) -> DataFrame:
@@ -149,7 +192,7 @@ def scan(artifacts: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     """The licence of every row of ``artifacts(artifact_path, raw_text, ...)``.
 
     Returns one row per input row: ``artifact_path, licence, similarity, basis`` and ``licence_path``. ``basis`` is
-    ``own`` when a notice of the file itself matches (the best of them counts; ties: first template), ``inherited`` when
+    ``own`` when a notice of the file itself, or all of a licence file, matches (the best counts; ties: first template), ``inherited`` when
     the nearest ancestor directory with a matching licence file decides (of several there the most similar, then the
     first path), else null with the rest. A null or empty text has no notice. A null path has no directory and inherits
     nothing; rows that repeat a path share the path's best notice. Other columns are ignored; an empty table gives an
@@ -157,10 +200,13 @@ def scan(artifacts: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     """
     is_file = F.coalesce(F.col("artifact_path").rlike(LICENCE_FILE), F.lit(False))
     read = artifacts.select("raw_text", is_file.alias("whole"), "artifact_path")
-    found = materialise(read.mapInArrow(_notices, schema("notice string", ("artifact_path", artifacts.schema["artifact_path"].dataType))))
-    matched = materialise(compared(found.select("notice").distinct(), min_cosine))
+    made = schema("notice string, licence string, similarity double", ("artifact_path", artifacts.schema["artifact_path"].dataType))
+    found = materialise(read.mapInArrow(partial(_notices, model=full_texts(), min_cosine=min_cosine), made))
+    named = found.where("notice IS NOT NULL").select("notice", "artifact_path")
+    matched = materialise(compared(named.select("notice").distinct(), min_cosine))
+    full = found.where("notice IS NULL").select("artifact_path", "licence", "similarity")
     own = materialise(
-        found.join(matched, "notice").groupBy("artifact_path").agg(F.max(F.struct("similarity", "licence")).alias("own"))
+        named.join(matched, "notice").select("artifact_path", "licence", "similarity").unionByName(full).groupBy("artifact_path").agg(F.max(F.struct("similarity", "licence")).alias("own"))
         .select("artifact_path", "own.licence", "own.similarity"))
 
     decided = own.where(F.col("artifact_path").rlike(LICENCE_FILE)).groupBy(F.array_join(
