@@ -5,10 +5,10 @@ A document is a source event (``doc_id`` as ``event_id``, ``text`` as ``raw_text
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm import disclosure, hosts, language, licences, lines, ngrams, packing, seeds, simhash, vectors
+from tidegauge.llm import disclosure, hosts, language, licences, lines, ngrams, packing, prefixes, seeds, simhash, vectors, whitening
 from tidegauge.plans.views import table
 
 
@@ -114,6 +114,32 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"event_id": "doc_id", "holdout_id": "item_id"})
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as routes, turns as attempts; each takes its first turns from the conversation of its hundred."""
+    turns = table(spark, sf_dir, "conversations").where(F.col("conv_id").isNotNull()).select(
+        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
+    placed = turns.select("conv_id", "role", "text", F.row_number().over(order).alias("place"))
+    borrowed = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    ids = turns.select("conv_id").distinct().select("conv_id", (F.col("conv_id") - F.col("conv_id") % 100).alias("base"), borrowed.alias("h"))
+    base = placed.where("place <= 5").withColumnRenamed("conv_id", "base")
+    heads = ids.join(base, "base").where("place <= h").select("conv_id", "role", "text", "place")
+    rebuilt = placed.where(F.col("place") > borrowed).unionByName(heads).select(
+        F.col("conv_id").alias("route_id"), F.col("place").alias("event_seq"), F.col("role").alias("strategy_id"), F.col("text").alias("requested_url"))
+    found = prefixes.trie(rebuilt, ids.select(F.col("conv_id").alias("route_id")))
+    return found.select(
+        F.col("route_id").alias("conv_id"), "depth", F.col("parent_route_id").alias("parent_conv_id"), F.col("n_routes").alias("n_convs"),
+        "n_children", "n_leaves", F.col("saved_chars").alias("saved_tokens"), "ends_sha256")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as snapshots of factor values in 1024ths, moved by 100,000."""
+    entries = F.col("embedding").cast("array<double>")
+    scaled = F.transform(entries, lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.floor(c * 1024) + 100_000).cast("long"))
+    found = whitening.whiten(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("security_code"), scaled.alias("factor_values")), components=8)
+    return found.withColumnRenamed("security_code", "vec_id").withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES = {
     "op1_host_reputation": op1_host_reputation,
     "op2_lm_score": op2_lm_score,
@@ -125,6 +151,8 @@ QUERIES = {
     "op8_embeddings": op8_embeddings,
     "op9_licences": op9_licences,
     "op10_decontamination": op10_decontamination,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_whitening": op12_whitening,
 }
 
 LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
