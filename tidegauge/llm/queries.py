@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm import disclosure, hosts, language, licences, lines, ngrams, packing, prefixes, seeds, simhash, vectors, whitening
+from tidegauge.llm import disclosure, hosts, language, licences, lines, ngrams, packing, prefixes, repeats, seeds, simhash, vectors, whitening
 from tidegauge.plans.views import table
 
 
@@ -140,6 +140,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("security_code", "vec_id").withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove(source_events(spark, sf_dir), length=100)
+    return found.select(F.col("event_id").alias("doc_id"), "n_bytes", "n_removed", F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_host_reputation": op1_host_reputation,
     "op2_lm_score": op2_lm_score,
@@ -153,6 +158,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_whitening": op12_whitening,
+    "op13_repeats": op13_repeats,
 }
 
 LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
