@@ -12,6 +12,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import Matrices
@@ -105,6 +106,7 @@ def whiten(snapshots: DataFrame, components: int = 8) -> DataFrame:
     deep = max(1, BLOCK_BYTES // (8 * d))
     matrix = IndexedRowMatrix(vectors, n, d).toBlockMatrix(deep, min(d, BLOCK_COLS))
     parts = max(1, vectors.rdd.getNumPartitions())
+    matrix.persist(StorageLevel.MEMORY_AND_DISK)  # both products and their block indices read it; lost blocks are made anew
     covariance = _product(matrix.transpose(), matrix, parts).toLocalMatrix().toArray() / n
     eigenvalues, eigenvectors = np.linalg.eigh((covariance + covariance.T) / 2)
     order = np.argsort(-eigenvalues, kind="stable")[:components]
@@ -120,6 +122,7 @@ def whiten(snapshots: DataFrame, components: int = 8) -> DataFrame:
     scores = callMLlibFunc("getIndexedRows", projected.toIndexedRowMatrix()._java_matrix_wrapper._java_model).select(
         "index", vector_to_array("vector").alias("scores"))
     done = materialise(rows.select("index", "security_code", squares.alias("deviation")).join(scores, "index").drop("index"))
+    matrix._java_matrix_wrapper.call("blocks").unpersist(False)
 
     score = [F.col("scores")[i] for i in range(k)]
     middle = done.agg(*[F.avg(s) for s in score]).first()
