@@ -6,7 +6,9 @@ import unicodedata
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidegauge.operators import clusters
 from tidegauge.operators.clusters import cluster_findings
 from tidegauge.operators.events import connected_components
 
@@ -69,10 +71,41 @@ def test_clusters_equal_the_sequential_walk(spark, seed):
     assert len(set(got.values())) < len(rows)
 
 
-def test_findings_out_of_time_order_are_refused(spark):
-    rows = [(0, "A", "RISK", "POSITIVE", "x", "p", START, "a b c"), (1, "A", "RISK", "POSITIVE", "y", "q", START - timedelta(hours=1), "a b c")]
-    with pytest.raises(ValueError):
-        cluster_findings(spark.createDataFrame(rows, SCHEMA))
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_findings_in_any_order_of_time(spark, seed):
+    """Read in an order that has little to do with time, with many members of few stories inside a few windows."""
+    rng = random.Random(seed)
+    rows = [(*r[:6], START + timedelta(hours=rng.uniform(0, 300)), r[7]) for r in make(seed)]
+    got = {r["seq"]: r["cluster"] for r in cluster_findings(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()}
+    assert got == greedy(rows)
+
+
+def test_edges_of_times_at_the_limit(spark):
+    """Exactly 72 hours apart is near, a microsecond more is not, on either side and whatever is read first."""
+    text = "alpha beta gamma delta epsilon zeta eta theta"
+    step = timedelta(microseconds=1)
+    hours = [timedelta(0), timedelta(hours=72), timedelta(hours=72) + step, timedelta(hours=144), timedelta(hours=-72), timedelta(hours=-72) - step,
+             timedelta(hours=71), timedelta(hours=1)]
+    for turn in range(3):
+        rng = random.Random(turn)
+        times = rng.sample(hours, len(hours))
+        rows = [(i, "A", "RISK", "POSITIVE", f"e{i}", f"o{i}", START + t, text) for i, t in enumerate(times)]
+        assert {r["seq"]: r["cluster"] for r in cluster_findings(spark.createDataFrame(rows, SCHEMA)).collect()} == greedy(rows)
+
+
+def test_templated_notices_make_few_relations(spark):
+    """Notices that differ in one or two words are one clique: their number of relations does not grow with them."""
+    words = [f"notice{i}" for i in range(22)]
+    counts = []
+    for n in (200, 2000):
+        rows = [(i, "A", "RISK", "POSITIVE", f"e{i}", f"o{i}", START + timedelta(minutes=i), " ".join([*words, f"number{i}", f"price{i % 40}"])) for i in range(n)]
+        df = spark.createDataFrame(rows, SCHEMA)
+        sets = df.select(F.lit("g").alias("gid"), F.sha2("claim_text", 256).alias("sid"), F.array_sort(F.split("claim_text", " ")).alias("tokens")).withColumn("n", F.size("tokens"))
+        classes, relations = clusters._similar(sets, sets.select("sid", F.lit(0).alias("slot")))
+        counts.append((classes.select("cid").distinct().count(), relations.count()))
+        if n == 200:
+            assert {r["cluster"] for r in cluster_findings(df).collect()} == {0} == set(greedy(rows).values())
+    assert counts == [(1, 0), (1, 0)]
 
 
 def test_components_of_a_long_chain_and_a_hot_link(spark):
