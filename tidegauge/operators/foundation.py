@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions import rules as R
-from tidegauge.functions.digest import table_digest
+from tidegauge.functions.digest import differing_nodes, merkle_tree, table_digest
 from tidegauge.functions.text import check_url
 from tidegauge.operators.pit import interval_join
 
@@ -73,8 +73,13 @@ def gate_table(components: Sequence[DataFrame]) -> DataFrame:
     return table
 
 
-def recheck_published(published: DataFrame, recomputed: DataFrame, keys: Sequence[str], saved_sha256: str, saved_rows: int) -> DataFrame:
-    """A published table against its recomputation and its saved digest; issue rows only."""
+def recheck_published(
+    published: DataFrame, recomputed: DataFrame, keys: Sequence[str], saved_sha256: str, saved_rows: int, saved_tree: DataFrame | None = None
+) -> DataFrame:
+    """A published table against its recomputation, its saved digest and, if given, its saved tree; issue rows only.
+
+    With a tree each leaf that has changed is named by its prefix.
+    """
     fields = [c for c in recomputed.columns if c not in keys]
     a = published.select(*keys, *[F.col(c).alias(f"_{c}") for c in fields]).withColumn("_p", F.lit(True))
     b = recomputed.withColumn("_r", F.lit(True))
@@ -89,6 +94,11 @@ def recheck_published(published: DataFrame, recomputed: DataFrame, keys: Sequenc
         F.explode(R.code_array(
             R.never("SAVED_DIGEST_MISMATCH", F.col("table_sha256") != saved_sha256), R.never("SAVED_ROW_COUNT_MISMATCH", F.col("row_count") != saved_rows)
         )).alias("code"), F.lit("ERROR").alias("severity"))
+    if saved_tree is not None:
+        changed = differing_nodes(merkle_tree(published), saved_tree)
+        whole = whole.unionByName(changed.select(
+            F.lit("published_table").alias("operator"), F.concat(F.lit("leaf "), "prefix").alias("row_key"), F.lit("SAVED_LEAF_MISMATCH").alias("code"),
+            F.lit("ERROR").alias("severity")))
     return rows.unionByName(whole)
 
 

@@ -265,11 +265,25 @@ SQL["fin"] = """
         ELSE 'unlisted' END AS f, arg_max(value, event_id) AS v, arg_max(ts, event_id) AS t FROM events GROUP BY 1, 2)"""
 
 
-def digest_sql(key: str, json: str, source: str, names: tuple[str, str, str]) -> str:
+def tree_sql(key: str, json: str, source: str, name: str, deepest: int = 4) -> list[str]:
+    """CTEs of the Merkle trees of the rows whose JSON is the expression ``json``: ``{name}_0`` holds the roots, ``{name}_all`` all nodes."""
+    depth = " + ".join(f"CAST(sum(c) > {1024 * 16**k} AS INT)" for k in range(deepest))
+    ctes = [
+        f"{name}_c AS (SELECT k, h, count(*) AS c FROM (SELECT {key} AS k, sha256({json}) AS h FROM {source}) GROUP BY 1, 2)",
+        f"{name}_d AS (SELECT k, {depth} AS depth FROM {name}_c GROUP BY 1)",
+        f"""{name}_l AS (SELECT k, depth AS level, left(h, depth) AS prefix, sum(c) AS n, sha256('leaf|' || string_agg(h || ':' || c, '|' ORDER BY h)) AS h
+            FROM {name}_c JOIN {name}_d USING (k) GROUP BY 1, 2, 3)""",
+        f"{name}_{deepest} AS (SELECT * FROM {name}_l WHERE level = {deepest})"]
+    for level in range(deepest - 1, -1, -1):
+        ctes.append(f"""{name}_{level} AS (SELECT * FROM {name}_l WHERE level = {level} UNION ALL
+            SELECT k, {level}, left(prefix, {level}) AS p, sum(n), sha256('node|' || string_agg(prefix || ':' || h, '|' ORDER BY prefix)) FROM {name}_{level + 1} GROUP BY 1, 3)""")
+    return ctes + [f"{name}_all AS ({' UNION ALL '.join(f'SELECT * FROM {name}_{level}' for level in range(deepest + 1))})"]
+
+
+def digest_sql(key: str, json: str, source: str, names: tuple[str, str, str], views: str = "") -> str:
     """SQL of a table digest over rows whose JSON is the expression ``json``."""
-    slices = ", ".join(f"CAST(sum(CAST(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS UBIGINT) AS HUGEINT)) AS VARCHAR)" for i in range(4))
-    return f"""SELECT {key} AS {names[0]}, count(*) AS {names[1]}, sha256(concat_ws('|', CAST(count(*) AS VARCHAR), {slices})) AS {names[2]}
-        FROM (SELECT *, sha256({json}) AS h FROM {source}) GROUP BY 1"""
+    ctes = ", ".join(tree_sql(key, json, source, "tree"))
+    return f"{views + ', ' if views else 'WITH '}{ctes} SELECT k AS {names[0]}, CAST(n AS BIGINT) AS {names[1]}, h AS {names[2]} FROM tree_0"
 
 
 SNAP = """SELECT u.code, count(*) FILTER (st = 'OBSERVED') AS observed, 4 - count(st) AS missing, count(*) FILTER (st = 'NOT_APPLICABLE') AS not_applicable,
@@ -285,9 +299,9 @@ ORACLE = {
                count(*) AS rows, CAST(sum(seq) AS BIGINT) AS seq_checksum FROM w GROUP BY 1, 2"""),
     "ledger_seals": with_views(["lg", "lh"], """
         SELECT event_type AS ledger_id, count(*) AS event_count, arg_min(h, seq) AS first_event_hash, arg_max(h, seq) AS last_event_hash, arg_max(rec, seq) AS last_us FROM lh GROUP BY 1"""),
-    "ledger_seal_digest": with_views(["lg", "lh"], digest_sql(
+    "ledger_seal_digest": digest_sql(
         "event_type", """'{"event_hash":"' || h0 || '","event_seq":' || seq || '}'""", "(SELECT event_type, seq, h AS h0 FROM lh)",
-        ("ledger_id", "event_count", "content_sha256"))),
+        ("ledger_id", "event_count", "content_sha256"), with_views(["lg", "lh"], "")),
     "table_digests": digest_sql("l_returnflag", """'{"line":"' || line || '"}'""", """(SELECT l_returnflag, concat_ws('|', CAST(l_orderkey AS BIGINT),
         CAST(l_linenumber AS BIGINT), CAST(l_partkey AS BIGINT), CAST(l_suppkey AS BIGINT), CAST(l_quantity AS BIGINT), CAST(round(l_extendedprice * 100) AS BIGINT),
         CAST(round(l_discount * 100) AS BIGINT), CAST(round(l_tax * 100) AS BIGINT), l_returnflag, l_linestatus, CAST(l_shipdate AS DATE)) AS line FROM lineitem)""",

@@ -11,12 +11,13 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.functions.digest import merkle_tree
 from tidegauge.operators import contracts as ct
 from tidegauge.operators import events as ev
 from tidegauge.operators import foundation as fd
 from tidegauge.operators import lab, ledger, network, prices, scan
 from tidegauge.operators import reconcile as rec
-from tidegauge.plans.ledger_queries import log
+from tidegauge.plans.ledger_queries import log, tree_sql
 from tidegauge.plans.views import SQL, table, with_views
 from tidegauge.session import shared_dir
 from tidegauge.sources import files, html
@@ -277,18 +278,28 @@ BENCHMARK_SQL = """WITH r AS (SELECT *, count(*) OVER (PARTITION BY c_nationkey,
 
 
 def republished(spark, sf_dir):
-    """Orders published with some totals changed, some rows gone and some added, against the table as it is."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.round("o_totalprice", 2).alias("total"))
-    p = o.where("o_orderkey % 50 <> 1").withColumn("total", F.when(F.col("o_orderkey") % 40 == 0, -1.0).otherwise(F.col("total"))).unionByName(
-        o.where("o_orderkey % 60 = 2").withColumn("o_orderkey", -F.col("o_orderkey")))
-    found = fd.recheck_published(p, o, ["o_orderkey"], "0" * 64, 1)
-    return found.groupBy("code").agg(F.count("*").alias("rows"), F.min("row_key").alias("first_key"))
-
-
-REPUBLISHED_SQL = """SELECT code, count(*) AS rows, min(k) AS first_key FROM (
-    SELECT 'PUBLISHED_ROW_MISSING' AS code, CAST(o_orderkey AS VARCHAR) AS k FROM orders WHERE o_orderkey % 50 = 1
-    UNION ALL SELECT 'PUBLISHED_ROW_UNEXPECTED', CAST(-o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 60 = 2
-    UNION ALL SELECT 'RECOMPUTED:total', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 40 = 0
+    """Orders published with some totals changed, some rows gone and some added, against the table as it is and its saved tree."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("total"))
+    p = o.where("o_orderkey % 500 <> 1").withColumn("total", F.when(F.col("o_orderkey") % 4000 == 0, -1).otherwise(F.col("total"))).unionByName(
+        o.where("o_orderkey % 600 = 2").withColumn("o_orderkey", -F.col("o_orderkey")))
+    found = fd.recheck_published(p, o, ["o_orderkey"], "0" * 64, 1, merkle_tree(o))
+    return found.groupBy("code").agg(F.count("*").alias("rows"), F.min("row_key").alias("first_key"), F.max("row_key").alias("last_key"))
+
+
+def _order_tree(name: str, source: str) -> str:
+    return ", ".join(tree_sql("1", """'{"o_custkey":' || o_custkey || ',"o_orderkey":' || k0 || ',"total":' || t || '}'""", source, name))
+
+
+REPUBLISHED_SQL = f"""WITH o0 AS (SELECT o_custkey, o_orderkey AS k0, CAST(round(o_totalprice * 100) AS BIGINT) AS t FROM orders),
+    p0 AS (SELECT o_custkey, k0, CASE WHEN k0 % 4000 = 0 THEN -1 ELSE t END AS t FROM o0 WHERE k0 % 500 <> 1 UNION ALL SELECT o_custkey, -k0, t FROM o0 WHERE k0 % 600 = 2),
+    {_order_tree("saved", "o0")}, {_order_tree("now", "p0")},
+    diff AS (SELECT coalesce(a.level, b.level) AS level, coalesce(a.prefix, b.prefix) AS prefix FROM saved_all a FULL JOIN now_all b ON a.level = b.level AND a.prefix = b.prefix
+             WHERE a.h IS DISTINCT FROM b.h)
+    SELECT code, count(*) AS rows, min(k) AS first_key, max(k) AS last_key FROM (
+    SELECT 'PUBLISHED_ROW_MISSING' AS code, CAST(o_orderkey AS VARCHAR) AS k FROM orders WHERE o_orderkey % 500 = 1
+    UNION ALL SELECT 'PUBLISHED_ROW_UNEXPECTED', CAST(-o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 600 = 2
+    UNION ALL SELECT 'RECOMPUTED:total', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 4000 = 0
+    UNION ALL SELECT 'SAVED_LEAF_MISMATCH', 'leaf ' || prefix FROM diff d WHERE NOT EXISTS (SELECT 1 FROM diff c WHERE c.level = d.level + 1 AND left(c.prefix, d.level) = d.prefix)
     UNION ALL SELECT unnest(['SAVED_DIGEST_MISMATCH', 'SAVED_ROW_COUNT_MISMATCH']), '*') GROUP BY 1"""
 
 
