@@ -152,3 +152,43 @@ def test_stream_does_not_depend_on_files_and_loses_no_line(spark, tmp_path):
     again = post_open.settle(stored, identity, {h: {"F": 1.0} for h in HORIZONS}, until, spark.createDataFrame(first))
     assert [r["official_code"] for r in again["refused"].where("reason = 'LATE_OBSERVATION'").collect()] == ["1002"]
     assert sorted(r["official_code"] for r in again["admitted"].collect()) == ["1000", "1001", "1001"]
+
+
+def test_artifacts_are_hashed_in_chunks_and_stored_below_a_folder(spark, tmp_path):
+    sizes = {"a.bin": 0, "deep/b.bin": 10, "deep/er/c.bin": 5000}
+    rows = [(p, bytes(range(256)) * (n // 256 + 1)) for p, n in sizes.items()]
+    root = str(tmp_path / "store")
+    assert files.store_artifacts(spark.createDataFrame([(p, c[:sizes[p]]) for p, c in rows], "path string, content binary"), root) == 3
+    want = {(p, sizes[p], hashlib.sha256(c[:sizes[p]]).hexdigest()) for p, c in rows}
+    for chunk in (1, 7, 1 << 20):
+        assert {tuple(r) for r in files.scan_artifacts(spark, root, chunk).collect()} == want
+    assert {tuple(r) for r in files.scan_artifacts(spark, "file://" + root).collect()} == want
+    for bad in ("/x", "../x", "a//b", "a/", "", None):
+        with pytest.raises(ValueError):
+            files.store_artifacts(spark.createDataFrame([(bad, b"")], "path string, content binary"), root)
+
+
+def test_packets_are_held_against_their_inventory(spark, tmp_path):
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    at = datetime(2024, 1, 2, tzinfo=timezone.utc)
+    stored = [("good/raw/a", "one"), ("good/raw/b", "two"), ("lost/raw/a", "x"), ("odd/raw/a", "y"), ("odd/raw/stray", "z"), ("many/raw/a", "q"), ("nobody/raw/a", "n")]
+    root = str(tmp_path / "packets")
+    files.store_artifacts(spark.createDataFrame(stored, "path string, content string"), root)
+    manifest = [("good", "raw/a", digest("one"), 3, at), ("good", "raw/b", digest("two"), 3, at), ("lost", "raw/a", digest("x"), 1, at), ("lost", "raw/gone", digest("g"), 1, at),
+                ("odd", "raw/a", digest("other"), 9, datetime(2025, 1, 1, tzinfo=timezone.utc)), ("many", "raw/a", digest("q"), 1, at), ("many", "raw/a", digest("q"), 1, at)]
+    manifest += [("large", f"raw/{i}", digest(str(i)), 1, at) for i in range(files.PACKET_ARTIFACTS + 1)]
+    rows = spark.createDataFrame(manifest, "packet_id string, path string, sha256 string, size_bytes long, observed_at timestamp")
+    times = [(p, digest("m"), datetime(2024, 1, 1, tzinfo=timezone.utc), datetime(2024, 6, 1, tzinfo=timezone.utc)) for p in ("good", "lost", "odd", "many", "large", "empty")]
+    packets = spark.createDataFrame(times + [("back", digest("m"), *times[0][:1:-1])], "packet_id string, manifest_sha256 string, decision_at timestamp, observed_at timestamp")
+    checked, found = files.audit_packets(files.scan_artifacts(spark, root), rows, packets)
+    codes = {(r.packet_id, r.path): sorted(r.issue_codes) for r in checked.collect() if r.packet_id != "large"}
+    assert codes["good", "raw/a"] == codes["good", "raw/b"] == codes["lost", "raw/a"] == []
+    assert codes["lost", "raw/gone"] == ["ARTIFACT_MISSING"] and codes["odd", "raw/stray"] == ["ARTIFACT_UNREFERENCED"]
+    assert codes["odd", "raw/a"] == ["ARTIFACT_HASH_MISMATCH", "ARTIFACT_OUTSIDE_OUTCOME_TIMES", "ARTIFACT_SIZE_MISMATCH"]
+    assert codes["many", "raw/a"] == ["ARTIFACT_PATH_DUPLICATE", "ARTIFACT_SHA256_DUPLICATE"] and codes["nobody", "raw/a"] == ["ARTIFACT_UNREFERENCED", "PACKET_UNKNOWN"]
+    got = {r.packet_id: (r.status, r.packet_sha256, r.issue_codes) for r in found.collect()}
+    entries = [{"path": "manifest.json", "sha256": digest("m")}] + [{"path": f"raw/{p}", "sha256": digest(t), "size_bytes": 3} for p, t in (("a", "one"), ("b", "two"))]
+    assert got["good"] == ("PASS", digest(json.dumps(entries, separators=(",", ":"))), [])
+    assert {p: c for p, (_, sha, c) in got.items() if p != "good" and sha is None} == {
+        "lost": ["PACKET_INVENTORY_DIFFERS"], "odd": ["PACKET_INVENTORY_DIFFERS"], "many": ["PACKET_INVENTORY_DIFFERS"], "empty": ["PACKET_EMPTY"],
+        "back": ["PACKET_TIMES_REVERSED", "PACKET_EMPTY"], "large": ["PACKET_TOO_LARGE", "PACKET_INVENTORY_DIFFERS"]}

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.digest import merkle_tree
@@ -533,6 +533,106 @@ def _folder(spark):
     return f"{shared_dir(spark)}/tidegauge/{uuid.uuid4().hex}"
 
 
+def _text_file(key: str, name: str):
+    return F.repeat(F.concat(name, F.lit("\n")), (1 + F.col(key) % 50).cast("int"))
+
+
+def artifacts_audit(spark, sf_dir):
+    """Suppliers as raw files, hashed in pieces of a kilobyte, against a manifest with lost, unknown and changed files."""
+    root, key = _folder(spark), F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", F.format_string("raw/%d/%d.txt", key % 10, key).alias("path"), _text_file("s_suppkey", "s_name").cast("binary").alias("content"))
+    files.store_artifacts(s.where("s_suppkey % 7 <> 0"), root)
+    manifest = s.where("s_suppkey % 13 <> 0").select(
+        "path", F.when(key % 11 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.sha2("content", 256)).alias("sha256"),
+        (F.length("content") + (key % 10 == 0).cast("int")).alias("size_bytes"), F.when(key % 17 == 0, "nobody").otherwise("known").alias("source_id"),
+        F.when(key % 19 == 0, "2025-01-01").otherwise("2024-01-01").cast("timestamp").alias("observed_at"), F.lit(None).cast("timestamp").alias("provider_as_of"))
+    audit = files.audit_manifest(
+        files.scan_artifacts(spark, root, 1024), manifest, spark.createDataFrame([("known",)], "source_id string"), F.lit("2024-06-01").cast("timestamp"))
+    return tally(audit.withColumn("s_suppkey", F.regexp_extract("path", "([0-9]+)[.]txt$", 1)), "s_suppkey")
+
+
+ARTIFACTS_SQL = tally_sql({
+    "ARTIFACT_MISSING": "d AND NOT st", "ARTIFACT_NOT_IN_MANIFEST": "NOT d", "SOURCE_UNKNOWN": "d AND s_suppkey % 17 = 0", "ARTIFACT_SIZE_MISMATCH": "d AND st AND s_suppkey % 10 = 0",
+    "ARTIFACT_HASH_MISMATCH": "d AND st AND s_suppkey % 11 = 0", "OBSERVED_AFTER_CUTOFF": "d AND s_suppkey % 19 = 0"}, "s_suppkey",
+    "(SELECT s_suppkey, s_suppkey % 13 <> 0 AS d, s_suppkey % 7 <> 0 AS st FROM supplier) WHERE d OR st")
+
+
+def packet_audit(spark, sf_dir):
+    """Suppliers as artifacts of outcome packets of three; some packets have lost, unreferenced, changed or untimely files."""
+    root, key = _folder(spark), F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", F.format_string("p%d", F.floor(key / 3)).alias("packet_id"), F.format_string("raw/%d.txt", key).alias("path"),
+        _text_file("s_suppkey", "s_name").cast("binary").alias("content"))
+    files.store_artifacts(s.where("s_suppkey % 23 <> 0").select(F.concat_ws("/", "packet_id", "path").alias("path"), "content"), root)
+    manifest = s.where("s_suppkey % 29 <> 0").select(
+        "packet_id", "path", F.when(key % 31 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.sha2("content", 256)).alias("sha256"),
+        F.length("content").cast("bigint").alias("size_bytes"), F.when(key % 37 == 0, "2023-01-01").otherwise("2024-01-01").cast("timestamp").alias("observed_at"))
+    packets = s.select("packet_id").distinct().select(
+        "packet_id", F.sha2("packet_id", 256).alias("manifest_sha256"), F.lit("2023-06-01").cast("timestamp").alias("decision_at"),
+        F.when(F.substring("packet_id", 2, 9).cast("int") % 11 == 5, "2023-05-01").otherwise("2024-06-01").cast("timestamp").alias("observed_at"))
+    _, found = files.audit_packets(files.scan_artifacts(spark, root), manifest, packets)
+    return found.select("packet_id", "status", "artifact_count", "total_bytes", "packet_sha256", F.concat_ws("|", "issue_codes").alias("issues"))
+
+
+PACKET_SQL = """WITH s AS (SELECT s_suppkey AS k, s_suppkey // 3 AS p, 'raw/' || s_suppkey || '.txt' AS path, repeat(s_name || chr(10), 1 + s_suppkey % 50) AS c,
+        s_suppkey % 23 <> 0 AS st, s_suppkey % 29 <> 0 AS d FROM supplier),
+    r AS (SELECT *, NOT (d AND st) OR k % 31 = 0 OR (k % 37 = 0 OR p % 11 = 5) AS bad FROM s WHERE d OR st),
+    g AS (SELECT p, count(*) AS n, CAST(sum(CASE WHEN d THEN strlen(c) END) AS BIGINT) AS b, bool_or(bad) AS bad,
+        string_agg('{"path":"' || path || '","sha256":"' || sha256(c) || '","size_bytes":' || strlen(c) || '}', ',' ORDER BY path) AS e FROM r GROUP BY 1)
+    SELECT 'p' || p AS packet_id, CASE WHEN p % 11 <> 5 AND n IS NOT NULL AND NOT bad THEN 'PASS' ELSE 'BLOCKED' END AS status, n AS artifact_count, b AS total_bytes,
+        CASE WHEN p % 11 <> 5 AND n IS NOT NULL AND NOT bad THEN sha256('[{"path":"manifest.json","sha256":"' || sha256('p' || p) || '"},' || e || ']') END AS packet_sha256,
+        concat_ws('|', CASE WHEN p % 11 = 5 THEN 'PACKET_TIMES_REVERSED' END, CASE WHEN n IS NULL THEN 'PACKET_EMPTY' END, CASE WHEN bad THEN 'PACKET_INVENTORY_DIFFERS' END) AS issues
+    FROM (SELECT DISTINCT p FROM s) LEFT JOIN g USING (p)"""
+
+
+def vendor_exports(spark, sf_dir):
+    """Line items as one price export per supplier; some files run oldest first, are changed, or are not declared."""
+    root, key, day = _folder(spark), F.col("l_suppkey"), F.col("day")
+    li = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.to_date("l_shipdate").alias("day")).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("q"))
+    price = 100 + key % 50
+    date = F.when(key % 2 == 0, F.concat(F.lit('"'), F.date_format(day, "MMM d, yyyy"), F.lit('"'))).otherwise(day.cast("string"))
+    line = F.concat_ws(
+        ",", date, price.cast("string"), price.cast("string"), (price + F.when(F.dayofmonth(day) == 13, -5).otherwise(2)).cast("string"), (price - 1).cast("string"),
+        F.concat(F.col("q").cast("string"), F.when(F.dayofmonth(day) == 17, ".0005K").otherwise("K")), F.lit("+1.00%"))
+    place = F.when(key % 9 == 0, F.datediff(day, F.lit("1970-01-01"))).otherwise(-F.datediff(day, F.lit("1970-01-01")))
+    # One export has a row per date: bounded by the calendar.
+    exports = li.groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), line.alias("line")))).alias("rows")).select(
+        "l_suppkey", F.format_string("%d.csv", key).alias("path"),
+        F.concat_ws("\n", F.lit(",".join(files.VENDOR_HEADER)), F.transform("rows", lambda r: r["line"])).alias("content"))
+    files.store_artifacts(exports, root)
+    stored = files.scan_artifacts(spark, root)
+    number = F.regexp_extract("path", "^([0-9]+)[.]", 1).cast("bigint")
+    manifest = stored.where(number % 12 != 0).select(
+        F.col("path").alias("file_name"), number.cast("string").alias("code"), F.lit("vendor").alias("source_id"),
+        F.when(number % 15 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.col("sha256")).alias("sha256"))
+    rows = files.read_vendor_exports(spark, root, manifest, stored)
+    return tally(rows.withColumn("l_suppkey", F.regexp_extract("file_name", "^([0-9]+)[.]", 1)), "l_suppkey")
+
+
+VENDOR_SQL = tally_sql({
+    "FILE_SHA256_MISMATCH": "l_suppkey % 12 <> 0 AND l_suppkey % 15 = 0", "ROWS_NOT_NEWEST_FIRST": "l_suppkey % 9 = 0 AND day > first", "FILE_NOT_IN_MANIFEST": "l_suppkey % 12 = 0",
+    "OHLC_IMPOSSIBLE": "day(day) = 13", "VOLUME_NOT_WHOLE": "day(day) = 17"}, "l_suppkey",
+    "(SELECT DISTINCT l_suppkey, CAST(l_shipdate AS DATE) AS day, min(CAST(l_shipdate AS DATE)) OVER (PARTITION BY l_suppkey) AS first FROM lineitem)")
+
+
+def sorted_sink(spark, sf_dir):
+    """Orders through the sorted sink: rows, and those that stand before a smaller key in the files read in their order."""
+    path, columns = _folder(spark), ["o_orderdate", "o_orderkey", "o_orderstatus"]
+    files.write_sorted(table(spark, sf_dir, "orders").withColumn("o_orderdate", F.to_date("o_orderdate")), columns, ["o_orderdate", "o_orderkey"], path, "parquet")
+    back = spark.read.parquet(path).withColumns({"_file": F.col("_metadata.file_name"), "_place": F.col("_metadata.row_index")})
+    here = Window.partitionBy("_file").orderBy("_place")  # a file is one sorted partition
+    at = F.struct("o_orderdate", "o_orderkey")
+    placed = back.withColumns({"_broken": F.lag(at).over(here) > at})
+    ends = placed.groupBy("_file").agg(F.min(at).alias("low"), F.max(at).alias("high"), F.count_if("_broken").alias("broken"))
+    across = ends.select((F.lag("high").over(Window.orderBy("_file")) > F.col("low")).cast("int").alias("b"), "broken")  # a row per file
+    broken = across.agg((F.coalesce(F.sum("b"), F.lit(0)) + F.sum("broken")).cast("bigint").alias("broken_order"))
+    return back.groupBy("o_orderstatus").agg(F.count("*").alias("rows"), F.sum("o_orderkey").alias("ids")).crossJoin(F.broadcast(broken))
+
+
+SORTED_SQL = "SELECT o_orderstatus, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS ids, CAST(0 AS BIGINT) AS broken_order FROM orders GROUP BY 1"
+
+
 def csv_scan(spark, sf_dir):
     """Orders through the sorted sink and the CSV scan, all fields as text."""
     path, columns = _folder(spark), ["o_orderkey", "o_custkey", "o_orderstatus"]
@@ -573,6 +673,7 @@ QUERIES = {
     "delisting_contract": delistings, "benchmark_row_contract": benchmark_rows, "published_recheck": republished, "bars_duplicate_keys": duplicate_keys,
     "series_date_order": date_order, "samples_causal_split": causal_split, "ledger_seal_check": seal_check, "scan_gate": scan_gate, "claims_verdict": claim_verdict,
     "json_lines_strict": json_lines, "html_tables": html_tables,
+    "artifacts_audit": artifacts_audit, "packet_audit": packet_audit, "vendor_exports": vendor_exports, "sorted_sink": sorted_sink,
 }
 ORACLE = {
     "csv_scan": """SELECT o_orderstatus, FALSE AS corrupt, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS ids, CAST(sum(o_custkey) AS BIGINT) AS customers FROM orders GROUP BY 1""",
@@ -587,4 +688,5 @@ ORACLE = {
     "bars_duplicate_keys": "SELECT l_suppkey AS code, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS trade_date, count(*) AS rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
     "series_date_order": DATE_ORDER_SQL, "samples_causal_split": CAUSAL_SQL, "ledger_seal_check": SEAL_SQL, "scan_gate": SCAN_SQL, "claims_verdict": VERDICT_SQL,
     "json_lines_strict": JSON_SQL, "html_tables": HTML_SQL,
+    "artifacts_audit": ARTIFACTS_SQL, "packet_audit": PACKET_SQL, "vendor_exports": VENDOR_SQL, "sorted_sink": SORTED_SQL,
 }

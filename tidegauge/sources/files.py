@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
+import hashlib
+import re
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import partial
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tidegauge.functions import rules as R
@@ -14,6 +21,14 @@ from tidegauge.operators.scan import OBSERVATION_SCHEMA
 
 # The vendor export's header.
 VENDOR_HEADER = ("Date", "Price", "Open", "High", "Low", "Vol.", "Change %")
+# Limits of an outcome evidence packet.
+PACKET_ARTIFACTS = 32
+PACKET_BYTES = 128 * 1024 * 1024
+
+CHUNK_BYTES = 1 << 20
+GROUP_BYTES = 128 << 20  # of the files that one task hashes, at most unless one file is larger
+GROUP_FILES = 10_000
+CHUNKED_STORES = ("file", "hdfs", "s3", "gs", "gcs", "abfs", "abfss")
 
 
 def csv_header(spark: SparkSession, path: str) -> list[str]:
@@ -176,13 +191,94 @@ def read_vendor_exports(spark: SparkSession, path: str, manifest: DataFrame, art
     ).drop("_bound", "_n", "_later", "_stored")
 
 
-def scan_artifacts(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below ``root`` with its relative path, size and sha256, hashed where it is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.regexp_replace(F.col("path"), r"^file:/*", "/")
-    prefix = "/" + root.rstrip("/").split("://")[-1].lstrip("/") + "/"
-    return files.select(F.replace(base, F.lit(prefix), F.lit("")).alias("path"), F.col("length").alias("size_bytes"),
-                        F.sha2("content", 256).alias("sha256"))
+@dataclass
+class FileGroup(InputPartition):
+    """Files that one task hashes."""
+
+    paths: list[str]
+
+
+class ArtifactReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.root, self.chunk_bytes = options["root"], int(options.get("chunk_bytes", CHUNK_BYTES))
+
+    def partitions(self) -> list[FileGroup]:
+        """Files in groups of about ``GROUP_BYTES``; names and sizes only."""
+        store, base = fs.FileSystem.from_uri(self.root)
+        groups, size = [[]], 0
+        for info in store.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=False)):
+            if info.type != fs.FileType.File:
+                continue
+            if groups[-1] and (size + info.size > GROUP_BYTES or len(groups[-1]) >= GROUP_FILES):
+                groups.append([])
+                size = 0
+            groups[-1].append(info.path)
+            size += info.size
+        return [FileGroup(g) for g in groups]
+
+    def read(self, partition: FileGroup) -> Iterator[tuple[str, int, str]]:
+        store, base = fs.FileSystem.from_uri(self.root)
+        for path in partition.paths:
+            made, size = hashlib.sha256(), 0
+            with store.open_input_stream(path) as stream:
+                while chunk := stream.read(self.chunk_bytes):
+                    made.update(chunk)
+                    size += len(chunk)
+            yield path.removeprefix(base.rstrip("/") + "/"), size, made.hexdigest()
+
+
+class ArtifactFiles(DataSource):
+    """Files below ``root`` as rows ``path, size_bytes, sha256``; no file is ever held whole."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "artifact_files"
+
+    def schema(self) -> str:
+        return "path string, size_bytes bigint, sha256 string"
+
+    def reader(self, schema: StructType) -> ArtifactReader:
+        return ArtifactReader(self.options)
+
+
+def _uri(root: str) -> str:
+    return re.sub("^file:/*", "file:///", root) if ":/" in root else f"file://{root}"
+
+
+def scan_artifacts(spark: SparkSession, root: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Every file below ``root``, empty ones too, with its relative path, size and sha256.
+
+    A task reads a group of files in chunks, so a file may be larger than a value or the memory can hold. A store that
+    only Spark's readers open is hashed from whole values instead; there a file ends at 2 GiB and empty files are not seen.
+    """
+    if _uri(root).split(":/")[0] in CHUNKED_STORES:
+        spark.dataSource.register(ArtifactFiles)
+        return spark.read.format("artifact_files").options(root=_uri(root), chunk_bytes=str(chunk_bytes)).load()
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    prefix = root.rstrip("/") + "/"
+    return listed.select(F.replace("path", F.lit(prefix), F.lit("")).alias("path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def _store_files(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
+    store, base = fs.FileSystem.from_uri(root)
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            store.create_dir(f"{base}/{path}".rsplit("/", 1)[0])
+            with store.open_output_stream(f"{base}/{path}") as out:
+                out.write(content or b"")
+        yield pa.RecordBatch.from_arrays([batch.column(0)], names=["path"])
+
+
+def store_artifacts(artifacts: DataFrame, root: str) -> int:
+    """Writes ``artifacts(path, content)`` as files below ``root``, each by the task that holds it; returns their number.
+
+    Paths are relative, given once, and end in a name. A task that runs again writes the same bytes again.
+    """
+    odd = F.col("path").rlike(r"^/|(^|/)\.{1,2}(/|$)|//|/$|^$") | F.col("path").isNull()
+    if artifacts.where(odd).limit(1).count():
+        raise ValueError("artifact paths must be relative and canonical")
+    rows = artifacts.select("path", F.col("content").cast("binary").alias("content"))
+    return rows.mapInArrow(partial(_store_files, root=_uri(root)), "path string").count()
 
 
 def audit_manifest(artifacts: DataFrame, manifest: DataFrame, sources: DataFrame, cutoff: Column, not_before: Column | None = None) -> DataFrame:
@@ -208,6 +304,56 @@ def audit_manifest(artifacts: DataFrame, manifest: DataFrame, sources: DataFrame
     return R.check(j, *rules).select("path", "issue_codes")
 
 
+def audit_packets(artifacts: DataFrame, manifest: DataFrame, packets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Outcome evidence packets: the raw inventory of each must equal its manifest; ``(rows, packets)``.
+
+    ``artifacts(path, size_bytes, sha256)`` is a scan, a packet's files lie below ``<packet_id>/``.
+    ``manifest(packet_id, path, sha256, size_bytes, observed_at)`` declares paths below the packet, and
+    ``packets(packet_id, manifest_sha256, decision_at, observed_at)`` holds each packet's times. Rows are declared or
+    found files with their codes. A packet is PASS without any code; only then has it ``packet_sha256``, the hash of the
+    canonical JSON of its manifest's hash and its files in path order. A packet holds at most 32 artifacts and 128 MiB, so
+    its entries are gathered in one row only after they were counted.
+    """
+    found = artifacts.select(
+        F.substring_index("path", "/", 1).alias("packet_id"), F.regexp_replace("path", "^[^/]*/", "").alias("path"), F.col("sha256").alias("_sha"),
+        F.col("size_bytes").alias("_size"))
+    times = packets.select(
+        "packet_id", "manifest_sha256", F.col("decision_at").alias("_from"), F.col("observed_at").alias("_to"), F.lit(True).alias("_known"))
+    paths = manifest.groupBy("packet_id", "path").agg(F.count("*").alias("_paths"))
+    hashes = manifest.groupBy("packet_id", "sha256").agg(F.count("*").alias("_hashes"))
+    declared = manifest.withColumn("_declared", F.lit(True)).join(paths, ["packet_id", "path"]).join(hashes, ["packet_id", "sha256"], "left")
+    j = declared.join(found, ["packet_id", "path"], "full_outer").join(times, "packet_id", "left")
+    named, both = F.coalesce("_declared", F.lit(False)), F.col("_declared") & F.col("_sha").isNotNull()
+    rows = R.check(
+        j,
+        R.never("PACKET_UNKNOWN", F.col("_known").isNull()),
+        R.never("ARTIFACT_MISSING", named & F.col("_sha").isNull()),
+        R.never("ARTIFACT_UNREFERENCED", ~named),
+        R.never("ARTIFACT_PATH_DUPLICATE", F.col("_paths") > 1),
+        R.never("ARTIFACT_SHA256_INVALID", named & ~F.coalesce(F.col("sha256").rlike("^[0-9a-f]{64}$"), F.lit(False))),
+        R.never("ARTIFACT_SHA256_DUPLICATE", F.col("_hashes") > 1),
+        R.never("ARTIFACT_SIZE_INVALID", named & ~F.coalesce(F.col("size_bytes") >= 0, F.lit(False))),
+        R.never("ARTIFACT_SIZE_MISMATCH", both & (F.col("size_bytes") != F.col("_size"))),
+        R.never("ARTIFACT_HASH_MISMATCH", both & (F.col("sha256") != F.col("_sha"))),
+        R.never("ARTIFACT_OUTSIDE_OUTCOME_TIMES", named & ~F.coalesce(F.col("observed_at").between(F.col("_from"), F.col("_to")), F.lit(False))),
+    ).select("packet_id", "path", "sha256", "size_bytes", "issue_codes")
+    judged = packets.join(rows.groupBy("packet_id").agg(
+        F.count("*").alias("artifact_count"), F.sum("size_bytes").alias("total_bytes"), F.count_if(F.size("issue_codes") > 0).alias("_bad")), "packet_id", "left")
+    checked = R.check(
+        judged,
+        R.never("PACKET_TIMES_REVERSED", F.col("observed_at") < F.col("decision_at")),
+        R.never("PACKET_EMPTY", F.col("artifact_count").isNull()),
+        R.never("PACKET_TOO_LARGE", (F.col("artifact_count") > PACKET_ARTIFACTS) | (F.col("total_bytes") > PACKET_BYTES)),
+        R.never("PACKET_INVENTORY_DIFFERS", F.col("_bad") > 0))
+    entry = F.to_json(F.struct("path", "sha256", F.col("size_bytes").cast("bigint").alias("size_bytes")))
+    sound = checked.where(F.size("issue_codes") == 0).select("packet_id", "manifest_sha256")
+    digests = rows.join(sound, "packet_id").groupBy("packet_id", "manifest_sha256").agg(
+        F.array_sort(F.collect_list(F.struct("path", entry.alias("entry")))).alias("entries")).select("packet_id", F.sha2(F.concat(
+            F.format_string('[{"path":"manifest.json","sha256":"%s"},', "manifest_sha256"), F.array_join(F.transform("entries", lambda e: e["entry"]), ","), F.lit("]")), 256).alias("packet_sha256"))
+    status = F.when(F.size("issue_codes") == 0, "PASS").otherwise("BLOCKED").alias("status")
+    return rows, checked.join(digests, "packet_id", "left").select("packet_id", status, "artifact_count", "total_bytes", "packet_sha256", "issue_codes")
+
+
 def write_sorted(df: DataFrame, columns: Sequence[str], keys: Sequence[str], path: str, fmt: str = "csv") -> None:
     """Sorted sink with a fixed header; an existing target is an error."""
     writer = df.select(*columns).orderBy(*keys).write.mode("errorifexists")
