@@ -102,7 +102,8 @@ def test_merged_transforms_give_the_repeated_windows(shards, length):
         suffixes = sorted((f[p:], i, p) for i, f in enumerate(fragments) for p in range(len(f) + 1))
         assert [(f, p) for s, f, p in suffixes if p == 0] == [(i, 0) for i in np.argsort(heads)]
         assert [fragments[i][p - 1] for _, i, p in suffixes if p] == [int(b) for row, b in enumerate(before) if row not in set(heads.tolist())]
-    group, fragment, position = repeats.repeated_windows(made, length)
+    counts = [np.array([max(0, len(f) - length + 1) for f in fragments]) for fragments in shards]
+    group, fragment, position = repeats.repeated_windows(made, counts, length)
     flat = [f for fragments in shards for f in fragments]
     windows = {}
     for i, f in enumerate(flat):

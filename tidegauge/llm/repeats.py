@@ -8,9 +8,10 @@ before it in the same one.
    fragments with equal bytes the earliest stands for all, the others go whole.
 2. What is left, different fragments of one key, is dealt over shards by key. The task that reads the texts sorts the
    suffixes of its own fragments and sends their Burrows-Wheeler transform.
-3. The transforms of a shard are merged by refining their interleave: round by round each row moves to the row of the
-   suffix one byte longer, sorted by that byte. Rows that stay together for ``h`` rounds share a prefix of ``h`` bytes;
-   rows that are alone leave. What is together after ``length`` rounds are the repeated windows. No suffix is sorted again.
+3. The transforms of a shard are merged by refining their interleave, for the rows with a window before them: round by
+   round each moves to the row of the suffix one byte longer, sorted by that byte. Rows that stay together for ``h``
+   rounds share a prefix of ``h`` bytes; rows that are alone leave. What is together after ``length`` rounds are the
+   repeated windows. No suffix is sorted again.
 4. Positions come from walking each such row back to the head of its fragment. All but the earliest window of a group go.
 
 Grams that a sample finds in very many texts count as larger than all others, so a common phrase is the key only of
@@ -37,7 +38,7 @@ from tidegauge.session import materialise
 SLAB = 1 << 20  # bytes of text hashed at once
 RUN = 512  # windows of a fragment at most
 BUCKET_BYTES = 16 << 20  # of text whose fragments meet in one group
-SHARD_BYTES = 4 << 20  # of fragments in one merge
+SHARD_BYTES = 2 << 20  # of fragments in one merge
 SAMPLE = 64  # one text in so many is searched for common grams
 COMMON = 1000  # a gram in at least one of so many sampled texts, and eight of them, is common
 COMMON_GRAMS = 1 << 16  # the most frequent ones, at most
@@ -287,39 +288,47 @@ def transform(fragments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return before.astype(np.uint8), rows[heads].astype(np.int32)
 
 
-def _longer(before: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """For each row of a transform the row of the suffix one byte longer; -1 for whole fragments."""
+def _longer(before: np.ndarray, heads: np.ndarray, shift: int) -> np.ndarray:
+    """For each row of a transform the row of the suffix one byte longer, ``shift`` added; -1 for whole fragments."""
     body = np.ones(len(before), bool)
     body[heads] = False
     rows = np.flatnonzero(body)
-    out = np.full(len(before), -1, np.int64)
-    out[rows[np.argsort(before[rows], kind="stable")]] = len(heads) + np.arange(len(rows))
+    out = np.full(len(before), -1, np.int32)
+    out[rows[np.argsort(before[rows], kind="stable")]] = np.arange(len(rows), dtype=np.int32) + (len(heads) + shift)
     return out
 
 
-def repeated_windows(transforms: list[tuple[np.ndarray, np.ndarray]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_windows(transforms: list[tuple[np.ndarray, np.ndarray]], windows: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(group, fragment, position)`` of all windows that stand more than once in the merged transforms.
 
-    Fragments are numbered through all transforms in order.
+    ``windows`` gives the number of windows of each fragment. Fragments are numbered through all transforms in order.
     """
-    shifts = np.cumsum([0] + [len(b) for b, _ in transforms])
+    sizes = [len(b) for b, _ in transforms]
+    shifts = np.cumsum([0] + sizes[:-1])
     before = np.concatenate([b for b, _ in transforms])
-    longer = np.concatenate([np.where((x := _longer(b, h)) < 0, -1, x + s) for (b, h), s in zip(transforms, shifts)])
-    rows = np.arange(len(before))  # the interleave: all suffixes share the empty prefix
-    group = np.zeros(len(rows), np.int64)
+    longer = np.concatenate([_longer(b, h, s) for (b, h), s in zip(transforms, shifts.tolist())])
+    # Only suffixes with a window to their left can grow to one: from the ends of fragments as many steps as they have windows.
+    at = np.concatenate([np.arange(len(h), dtype=np.int32) + s for (_, h), s in zip(transforms, shifts.astype(np.int32))])
+    left, starts = np.concatenate(windows), []
+    while len(at := at[left > 0]):
+        starts.append(at)
+        at, left = longer[at], left[left > 0] - 1
+    rows = np.sort(np.concatenate(starts)) if starts else at  # the interleave: all suffixes share the empty prefix
+    group = np.zeros(len(rows), np.int32)
     for _ in range(length):
-        open_rows = longer[rows] >= 0
-        rows, group = rows[open_rows], group[open_rows]
+        if not len(rows):
+            break
         byte = before[rows]
         order = np.argsort(byte, kind="stable")  # inside a byte the earlier order holds
         byte, group, rows = byte[order], group[order], longer[rows[order]]
-        new = np.append(True, (byte[1:] != byte[:-1]) | (group[1:] != group[:-1]))[:len(rows)]
-        together = ~(new & np.append(new[1:], True))[:len(rows)]
-        rows, group = rows[together], np.cumsum(new)[together]
-        if not len(rows):
-            break
-    heads = np.concatenate([h + s for (_, h), s in zip(transforms, shifts)])
+        new = np.empty(len(rows) + 1, bool)
+        new[0] = new[-1] = True
+        np.logical_or(byte[1:] != byte[:-1], group[1:] != group[:-1], out=new[1:-1])
+        together = ~(new[:-1] & new[1:])
+        group = np.cumsum(new[:-1], dtype=np.int32)[together]
+        rows = rows[together]
     fragment = np.full(len(before), -1, np.int64)
+    heads = np.concatenate([h + s for (_, h), s in zip(transforms, shifts)])
     fragment[heads] = np.arange(len(heads))
     position, walking, at = np.zeros(len(rows), np.int64), np.arange(len(rows)), rows.copy()
     while len(walking := walking[longer[at[walking]] >= 0]):
@@ -335,19 +344,20 @@ def _transforms(batches: Iterator[pa.RecordBatch], length: int, shards: int) ->
         for row, (raw, wanted) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
             for w in wanted:
                 cut.setdefault((w["key"] % (1 << 64) >> 17) % shards, []).append((raw[w["start"]:w["start"] + w["windows"] + length - 1], row, w["start"]))
-        made = [(shard, *transform([f for f, _, _ in found]), [r for _, r, _ in found], [s for _, _, s in found]) for shard, found in cut.items()]
+        made = [(shard, *transform([f for f, _, _ in found]), [r for _, r, _ in found], [s for _, _, s in found], [len(f) - length + 1 for f, _, _ in found])
+                for shard, found in cut.items()]
         kinds = [batch.schema.field(i).type for i in (0, 1)]
         yield pa.RecordBatch.from_arrays(
             [pa.array([m[0] for m in made], pa.int32()), pa.array([m[1].tobytes() for m in made], pa.binary()), pa.array([m[2] for m in made], pa.list_(pa.int32())),
              *[pa.array([batch.column(i).take(pa.array(m[3])).to_pylist() for m in made], pa.list_(k)) for i, k in enumerate(kinds)],
-             pa.array([m[4] for m in made], pa.list_(pa.int32()))],
-            names=["shard", "transform", "heads", "event_ids", "bodies", "starts"])
+             *[pa.array([m[i] for m in made], pa.list_(pa.int32())) for i in (4, 5)]],
+            names=["shard", "transform", "heads", "event_ids", "bodies", "starts", "windows"])
 
 
 def _merged(table: pa.Table, length: int) -> pa.Table:
     """Windows of one shard that stand earlier too, as runs ``(event_id, body, start, windows)``."""
     transforms = [(np.frombuffer(b, np.uint8), np.array(h, np.int64)) for b, h in zip(table.column("transform").to_pylist(), table.column("heads").to_pylist())]
-    group, fragment, position = repeated_windows(transforms, length)
+    group, fragment, position = repeated_windows(transforms, [np.array(w) for w in table.column("windows").to_pylist()], length)
 
     def flat(name: str) -> pa.Array:
         return pc.list_flatten(table.column(name)).combine_chunks()
@@ -431,7 +441,7 @@ def remove(events: DataFrame, length: int = 100) -> DataFrame:
     wanted = compared.groupBy("event_id", "body").agg(F.collect_list(F.struct("start", "windows", "key")).alias("wanted"))
     sent = long.alias("l").join(wanted.alias("r"), _same("l", "r")).select("l.event_id", "l.body", "raw", "wanted").mapInArrow(
         partial(_transforms, length=length, shards=shards), schema(
-            "shard int, transform binary, heads array<int>", ("event_ids", ArrayType(kind)), "bodies array<long>, starts array<int>"))
+            "shard int, transform binary, heads array<int>", ("event_ids", ArrayType(kind)), "bodies array<long>, starts array<int>, windows array<int>"))
 
     def merged(table: pa.Table) -> pa.Table:
         return _merged(table, length)
