@@ -170,15 +170,24 @@ def _outcome(horizon: str) -> Column:
     return F.element_at(F.filter("outcomes", lambda o: o["horizon"] == horizon), 1)["excess_return"]
 
 
+def exact_sum(value: Column) -> Column:
+    """The sum of doubles, each first taken to 18 places: exact, so it does not depend on the order or the partitions.
+
+    Two runs on clusters of different size fit the same weights and seal the same packet. Values stay below 10 ** 20; the
+    laboratory's results are rounded to 12 places.
+    """
+    return F.sum(value.cast("decimal(38,18)")).cast("double")
+
+
 def base_weights(training: DataFrame) -> DataFrame:
     """Per horizon and factor: sum of value x outcome, scaled to unit absolute mass."""
     per_factor = (
         training.select(F.explode("factors").alias("f"), *[_outcome(h).alias(h) for h in HORIZONS])
         .groupBy(F.col("f.factor_id").alias("factor_id"))
-        .agg(*[F.sum(F.col("f.value") * F.col(h)).alias(h) for h in HORIZONS])
+        .agg(*[exact_sum(F.col("f.value") * F.col(h)).alias(h) for h in HORIZONS])
     )
     long = per_factor.unpivot(["factor_id"], list(HORIZONS), "horizon", "raw_weight")
-    mass = long.groupBy("horizon").agg(F.sum(F.abs("raw_weight")).alias("mass"))
+    mass = long.groupBy("horizon").agg(exact_sum(F.abs("raw_weight")).alias("mass"))
     return long.join(F.broadcast(mass), "horizon").select(
         "horizon", "factor_id", "raw_weight",
         F.coalesce(F.try_divide("raw_weight", "mass"), F.lit(0.0)).alias("base_weight"),
@@ -196,7 +205,7 @@ def event_scores(events: DataFrame, weights: DataFrame, column: str, carried: li
     rows = events.select(*carried, F.explode_outer("factors").alias("_f"))
     names = [c for c in rows.columns if c != "_f"]
     met = rows.withColumn("factor_id", F.col("_f.factor_id")).join(wide, "factor_id", "left")
-    sums = [F.sum(F.coalesce(F.col("_f.value") * F.col(f"_w{i}"), F.lit(0.0))).alias(f"score_{h}") for i, h in enumerate(HORIZONS)]
+    sums = [exact_sum(F.coalesce(F.col("_f.value") * F.col(f"_w{i}"), F.lit(0.0))).alias(f"score_{h}") for i, h in enumerate(HORIZONS)]
     return met.groupBy("event_id").agg(*[F.first(n).alias(n) for n in names if n != "event_id"], *sums)
 
 
@@ -205,7 +214,7 @@ def fit_and_calibrate(training: DataFrame, validation: DataFrame) -> DataFrame:
     base = materialise(base_weights(training))
     scored = event_scores(validation, base, "base_weight", [F.col("event_id"), *[_outcome(h).alias(f"y_{h}") for h in HORIZONS]])
     s, y = (lambda h: F.col(f"score_{h}")), (lambda h: F.col(f"y_{h}"))
-    sums = scored.agg(*[F.sum(s(h) * y(h)).alias(f"{h}_sy") for h in HORIZONS], *[F.sum(s(h) * s(h)).alias(f"{h}_ss") for h in HORIZONS])
+    sums = scored.agg(*[exact_sum(s(h) * y(h)).alias(f"{h}_sy") for h in HORIZONS], *[exact_sum(s(h) * s(h)).alias(f"{h}_ss") for h in HORIZONS])
     scale = [
         F.struct(F.lit(h).alias("horizon"), F.greatest(F.lit(-SCALE_LIMIT), F.least(
             F.lit(SCALE_LIMIT), F.coalesce(F.try_divide(F.col(f"{h}_sy"), F.col(f"{h}_ss")), F.lit(0.0)))).alias("scale"))
@@ -258,7 +267,7 @@ def verify_seal(predictions: DataFrame, seal_row: DataFrame, run_id: str) -> boo
 def _measures() -> list[Column]:
     return [
         F.count("*").alias("event_count"),
-        F.bround(F.avg(F.abs(F.col("score") - F.col("excess_return"))), 12).alias("mean_absolute_error"),
+        F.bround(exact_sum(F.abs(F.col("score") - F.col("excess_return"))) / F.count(F.col("score") - F.col("excess_return")), 12).alias("mean_absolute_error"),
         F.bround(F.avg((F.col("direction") == direction(F.col("excess_return"))).cast("double")), 12).alias("directional_hit_rate"),
     ]
 
