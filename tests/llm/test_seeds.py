@@ -16,6 +16,8 @@ def brute(events, holdout, k=12, similarity=0.8):
     for (e, text), (h, item) in itertools.product(events, holdout):
         t, q = words(text), words(item)
         if len(q) < 5:
+            if q and t == q:
+                out[e, h] = max(out.get((e, h), (0, 0, 0)), (1.0, len(q), len(q)))
             continue
         size = min(k, len(q))
         need = size if size < k else -(-round(similarity * k * 1000) // 1000)
@@ -52,7 +54,8 @@ def make(seed=11):
             own[at:at] = part
         events.append((e, ", ".join(own).title() + "."))
     events += [(100, None), (101, ""), (None, holdout[1][1]), (102, holdout[0][1] + " x " + holdout[0][1]), (102, holdout[2][1]), (102, holdout[2][1])]
-    holdout += [(50, None), (51, ""), (None, holdout[8][1]), (3, holdout[9][1])]
+    events += [(103, "Two, words."), (104, "two words more"), (105, "one"), (106, holdout[7][1]), (107, "one one"), (None, "two words")]
+    holdout += [(60, "two words"), (61, "ONE"), (61, "one two three four five six"), (50, None), (51, ""), (None, holdout[8][1]), (3, holdout[9][1])]
     return events, holdout
 
 
@@ -85,3 +88,11 @@ def test_very_long_text(spark):
     e = spark.createDataFrame([(1, "filler " * 300000 + item), (2, "filler " * 300000)], "event_id long, raw_text string")
     out = seeds.overlaps(e, spark.createDataFrame([(7, item)], "holdout_id long, raw_text string")).collect()
     assert [tuple(r) for r in out] == [(1, 7, 12, 12, 1.0)]
+
+
+def test_one_word_repeated_very_often(spark):
+    """As many alignments as words: they agree in the same places and are compared once."""
+    e = spark.createDataFrame([(1, "la " * 100000), (2, "la " * 20 + "le"), (3, "le " * 50000 + "la " * 7)], "event_id long, raw_text string")
+    h = spark.createDataFrame([(7, "la " * 40), (8, "le " * 6 + "la " * 6), (9, "la")], "holdout_id long, raw_text string")
+    got = {tuple(r) for r in seeds.overlaps(e, h).collect()}
+    assert got == {(1, 7, 12, 12, 1.0), (2, 7, 12, 12, 1.0), (3, 8, 12, 12, 1.0)}

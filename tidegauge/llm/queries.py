@@ -221,5 +221,6 @@ ORACLE = {
                FROM dw JOIN bw USING (w))
         SELECT doc_id, item_id, CAST(least(12, n) AS INTEGER) AS window_tokens, max(equal_tokens) AS equal_tokens,
                max(equal_tokens) / least(12, n) AS similarity
-        FROM eq WHERE equal_tokens >= CASE WHEN n < 12 THEN n ELSE 10 END GROUP BY doc_id, item_id, n""",
+        FROM eq WHERE equal_tokens >= CASE WHEN n < 12 THEN n ELSE 10 END GROUP BY doc_id, item_id, n
+        UNION ALL SELECT doc_id, item_id, CAST(len(ws) AS INTEGER), len(ws), 1.0 FROM d JOIN b USING (ws) WHERE len(ws) BETWEEN 1 AND 4""",
 }

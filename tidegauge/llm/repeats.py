@@ -162,7 +162,7 @@ def _repeats_row(table: pa.Table, *columns: str) -> np.ndarray:
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int, buckets: int, common: list[int]) -> Iterator[pa.RecordBatch]:
-    """Fragments packed by bucket of their key. Within a batch equal fragments are met at once: copies go with bucket -1."""
+    """Fragments packed by bucket of their key. Equal fragments of one batch are met at once: its copies travel in any one bucket."""
     frequent = _table_of(common)
     for batch in batches:
         kind = batch.schema.field("event_id").type
@@ -194,9 +194,11 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, buckets: int, common: l
         lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (
             key[by], content[by], at.astype(np.int32), start[by].astype(np.int32), windows[by].astype(np.int16), twice[by])]
         named = [pa.ListArray.from_arrays(pa.array(rows[1], pa.int32()), texts.column(i).combine_chunks().take(pa.array(rows[0]))) for i in (0, 1)]
+        copies = bucket[edges] < 0
+        anywhere = texts.column("body")[0].as_py() % buckets
         yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket[edges]), *[t.cast(pa.list_(k)) for t, k in zip(named, (kind, pa.int64()))], *lists],
-            names=["bucket", "event_ids", "bodies", "keys", "contents", "texts", "starts", "windows", "twice"])
+            [pa.array(np.where(copies, anywhere, bucket[edges]).astype(np.int32)), pa.array(copies), *[t.cast(pa.list_(k)) for t, k in zip(named, (kind, pa.int64()))], *lists],
+            names=["bucket", "copies", "event_ids", "bodies", "keys", "contents", "texts", "starts", "windows", "twice"])
 
 
 def _distinct_rows(row: np.ndarray, edges: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
@@ -227,7 +229,8 @@ _FOUND = ("event_id", "body", "start", "windows", "key")
 
 def _met(table: pa.Table) -> pa.Table:
     """Of the fragments of one bucket: copies, with a null key, and those that have to be compared byte by byte."""
-    rows = _unpacked(table)
+    known = _unpacked(table.filter(table.column("copies"))).select(_FOUND[:4])
+    rows = _unpacked(table.filter(pc.invert(table.column("copies"))))
     key = rows.column("key").to_numpy()
     order = np.argsort(key, kind="stable")
     alike = key[order][1:] == key[order][:-1]
@@ -240,8 +243,8 @@ def _met(table: pa.Table) -> pa.Table:
     same = _repeats_row(classes, "key")
     several = same | np.append(same[1:], False) | classes.column("twice").to_numpy()
     compared = classes.filter(pa.array(several)).select(_FOUND)
-    gone = rows.filter(pa.array(copy)).select(_FOUND[:4]).append_column("key", pa.nulls(int(copy.sum()), pa.int64()))
-    return pa.concat_tables([gone, compared])
+    gone = pa.concat_tables([known, rows.filter(pa.array(copy)).select(_FOUND[:4])])
+    return pa.concat_tables([gone.append_column("key", pa.nulls(gone.num_rows, pa.int64())), compared])
 
 
 def transform(fragments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -425,16 +428,10 @@ def remove(events: DataFrame, length: int = 100) -> DataFrame:
     enough = F.greatest(F.lit(8), F.lit(sample.count() // COMMON))
     common = [r.gram for r in found.where(F.col("texts") >= enough).orderBy(F.desc("texts"), "gram").limit(COMMON_GRAMS).collect()]
 
-    packed = materialise(long.mapInArrow(partial(_cut, length=length, buckets=buckets, common=common), schema(
-        "bucket int", ("event_ids", ArrayType(kind)), "bodies array<long>, keys array<long>, contents array<long>, texts array<int>, starts array<int>, "
-        "windows array<smallint>, twice array<boolean>")))
-    row = schema(key, "body long, start int, windows int, key long")
-    met = materialise(packed.where("bucket >= 0").groupBy("bucket").applyInArrow(_met, row))
-    at = F.explode(F.arrays_zip("texts", "starts", "windows")).alias("f")
-    inside = packed.where("bucket < 0").select("event_ids", "bodies", at).select(
-        F.get("event_ids", F.col("f.texts")).alias("event_id"), F.get("bodies", F.col("f.texts")).alias("body"),
-        F.col("f.starts").alias("start"), F.col("f.windows").cast("int").alias("windows"))
-
+    packed = long.mapInArrow(partial(_cut, length=length, buckets=buckets, common=common), schema(
+        "bucket int, copies boolean", ("event_ids", ArrayType(kind)), "bodies array<long>, keys array<long>, contents array<long>, texts array<int>, "
+        "starts array<int>, windows array<smallint>, twice array<boolean>"))
+    met = materialise(packed.groupBy("bucket").applyInArrow(_met, schema(key, "body long, start int, windows int, key long")))
     compared = met.where(F.col("key").isNotNull())
     bytes_compared = compared.agg(F.sum(F.col("windows") + length)).first()[0] or 0
     shards = max(least, -(-bytes_compared // SHARD_BYTES))
@@ -448,7 +445,7 @@ def remove(events: DataFrame, length: int = 100) -> DataFrame:
 
     repeated = sent.groupBy("shard").applyInArrow(merged, schema(key, "body long, start int, windows int"))
 
-    gone = met.where(F.col("key").isNull()).drop("key").unionByName(inside).unionByName(materialise(repeated)).groupBy("event_id", "body").agg(
+    gone = met.where(F.col("key").isNull()).drop("key").unionByName(materialise(repeated)).groupBy("event_id", "body").agg(
         F.collect_list(F.struct("start", "windows")).alias("gone"))
     joined = texts.alias("l").join(gone.alias("r"), _same("l", "r"), "left").select("l.event_id", "raw", "gone")
     return joined.mapInArrow(partial(_cleaned, length=length), schema(

@@ -59,15 +59,16 @@ def overlaps(
 
     A holdout text and an event overlap when, in some alignment without gaps, ``min_overlap`` successive tokens of the
     holdout text have at least ``similarity`` equal tokens. A holdout text of fewer tokens must occur whole and
-    unchanged; one of fewer tokens than the shortest mask (five) says too little and overlaps nothing.
+    unchanged; one of fewer tokens than the shortest mask (five), but at least one, must be the whole event.
 
     Returns one row per overlapping pair: ``event_id, holdout_id, window_tokens`` (the length compared),
     ``equal_tokens`` (in the best window) and ``similarity``. Rows that repeat an id are united: the best window of any
     counts. Null ids are kept as an id of their own. Null and empty texts overlap nothing, other columns are ignored,
     and an empty table on either side gives an empty result.
     """
-    own = holdout.select("holdout_id", tokens(F.col("raw_text")).alias("own")).where(F.size("own") >= min(map(len, masks))).distinct()
-    own = materialise(own.withColumn("text_key", F.xxhash64("holdout_id", "own")))
+    everything = holdout.select("holdout_id", tokens(F.col("raw_text")).alias("own")).where(F.size("own") > 0).distinct()
+    everything = materialise(everything.withColumn("text_key", F.xxhash64("holdout_id", "own")))
+    own, short = (everything.where(rule) for rule in (F.size("own") >= min(map(len, masks)), F.size("own") < min(map(len, masks))))
     held = own.select("text_key", F.size("own").alias("n"), _seeds(F.col("own"), masks).alias("seeds"))
     seeds = materialise(
         held.select("text_key", "n", F.posexplode("seeds").alias("index", "seed"))
@@ -81,21 +82,26 @@ def overlaps(
     met = placed.join(broadcast_if_small(seeds.select("seed").distinct(), MAX_BROADCAST), "seed", "left_semi")
     hits = met.select("event_id", "body", "seed", _placed(F.col("index"), F.col("n"), masks).alias("at"))
     reach = max(map(len, masks)) + min_overlap
-    aligned = materialise(
-        hits.join(seeds, "seed").groupBy("event_id", "body", "text_key", (F.col("at") - F.col("own_at")).alias("shift"))
-        .agg(F.min("own_at").alias("first"), F.max("own_at").alias("last")))
-
-    found = aligned.alias("a").join(
+    aligned = hits.join(seeds, "seed").groupBy("event_id", "body", "text_key", (F.col("at") - F.col("own_at")).alias("shift")).agg(
+        F.min("own_at").alias("first"), F.max("own_at").alias("last"))
+    # One row per text and holdout text: both token arrays stand there once, whatever the number of alignments.
+    pairs = materialise(aligned.groupBy("event_id", "body", "text_key").agg(F.collect_list(F.struct("shift", "first", "last")).alias("places")))
+    found = pairs.alias("a").join(
         texts.distinct().alias("t"), F.col("a.event_id").eqNullSafe(F.col("t.event_id")) & (F.col("a.body") == F.col("t.body"))
-    ).select("a.event_id", "a.body", "text_key", "shift", "first", "last", tokens(F.col("raw_text")).alias("words")).join(own, "text_key")
-    low = F.greatest(F.col("first") - reach, F.lit(0))
-    high = F.least(F.col("last") + reach, F.size("own") - 1)
-    equal = F.transform(
-        F.sequence(low, high),
-        lambda i: ((i + F.col("shift") >= 0) & (F.get("words", F.greatest(i + F.col("shift"), F.lit(0))) == F.get("own", i))))
-    size = F.least(F.lit(min_overlap), F.size("own"))
-    rows = found.select(
-        "event_id", "body", "holdout_id", "text_key", "shift", size.alias("window_tokens"), F.posexplode(equal).alias("at", "equal"))
+    ).select("a.event_id", "a.body", "text_key", "places", tokens(F.col("raw_text")).alias("words")).join(own, "text_key")
+
+    def compared(place: Column) -> Column:
+        low, high = F.greatest(place["first"] - reach, F.lit(0)), F.least(place["last"] + reach, F.size("own") - 1)
+        at = lambda i: i + place["shift"]
+        return F.struct(low.alias("low"), F.transform(F.sequence(low, high), lambda i: F.coalesce(
+            (at(i) >= 0) & (F.get("words", F.greatest(at(i), F.lit(0))) == F.get("own", i)), F.lit(False))).alias("equal"))
+
+    size = F.least(F.lit(min_overlap), F.size("own")).alias("window_tokens")
+    # Alignments that agree in the same places are one: a run of one token has very many of them.
+    united = found.select("event_id", "body", "holdout_id", "text_key", size, F.explode(F.transform("places", compared)).alias("p")).select(
+        "event_id", "body", "holdout_id", "text_key", "window_tokens", "p.low", "p.equal").distinct()
+    rows = united.withColumn("shift", F.xxhash64("low", "equal")).select(
+        "event_id", "body", "holdout_id", "text_key", "shift", "window_tokens", F.posexplode("equal").alias("at", "equal"))
     window = Window.partitionBy("event_id", "body", "text_key", "shift").orderBy("at").rowsBetween(1 - min_overlap, 0)
     need = F.when(F.col("window_tokens") < min_overlap, F.col("window_tokens")).otherwise(F.ceil(F.lit(similarity) * min_overlap - 1e-9))
     best = (
@@ -103,4 +109,9 @@ def overlaps(
         .where(F.col("equal_tokens") >= need)
         .groupBy("event_id", "holdout_id").agg(F.max(F.struct(
             (F.col("equal_tokens") / F.col("window_tokens")).alias("similarity"), "window_tokens", "equal_tokens")).alias("best")))
-    return best.select("event_id", "holdout_id", "best.window_tokens", "best.equal_tokens", "best.similarity")
+    whole = words.select("event_id", F.col("words").alias("own")).where(F.size("own").between(1, min(map(len, masks)) - 1)).distinct().join(short, "own").select(
+        "event_id", "holdout_id", F.size("own").alias("window_tokens"), F.size("own").cast("bigint").alias("equal_tokens"), F.lit(1.0).alias("similarity"))
+    # Rows of one holdout id may be short and long: the best of both counts.
+    longer = best.select("event_id", "holdout_id", "best.window_tokens", "best.equal_tokens", "best.similarity")
+    return longer.unionByName(whole).groupBy("event_id", "holdout_id").agg(F.max(F.struct("similarity", "window_tokens", "equal_tokens")).alias("best")).select(
+        "event_id", "holdout_id", "best.window_tokens", "best.equal_tokens", "best.similarity")
