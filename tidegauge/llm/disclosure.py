@@ -2,14 +2,14 @@
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers. Removing them is not enough when the words around
 one occur hardly anywhere else: who knows the word knows the number. So the corpus tells how strongly a term reveals a
-protected value, by pointwise mutual information: with ``n`` events in all, ``f`` of them holding the value, ``g`` the
-term and ``h`` the term near the value, the term discloses the share ``log(h n / (f g)) / log(n / f)`` of what the value
-is worth knowing; 1 means that the term is never met without it. Terms at or above the threshold are sanitised in the
-events where they stand near the value: numbers and capitalised words are generalised to their class, others removed.
+protected value, by pointwise mutual information: with ``n`` texts in all, ``f`` of them holding the value, ``g`` the term and
+``h`` both, the term discloses the share ``log(h n / (f g)) / log(n / f)`` of what the value is worth knowing; 1 means
+that the term is never met without it. Terms at or above the threshold are sanitised in the texts that hold the value,
+wherever they stand: numbers and capitalised words are generalised to their class, others removed.
 
 DataFrame functions only. Positions are code points and come from the lengths of the pieces that a pattern cuts a text
-into, one row per match. Terms are looked for within ``REACH`` code points of a match, so the pairs grow with the text
-and not with the square of anything; document frequencies are taken over whole texts of all events.
+into, one row per match. Since ``h`` is at most ``f``, a share of ``t`` needs ``g <= f ** t * n ** (1 - t)``: a term that is
+met more often than that for all values of a text is left out before it meets them, so what is paired are rare terms.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from tidegauge.llm.lines import body_of
 from tidegauge.session import materialise
 
 KINDS = ("email", "ip", "card", "phone")
-REACH = 60
 MIN_SUPPORT = 2
 THRESHOLD = 0.9
 
@@ -58,20 +57,17 @@ def _valid(kind: Column, value: Column) -> Column:
 
 
 def _cut(kind: Column | str, text: Column, pattern: Column) -> Column:
-    """Matches of a pattern in order, each with the length and the ends of the pieces beside it."""
+    """Matches of a pattern in order, each with the length of the piece before it."""
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     pieces = F.when(F.size(found) > 0, F.split(text, pattern, -1))
     # Bound to variables, so that a text is cut once.
     both = F.array(F.struct(found.alias("found"), pieces.alias("pieces")))
+    return F.flatten(F.transform(both, lambda x: F.transform(x["found"], lambda value, i: F.struct(
+        F.lit(kind).alias("kind"), i.alias("number"), value.alias("value"), F.length(F.get(x["pieces"], i)).alias("before")))))
 
-    def rows(x: Column) -> Column:
-        left = lambda i: F.get(x["pieces"], i)
-        return F.transform(x["found"], lambda value, i: F.struct(
-            F.lit(kind).alias("kind"), i.alias("number"), value.alias("value"), F.length(left(i)).alias("before"),
-            F.regexp_replace(F.right(left(i), F.lit(REACH)), F.when(F.length(left(i)) > REACH, f"^{_WORD}").otherwise("^$"), "").alias("left"),
-            F.regexp_replace(F.left(left(i + 1), F.lit(REACH)), F.when(F.length(left(i + 1)) > REACH, f"{_WORD}$").otherwise("^$"), "").alias("right")))
 
-    return F.flatten(F.transform(both, rows))
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)))
 
 
 def _placed(matches: DataFrame, *keys: str) -> DataFrame:
@@ -81,45 +77,69 @@ def _placed(matches: DataFrame, *keys: str) -> DataFrame:
     return matches.withColumn("stop", gone.cast("long")).withColumn("start", F.col("stop") - F.length("value"))
 
 
-def protected_spans(events: DataFrame) -> DataFrame:
-    """Base spans ``(event_id, body, kind, start, stop, value, left, right)`` of ``events(event_id, raw_text, ...)``.
+def _cut_texts(events: DataFrame) -> DataFrame:
+    """``(event_id, body, matches, words)`` of the texts in which some pattern matches, each text once."""
+    text = F.coalesce(F.col("raw_text"), F.lit(""))
+    matches = F.concat(*(_cut(kind, text, F.lit(pattern)) for kind, pattern in PATTERNS.items()))
+    # Matches are bound to a variable and come out of a generator: made once, and words only where something matches.
+    both = F.explode(F.transform(F.array(matches), lambda m: F.struct(m.alias("matches"), F.when(F.size(m) > 0, _words(text)).alias("words"))))
+    cut = events.select("event_id", body_of(F.col("raw_text")).alias("body"), both.alias("c")).where(F.size("c.matches") > 0)
+    return cut.select("event_id", "body", "c.*").dropDuplicates(["event_id", "body"])
+
+
+def protected_spans(cut: DataFrame) -> DataFrame:
+    """Base spans ``(event_id, body, kind, start, stop, value)`` of cut texts.
 
     Per kind the leftmost matches that do not overlap; a match that fails its kind's test (parts up to 255, Luhn over 13
     to 19 digits, 9 to 15 digits) is dropped and what it covered not searched again.
     """
-    text = F.coalesce(F.col("raw_text"), F.lit(""))
-    cut = events.select("event_id", body_of(F.col("raw_text")).alias("body"), F.explode(F.concat(
-        *(_cut(kind, text, F.lit(pattern)) for kind, pattern in PATTERNS.items()))).alias("match")).select("event_id", "body", "match.*")
-    placed = _placed(cut.dropDuplicates(["event_id", "body", "kind", "number"]), "event_id", "body", "kind")
-    return placed.where(_valid(F.col("kind"), F.col("value"))).drop("number", "before")
+    matches = cut.select("event_id", "body", F.explode("matches").alias("match")).select("event_id", "body", "match.*")
+    return _placed(matches, "event_id", "body", "kind").where(_valid(F.col("kind"), F.col("value"))).drop("number", "before")
 
 
 def _entity(kind: Column, value: Column) -> Column:
     return F.concat(kind, F.lit(":"), F.when(kind.isin("card", "phone"), _digits(value)).otherwise(F.lower(value)))
 
 
-def disclosing_terms(events: DataFrame, spans: DataFrame, threshold: float = THRESHOLD, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """Terms to sanitise, ``(event_id, body, term)``: those near a protected value that reveal it.
+def disclosing_terms(events: DataFrame, cut: DataFrame, spans: DataFrame, threshold: float = THRESHOLD, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """Terms to sanitise, ``(event_id, body, term)``: those of a text that reveal a protected value in it.
 
-    ``min_support`` events must hold the pair; less is no evidence of a tie. A value that every event holds reveals
-    nothing and is not protected against its neighbours.
+    ``min_support`` texts must hold the pair. In a text alone with its value each word that is met nowhere else has the
+    share 1, whatever it means; only meeting again is evidence of a tie. A value that every text holds reveals nothing
+    and is not protected against other terms. Rows that repeat an event id and its text count once everywhere.
     """
-    near = spans.select(
-        "event_id", "body", _entity(F.col("kind"), F.col("value")).alias("entity"),
-        F.explode(F.regexp_extract_all(F.lower(F.concat_ws(" ", "left", "right")), F.lit(_WORD), F.lit(0))).alias("term"))
-    pairs = materialise(near.distinct())
-    held = spans.select("event_id", "body", _entity(F.col("kind"), F.col("value")).alias("entity")).distinct().groupBy("entity").agg(
-        F.count("*").alias("f"))
-    together = materialise(pairs.groupBy("entity", "term").agg(F.count("*").alias("h")).where(F.col("h") >= min_support))
-    words = F.regexp_extract_all(F.lower(F.coalesce("raw_text", F.lit(""))), F.lit(_WORD), F.lit(0))
-    term_events = events.select(F.explode(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))).alias("hashed")).groupBy("hashed").agg(
-        F.count("*").alias("g"))
-    n = events.count()
+    entities = materialise(spans.select("event_id", "body", _entity(F.col("kind"), F.col("value")).alias("entity")).distinct())
+    held = materialise(entities.groupBy("entity").agg(F.count("*").alias("f")))
+    texts = events.select("event_id", body_of(F.col("raw_text")).alias("body"), "raw_text")
+    copies = materialise(texts.groupBy("event_id", "body").agg(F.count("*").alias("copies")))
+    n = copies.count()
+    repeated = copies.where("copies > 1")
+    most = held.agg(F.max("f")).first()[0]
+    if not most or most < min_support:
+        return cut.select("event_id", "body", F.lit("").alias("term")).limit(0)
+
+    def bound(f: Column) -> Column:
+        return F.pow(f, threshold) * float(n) ** (1 - threshold) * (1 + 1e-9)
+
+    hashes = F.transform(_words(F.coalesce("raw_text", F.lit(""))), lambda w: F.xxhash64(w)).alias("hashes")
+    rows = texts.alias("t").join(
+        repeated.alias("r"), F.col("t.event_id").eqNullSafe(F.col("r.event_id")) & (F.col("t.body") == F.col("r.body")), "left")
+    met = rows.select((1 / F.coalesce("copies", F.lit(1))).alias("part"), F.explode(hashes).alias("hashed"))
+    rare = met.groupBy("hashed").agg(F.round(F.sum("part")).cast("bigint").alias("g")).where(
+        (F.col("g") >= min_support) & (F.col("g") <= bound(F.lit(float(most)))))
+
+    of_text = lambda l, r: F.col(f"{l}.event_id").eqNullSafe(F.col(f"{r}.event_id")) & (F.col(f"{l}.body") == F.col(f"{r}.body"))
+    known = materialise(entities.join(held.where(F.col("f") >= min_support), "entity").where(F.col("f") < n))
+    bounds = known.groupBy("event_id", "body").agg(F.max("f").alias("most"))
+    terms = cut.alias("c").join(bounds.alias("b"), of_text("c", "b")).select("c.event_id", "c.body", "most", F.explode("words").alias("term"))
+    candidates = materialise(terms.withColumn("hashed", F.xxhash64("term")).join(rare, "hashed").where(
+        F.col("g") <= bound(F.col("most"))).select("event_id", "body", "term", "g"))
+    pairs = candidates.alias("c").join(known.alias("k"), of_text("c", "k")).where(F.col("g") <= bound(F.col("f"))).select(
+        "c.event_id", "c.body", "entity", "term", "f", "g")
     share = F.log2(F.col("h") * F.lit(float(n)) / (F.col("f") * F.col("g"))) / F.log2(F.lit(float(max(n, 1))) / F.col("f"))
-    telling = (
-        together.withColumn("hashed", F.xxhash64("term")).join(term_events, "hashed").join(held, "entity")
-        .where((F.col("f") < n) & (share >= threshold)).select("entity", "term"))
-    return pairs.join(telling, ["entity", "term"]).select("event_id", "body", "term").distinct()
+    telling = pairs.groupBy("entity", "term").agg(F.count("*").alias("h"), F.first("f").alias("f"), F.first("g").alias("g")).where(
+        (F.col("h") >= min_support) & (share >= threshold - 1e-12)).select("entity", "term")
+    return pairs.select("event_id", "body", "entity", "term").join(telling, ["entity", "term"]).select("event_id", "body", "term").distinct()
 
 
 def _term_spans(events: DataFrame, terms: DataFrame) -> DataFrame:
@@ -142,18 +162,19 @@ def _replacement(kind: Column, value: Column) -> Column:
 
 
 def _sanitised(text: Column, spans: Column) -> Column:
-    start = F.struct(F.lit(1).cast("long").alias("at"), F.lit("").alias("text"))
+    start = F.struct(F.lit(1).cast("long").alias("at"), F.expr("CAST(array() AS array<string>)").alias("parts"))
     by_place = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["stop"], s["kind"], s["value"])))
 
     def step(done: Column, s: Column) -> Column:
         fresh = s["stop"] >= done["at"]
         kept = F.substr(text, done["at"].cast("int"), F.greatest(s["start"] + 1 - done["at"], F.lit(0)).cast("int"))
+        hidden = F.when(s["start"] + 1 >= done["at"], _replacement(s["kind"], s["value"])).otherwise("")
         return F.struct(
             F.greatest(done["at"], s["stop"] + 1).alias("at"),
-            F.when(fresh, F.concat(done["text"], kept, F.when(s["start"] + 1 >= done["at"], _replacement(s["kind"], s["value"])).otherwise("")))
-            .otherwise(done["text"]).alias("text"))
+            F.when(fresh, F.concat(done["parts"], F.array(kept, hidden))).otherwise(done["parts"]).alias("parts"))
 
-    return F.aggregate(by_place, start, step, lambda done: F.concat(done["text"], F.substr(text, done["at"].cast("int"))))
+    # Pieces are joined once, so the work does not grow with the square of the text.
+    return F.aggregate(by_place, start, step, lambda done: F.concat(F.array_join(done["parts"], ""), F.substr(text, done["at"].cast("int"))))
 
 
 def sanitise(events: DataFrame, threshold: float = THRESHOLD, min_support: int = MIN_SUPPORT) -> DataFrame:
@@ -166,10 +187,10 @@ def sanitise(events: DataFrame, threshold: float = THRESHOLD, min_support: int =
     empty sanitised text. Rows that repeat an id and text share their spans, and count once where pairs are counted.
     Null ids are kept; other columns are ignored; an empty table gives an empty result.
     """
-    base = materialise(protected_spans(events))
-    hidden = base.select("event_id", "body", "kind", "start", "stop", "value")
-    terms = _term_spans(events, disclosing_terms(events, base, threshold, min_support))
-    every = hidden.unionByName(terms)
+    cut = materialise(_cut_texts(events))
+    base = materialise(protected_spans(cut))
+    terms = _term_spans(events, disclosing_terms(events, cut, base, threshold, min_support))
+    every = base.select("event_id", "body", "kind", "start", "stop", "value").unionByName(terms)
     rank = F.array_position(F.array(*(F.lit(k) for k in (*KINDS, "term"))), F.col("kind"))
     gathered = every.groupBy("event_id", "body").agg(
         F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "start", "stop", "kind", "value"))).alias("every"))
