@@ -15,6 +15,10 @@ from tidegauge.operators.pit import interval_join
 AXES = ("identity", "calendar", "status", "eod", "benchmark", "policy")
 
 
+# Fixed values.
+CAPTURE_KINDS = ("RAW_PAGE", "RAW_DOWNLOAD", "USER_EXPORT", "ACCESS_RECEIPT", "ARCHIVE_CAPTURE")
+
+
 def integrate_actions(
     actions: DataFrame, identity: DataFrame, calendar: DataFrame, status: DataFrame, eod: DataFrame, benchmark: DataFrame, policy: DataFrame
 ) -> DataFrame:
@@ -102,8 +106,12 @@ def recheck_published(
     return rows.unionByName(whole)
 
 
-def check_run_manifest(artifacts: DataFrame, sources: DataFrame, decision_at: Column) -> DataFrame:
-    """Run-manifest rows: URL contract, source domain, observed no later than the decision."""
+def check_run_manifest(artifacts: DataFrame, sources: DataFrame, decision_at: Column, stored: DataFrame | None = None) -> DataFrame:
+    """Run-manifest rows: URL contract, source domain, observed no later than the decision.
+
+    With ``stored(path, size_bytes, sha256)``, a scan of the run's folder, ``artifacts`` also has ``path, size_bytes,
+    capture_kind``: each row must name one file below ``raw/``, no other row's, that holds the declared bytes.
+    """
     side = sources.select("source_id", F.lit(True).alias("_known"), F.col("allowed_domain").alias("_domain"))
     urls = check_url(artifacts, "source_url").withColumnRenamed("issue_codes", "_url")
     host = F.lower(F.try_parse_url("source_url", F.lit("HOST")))
@@ -114,7 +122,19 @@ def check_run_manifest(artifacts: DataFrame, sources: DataFrame, decision_at: Co
         R.must("OBSERVED_AFTER_DECISION", F.col("observed_at") <= decision_at),
         R.must("SHA256_FORM", R.is_sha256("sha256")),
     )
-    return urls.join(side, "source_id", "left").withColumn("issue_codes", F.concat("_url", codes)).drop("_url", "_known", "_domain")
+    rows = urls.join(side, "source_id", "left").withColumn("issue_codes", F.concat("_url", codes)).drop("_url", "_known", "_domain")
+    if stored is None:
+        return rows
+    found = stored.select("path", F.col("size_bytes").alias("_size"), F.col("sha256").alias("_sha"))
+    shared = artifacts.groupBy("path").agg(F.count("*").alias("_paths")).where("_paths > 1")
+    kept = R.code_array(
+        R.must("PATH_OUTSIDE_RAW", F.col("path").rlike("^raw/[^/]") & ~F.col("path").rlike(r"(^|/)\.{1,2}(/|$)|//|/$")),
+        R.never("PATH_DUPLICATE", F.col("_paths").isNotNull()),
+        R.must("ARTIFACT_MISSING", F.col("_sha").isNotNull()),
+        R.never("ARTIFACT_HASH_MISMATCH", F.col("_sha").isNotNull() & ~F.col("sha256").eqNullSafe(F.col("_sha"))),
+        R.never("ARTIFACT_SIZE_MISMATCH", F.col("_sha").isNotNull() & ~F.col("size_bytes").eqNullSafe(F.col("_size"))),
+        R.must("CAPTURE_KIND_INVALID", R.in_set("capture_kind", CAPTURE_KINDS)))
+    return rows.join(found, "path", "left").join(shared, "path", "left").withColumn("issue_codes", F.concat("issue_codes", kept)).drop("_size", "_sha", "_paths")
 
 
 def check_replay_rows(rows: DataFrame) -> DataFrame:

@@ -156,17 +156,24 @@ PARSED_SQL = with_views(["find"], tally_sql({
 
 
 def run_manifest(spark, sf_dir):
-    """Pages as run artifacts, one an hour, decided after the hundredth."""
+    """Pages as run artifacts, one an hour, decided after the hundredth; their addresses are the stored bytes."""
+    page, root = F.col("page_id"), _folder(spark)
     f = _findings(spark, sf_dir).withColumns({
-        "sha256": F.when(F.col("page_id") % 14 == 0, "none").otherwise(F.sha2("source_url", 256)),
-        "observed_at": F.expr("TIMESTAMP '2024-01-01' + make_interval(0, 0, 0, 0, CAST(page_id AS INT))")})
-    return tally(fd.check_run_manifest(f, _sources(spark, sf_dir), F.expr("TIMESTAMP '2024-01-05 04:00:00'")), "page_id")
+        "sha256": F.when(page % 14 == 0, "none").otherwise(F.sha2("source_url", 256)),
+        "observed_at": F.expr("TIMESTAMP '2024-01-01' + make_interval(0, 0, 0, 0, CAST(page_id AS INT))"),
+        "path": F.when(page % 16 == 0, "raw/same.html").otherwise(F.format_string("%s/%d.html", F.when(page % 9 == 0, "other").otherwise("raw"), page)),
+        "size_bytes": F.octet_length("source_url") + (page % 22 == 0).cast("int"), "capture_kind": F.when(page % 26 == 0, "MEMORY").otherwise("RAW_PAGE")})
+    files.store_artifacts(f.where("page_id % 5 <> 0 AND page_id % 16 <> 0").select("path", F.col("source_url").alias("content")), root)
+    checked = fd.check_run_manifest(f, _sources(spark, sf_dir), F.expr("TIMESTAMP '2024-01-05 04:00:00'"), files.scan_artifacts(spark, root))
+    return tally(checked, "page_id")
 
 
 MANIFEST_SQL = with_views(["find"], tally_sql({
     "URL_NOT_ABSOLUTE_HTTPS": "source_url NOT LIKE 'https://%'", "URL_HAS_FRAGMENT": "regexp_matches(source_url, '#.')", "SOURCE_UNKNOWN": "NOT known",
     "SOURCE_DOMAIN_MISMATCH": "known AND NOT (host = allowed OR host LIKE '%.' || allowed)", "OBSERVED_AFTER_DECISION": "page_id > 100",
-    "SHA256_FORM": "page_id % 14 = 0"}, "page_id", "find"))
+    "SHA256_FORM": "page_id % 14 = 0", "PATH_OUTSIDE_RAW": "page_id % 9 = 0 AND page_id % 16 <> 0", "PATH_DUPLICATE": "page_id % 16 = 0",
+    "ARTIFACT_MISSING": "page_id % 5 = 0 OR page_id % 16 = 0", "ARTIFACT_HASH_MISMATCH": "page_id % 5 <> 0 AND page_id % 16 <> 0 AND page_id % 14 = 0",
+    "ARTIFACT_SIZE_MISMATCH": "page_id % 5 <> 0 AND page_id % 16 <> 0 AND page_id % 22 = 0", "CAPTURE_KIND_INVALID": "page_id % 26 = 0"}, "page_id", "find"))
 
 # --- replay rows ---------------------------------------------------------------------
 REPLAY = [
