@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions import rules as R
 from tidegauge.operators.lab import HORIZONS
 from tidegauge.sources import files, html
-from tidegauge.streaming import post_open
+from tidegauge.streaming import post_open, slots
 
 AT = "2024-01-10T10:00:00+00:00"
 
@@ -192,3 +192,31 @@ def test_packets_are_held_against_their_inventory(spark, tmp_path):
     assert {p: c for p, (_, sha, c) in got.items() if p != "good" and sha is None} == {
         "lost": ["PACKET_INVENTORY_DIFFERS"], "odd": ["PACKET_INVENTORY_DIFFERS"], "many": ["PACKET_INVENTORY_DIFFERS"], "empty": ["PACKET_EMPTY"],
         "back": ["PACKET_TIMES_REVERSED", "PACKET_EMPTY"], "large": ["PACKET_TOO_LARGE", "PACKET_INVENTORY_DIFFERS"]}
+
+
+def test_slots_settle_inside_the_stream(spark, tmp_path):
+    identity = spark.createDataFrame([("1000",), ("1001",), ("1002",)], "official_code string")
+    rows = [observation("1000", value=2.0), observation("1000", value=2.0), observation("1001", value=-1.0), observation("9999"),
+            observation("1002", average_daily_turnover_sar=1.0), observation("1003", at="2024-01-10T10:00:00"), "{broken",
+            observation("1001", at="2024-01-10T10:07:00+00:00"), observation("1000", at="2024-01-10T10:01:00+00:00", value=9.0)]
+    later = [observation("1002", at="2024-01-10T11:00:00+00:00"), observation("1002", at="2024-01-10T11:03:00+00:00")]
+    found = []
+    for name, parts in (("few", [rows]), ("many", [[r] for r in rows])):
+        folder, out, checkpoint = tmp_path / f"{name}-slots", str(tmp_path / f"{name}-settled"), str(tmp_path / f"{name}-state")
+        folder.mkdir()
+        stream = post_open.observation_stream(spark, str(folder), maxFilesPerTrigger="4")
+        for wave, lines in enumerate((parts, [later], [[observation("1002")]])):
+            for i, part in enumerate(lines):
+                write(folder / f"{wave}-{i}.jsonl", part)
+            slots.run_available(slots.settle_slots(stream, identity, delay="30 minutes"), out, checkpoint)
+        decided = spark.read.parquet(out)
+        held = slots.waiting(spark, checkpoint)
+        assert decided.count() + held.count() == len(rows) + len(later) + 1
+        assert sorted(str(r["observed_at"]) for r in held.collect()) == ["2024-01-10 11:00:00", "2024-01-10 11:03:00"]
+        week = slots.candidates(decided, {h: {"F": 1.0} for h in HORIZONS}).where("horizon = 'WEEK'").orderBy("scan_id", "rank").collect()
+        found.append(([(r["scan_id"], r["official_code"], r["score"]) for r in week],
+                      sorted((str(r["official_code"]), str(r["reason"])) for r in decided.collect())))
+    assert found[0] == found[1]
+    assert found[0][0] == [("2024-01-10 10:05:00", "1000", 2.0), ("2024-01-10 10:05:00", "1001", -1.0), ("2024-01-10 10:10:00", "1001", 1.0)]
+    reasons = [r for _, r in found[0][1]]
+    assert reasons.count("DUPLICATE_SECURITY_OBSERVATION") == 2 and reasons.count("LATE_OBSERVATION") == 1 and reasons.count("None") == 3
