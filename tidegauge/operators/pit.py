@@ -139,6 +139,62 @@ def members_by_day(days: DataFrame, identity: DataFrame, known_at: str = "known_
     )
 
 
+def count_members(
+    probes: DataFrame, identity: DataFrame, measures: dict[str, Column] | None = None, known_at: str = "known_at"
+) -> DataFrame:
+    """Sums of ``measures`` (by default ``members``, a count) over the members of every distinct ``(as_of, known_at)`` probe.
+
+    A sweep over valid and known time together, without a row per member and day: a membership is a rectangle, four
+    signed corners, and a probe's sum is that of all corners below it on both axes. Corners are moved up to the next
+    probe on each axis and summed there, so what is left is bounded by the probes; each is added to the even binary
+    blocks of days it lies in, running sums go along known time inside a block, and a probe adds up the blocks its day
+    is made of. Memberships without a start on either axis, or that end before they start, hold no probe; neither does a
+    probe without a day or an instant.
+    """
+    measures = {"members": F.lit(1)} if measures is None else measures
+    names = list(measures)
+    points = probes.select("as_of", F.col(known_at).alias("_y")).where("as_of IS NOT NULL AND _y IS NOT NULL").distinct()
+    span = points.agg(F.min("as_of"), F.max("as_of"), F.to_date(F.min("_y")), F.to_date(F.max("_y"))).first()
+    lo, hi, first, last = span if span[0] is not None else [date(1970, 1, 1)] * 4
+    size = (hi - lo).days + 1
+    levels = F.sequence(F.lit(0), F.lit(size.bit_length()))
+
+    # Per civil day of known time: its probe instants and the first one after it.
+    ahead = Window.orderBy("_day").rowsBetween(1, Window.unboundedFollowing)
+    instants = (
+        probes.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first), F.lit(last))).alias("_day"))
+        .join(points.groupBy(F.to_date("_y").alias("_day")).agg(F.sort_array(F.collect_set("_y")).alias("_within")), "_day", "left")
+        .withColumn("_after", F.min(F.get("_within", F.lit(0))).over(ahead)))
+
+    def corner(day: Column, instant: Column, sign: int) -> Column:
+        return F.struct(
+            F.when(day.isNotNull(), F.greatest(F.datediff(day, F.lit(lo)), F.lit(0))).alias("_x"), instant.alias("_at"),
+            *[(sign * F.col(f"_m_{n}")).alias(n) for n in names])
+
+    opened, closed = F.col("valid_from"), F.date_add("valid_to", 1)
+    learned, dropped = F.col("known_from"), F.timestamp_micros(F.unix_micros("known_to") + 1)
+    held = identity.where(
+        F.col("tradable") & opened.isNotNull() & learned.isNotNull() & (F.col("valid_to").isNull() | (opened <= F.col("valid_to")))
+        & (F.col("known_to").isNull() | (learned <= F.col("known_to"))))
+    corners = held.select("valid_from", "valid_to", "known_from", "known_to", *[c.alias(f"_m_{n}") for n, c in measures.items()]).select(
+        F.explode(F.array(corner(opened, learned, 1), corner(closed, learned, -1), corner(opened, dropped, -1), corner(closed, dropped, 1))).alias("_c")
+    ).select("_c.*").where((F.col("_x") < size) & F.col("_at").isNotNull())
+    later = F.get(F.filter("_within", lambda t: t >= F.col("_at")), F.lit(0))
+    snapped = (
+        corners.withColumn("_day", F.greatest(F.to_date("_at"), F.lit(first))).join(broadcast_if_small(instants), "_day")
+        .withColumn("_y", F.coalesce(later, "_after")).where("_y IS NOT NULL")
+        .groupBy("_x", "_y").agg(*[F.sum(n).alias(n) for n in names]))
+    added = snapped.select("_y", *names, F.explode(levels).alias("_level"), "_x").select(
+        "_level", F.expr("shiftright(_x, _level)").alias("_block"), "_y", *names).where("_block % 2 = 0")
+    sums = added.groupBy("_level", "_block", "_y").agg(*[F.sum(n).alias(n) for n in names])
+    asked = points.select("as_of", "_y", (F.datediff("as_of", F.lit(lo)) + 1).alias("_n"), F.explode(levels).alias("_level")).select(
+        "as_of", "_y", "_level", (F.expr("shiftright(_n, _level)") - 1).alias("_block")).where("_block >= 0 AND _block % 2 = 0")
+    run = Window.partitionBy("_level", "_block").orderBy("_y").rangeBetween(Window.unboundedPreceding, 0)
+    both = sums.withColumn("as_of", F.lit(None).cast("date")).unionByName(asked.select("*", *[F.lit(None).cast("long").alias(n) for n in names]))
+    below = both.select("as_of", "_y", *[F.sum(n).over(run).alias(n) for n in names]).where("as_of IS NOT NULL")
+    return below.groupBy("as_of", F.col("_y").alias(known_at)).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+
+
 def resolve_identity(
     probes: DataFrame, identity: DataFrame, probe_id: str, keys: Sequence[str] = ("code",), at: str = "as_of"
 ) -> DataFrame:
@@ -448,7 +504,7 @@ def opportunity_scan(
 
 def market_snapshot(days: DataFrame, calendar: DataFrame, identity: DataFrame, registry: DataFrame) -> DataFrame:
     """Per as-of day: session flag, universe size, benchmark and blocked reasons."""
-    sizes = members_by_day(days, identity).groupBy("as_of").agg(F.count("*").alias("universe_size"))
+    sizes = count_members(days, identity).groupBy("as_of").agg(F.sum("members").alias("universe_size"))
     marks = benchmark_asof(days.select("as_of", "benchmark_code"), registry).select(
         "as_of", "benchmark_code", "scope"
     )

@@ -243,14 +243,32 @@ def series_coverage(series: DataFrame, sessions: DataFrame, key: str) -> DataFra
     )
 
 
+def session_gaps(series: DataFrame, sessions: DataFrame, key: str) -> DataFrame:
+    """Maximal runs of missing sessions per series: ``key, first_session, last_session, sessions``, the ends as session numbers.
+
+    Each series meets its own next session (``lead``), so no series x calendar table is built. The windows hold one row
+    per session of the calendar; a series without any official session misses all of them. Repeated dates count once.
+    """
+    numbered = number_sessions(sessions)
+    held = series.select(key, "trade_date").distinct().join(numbered, "trade_date", "left").select(
+        key, F.explode(F.array(F.lit(0), F.coalesce("session_number", F.lit(0)))).alias("_at")).distinct()
+    total = numbered.agg(F.coalesce(F.max("session_number"), F.lit(0)).alias("_total"))
+    following = F.lead("_at").over(Window.partitionBy(key).orderBy("_at"))
+    runs = held.withColumn("_next", following).join(F.broadcast(total)).select(  # one row of totals
+        key, (F.col("_at") + 1).alias("first_session"), (F.coalesce("_next", F.col("_total") + 1) - 1).alias("last_session"))
+    return runs.where("first_session <= last_session").withColumn("sessions", F.expr("last_session - first_session + 1"))
+
+
+def number_sessions(sessions: DataFrame) -> DataFrame:
+    """``(trade_date, session_number)`` of the official sessions, from 1; the calendar bounds the window."""
+    return sessions.select("trade_date").where("trade_date IS NOT NULL").distinct().withColumn(
+        "session_number", F.row_number().over(Window.orderBy("trade_date")))
+
+
 def missing_sessions(series: DataFrame, sessions: DataFrame, key: str) -> DataFrame:
     """Every (series, session) that should exist and does not."""
-    keys = series.select(key).distinct()
-    span = sessions.agg(F.min("trade_date").alias("lo"), F.max("trade_date").alias("hi")).first()
-    grid = keys.withColumn("trade_date", F.explode(F.sequence(F.lit(span["lo"]), F.lit(span["hi"])))).join(
-        sessions.select("trade_date"), "trade_date", "left_semi"
-    )
-    return grid.join(series.select(key, "trade_date"), [key, "trade_date"], "left_anti")
+    runs = session_gaps(series, sessions, key).select(key, F.explode(F.sequence("first_session", "last_session")).alias("session_number"))
+    return runs.join(number_sessions(sessions), "session_number").select(key, "trade_date")
 
 
 def fill_estimate(

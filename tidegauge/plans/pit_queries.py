@@ -47,10 +47,8 @@ def members_by_month(spark, sf_dir):
         F.col("trade_date").alias("as_of"),
         (F.col("trade_date").cast("timestamp") + F.expr("INTERVAL 20 HOURS")).alias("known_at"),
     )
-    members = pit.members_by_day(days, views.identity(spark, sf_dir))
-    return members.groupBy(F.col("as_of").cast("string").alias("as_of")).agg(
-        F.count("*").alias("members"), F.sum("security_id").alias("security_checksum")
-    )
+    sums = pit.count_members(days, views.identity(spark, sf_dir), {"members": F.lit(1), "security_checksum": F.col("security_id")})
+    return sums.where("members > 0").select(F.col("as_of").cast("string").alias("as_of"), "members", "security_checksum")
 
 
 def members_at_cutoff(spark, sf_dir):

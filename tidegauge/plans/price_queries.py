@@ -95,11 +95,14 @@ def coverage(spark, sf_dir):
 
 def gaps(spark, sf_dir):
     sessions = views.calendar(spark, sf_dir).where("is_trading_day").select("trade_date")
-    missing = prices.missing_sessions(views.bars(spark, sf_dir), sessions, "code")
-    return missing.groupBy("code").agg(
-        F.count("*").alias("missing"), F.min("trade_date").cast("string").alias("first_gap"),
-        F.max("trade_date").cast("string").alias("last_gap"),
-    )
+    dates = prices.number_sessions(sessions)
+    runs = prices.session_gaps(views.bars(spark, sf_dir), sessions, "code").groupBy("code").agg(
+        F.sum("sessions").alias("missing"), F.min("first_session").alias("_first"), F.max("last_session").alias("_last"))
+
+    def day(number, name):
+        return dates.select(F.col("session_number").alias(number), F.col("trade_date").cast("string").alias(name))
+
+    return runs.join(day("_first", "first_gap"), "_first").join(day("_last", "last_gap"), "_last").select("code", "missing", "first_gap", "last_gap")
 
 
 def yearly_fundamentals(spark, sf_dir):
