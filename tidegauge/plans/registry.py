@@ -7,6 +7,7 @@ from importlib import import_module
 MODULES = (
     "lab_queries", "pit_queries", "price_queries", "reconcile_queries", "evaluate_queries", "event_queries", "network_queries",
     "ledger_queries", "foundation_queries", "record_queries", "attempt_queries", "stream_queries",
+    "observation_queries",
 )
 
 
