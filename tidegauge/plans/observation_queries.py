@@ -48,7 +48,7 @@ def _tables(spark, sf_dir):
         "array(CASE source % 4 WHEN 0 THEN 'EXECUTION_TAPE' WHEN 2 THEN 'OFFICIAL_EVENT' ELSE 'NEWS_ARCHIVE' END) AS roles", "array('API', 'EXPORT') AS access_modes",
         "source % 7 <> 1 AS enabled_by_default", "source % 8 = 0 AND source % 3 > 0 AS requires_entitlement")
     trust = suppliers.selectExpr("source", "explode(array('ACTIVATION', 'ENTITLEMENT')) AS binding").selectExpr(  # a new entry every month
-        "*", "explode(sequence(DATE '1992-01-01', DATE '1999-12-01', INTERVAL 1 MONTH)) AS month").where("source % 15 <> 1").selectExpr(
+        "*", "explode(sequence(DATE '1991-12-01', DATE '2009-12-01', INTERVAL 1 MONTH)) AS month").where("source % 15 <> 1").selectExpr(
         "concat('s', source) AS source_id", "binding", "concat(left(binding, 1), source) AS binding_id",
         "concat_ws('-', source, month, CASE WHEN source % 16 = 8 THEN binding ELSE '' END) AS entry_id",
         "CAST(month AS TIMESTAMP) AS valid_from", "CAST(add_months(month, 1) AS TIMESTAMP) AS valid_to")
